@@ -5,10 +5,14 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from echolens.functions import lexicon as L
 from echolens.functions import text as T
-from echolens.operators import dedup, quality
+from echolens.operators import (batches, dedup, fallback, guards, kpi, merge, quality, sampling,
+                                scored, scoring)
 from echolens.operators import rules as R
+from echolens.plans import classify
 from echolens.sources import files
+from echolens.sources.replies import defective_replies
 from echolens.sources.shared import shared_folder
 from echolens.sources.tables import feedback, table
 
@@ -214,3 +218,356 @@ def duplicate_count(spark, folder):
 @query
 def duplicate_groups(spark, folder):
     return dedup.duplicate_groups(feedback(spark, folder))
+
+
+# --- rule tier ---------------------------------------------------------------------------
+
+def _rules_over_texts(name, *columns, extended=True):
+    def run(spark, folder):
+        return R.classify_rules(all_texts(spark, folder), extended=extended).select(
+            "kind", "id", *columns)
+    run.__name__ = name
+    query(run)
+
+
+_rules_over_texts("rule_claim", "is_claim", extended=False)
+_rules_over_texts("rule_urgency", "urgence")
+_rules_over_texts("rule_topic", "topics")
+_rules_over_texts("rule_incident", "incident")
+_rules_over_texts("rule_classify", "is_claim", "urgence", "topics", extended=False)
+_rules_over_texts("rule_classify_extended", "is_claim", "urgence", "topics", "incident")
+
+
+@query
+def rule_statistics(spark, folder):
+    return R.rule_statistics(R.classify_rules(feedback(spark, folder)))
+
+
+@query
+def theme_patterns(spark, folder):
+    out = all_texts(spark, folder)
+    for rule_set in L.RULE_SETS:
+        out = R.classify_by_lexicon(out, rule_set)
+    return out.drop("text")
+
+
+@query
+def term_hits(spark, folder):
+    return R.term_hits(feedback(spark, folder), "msg_id", "theme")
+
+
+@query
+def term_frequency(spark, folder):
+    return R.term_frequency(R.term_hits(all_texts(spark, folder), "id", "theme"))
+
+
+# --- scored tier -------------------------------------------------------------------------
+
+def _scored_over_texts(name, *columns):
+    def run(spark, folder):
+        return scored.classify_scored(all_texts(spark, folder)).select("kind", "id", *columns)
+    run.__name__ = name
+    query(run)
+
+
+_scored_over_texts("score_sentiment", "sentiment", "sent_conf")
+_scored_over_texts("score_claim", "reclamation", "claim_conf")
+_scored_over_texts("score_urgency", "urgence")
+_scored_over_texts("score_theme", "theme", "theme_conf")
+_scored_over_texts("infer_incident", "type_incident")
+_scored_over_texts("infer_team", "responsable")
+_scored_over_texts("global_confidence", "confiance")
+
+
+@query
+def polarity_sentiment(spark, folder):
+    """The polarity stands in for a model's: a value in -1..1 from the text length."""
+    polarity = (F.length("text") % 21 - 10) / 10.0
+    return feedback(spark, folder).where("text is not null").select(
+        "msg_id", F.inline(F.array(scored.polarity_sentiment(polarity))))
+
+
+@query
+def classify_scored(spark, folder):
+    record = scored.classify_scored_record(feedback(spark, folder).select("msg_id", "text"))
+    m = F.col("record.metadata")
+    return record.select(
+        "msg_id", *[F.col(f"record.{c}") for c in (
+            "sentiment", "reclamation", "urgence", "theme", "type_incident", "responsable",
+            "confiance", "error")],
+        *[F.round(m[k], 4).alias(k) for k in ("sent_conf", "reclam_conf", "theme_conf")])
+
+
+@query
+def zero_shot_theme(spark, folder):
+    return scoring.zero_shot_theme(feedback(spark, folder)).select(
+        "msg_id", "theme", F.round("theme_score", 6).alias("theme_score"))
+
+
+# --- model scoring -----------------------------------------------------------------------
+
+@query
+def score_batches(spark, folder):
+    return scoring.score_batches(feedback(spark, folder)).select(
+        "msg_id", "sentiment", "sentiment_detail",
+        F.round("sentiment_confidence", 6).alias("sentiment_confidence"))
+
+
+@query
+def collapse_stars(spark, folder):
+    scores = F.slice("embedding", 1, 5).cast("array<double>")
+    return (table(spark, folder, "embeddings")
+            .select("vec_id", F.inline(F.array(guards.collapse_stars(scores))))
+            .withColumn("confidence", F.round("confidence", 6)))
+
+
+@query
+def star_sentiment(spark, folder):
+    """Star names made from the user number; 6 stars is unknown."""
+    n = F.col("user_id") % 6 + 1
+    name = F.concat(n.cast("string"), F.when(n == 1, " star").otherwise(" stars"))
+    return table(spark, folder, "events").select(
+        "event_id", name.alias("stars"), guards.star_sentiment(name).alias("sentiment"))
+
+
+@query
+def calibrate_sentiment(spark, folder):
+    rows = fallback.fallback_basic(feedback(spark, folder))
+    return guards.calibrate_sentiment(rows).select("msg_id", "sentiment", "confidence")
+
+
+# --- language-model batches --------------------------------------------------------------
+
+@query
+def make_batches(spark, folder):
+    return batches.make_batches(feedback(spark, folder), block=4096).select("msg_id", "batch_id",
+                                                                            "pos")
+
+
+@query
+def build_prompts(spark, folder):
+    return batches.build_prompts(batches.make_batches(feedback(spark, folder)))
+
+
+@query
+def parse_responses(spark, folder):
+    parsed = batches.parse_responses(defective_replies(feedback(spark, folder)))
+    # size() of a null array is -1 or null by configuration; be explicit
+    return parsed.select("batch_id", F.when(F.col("results").isNotNull(), F.size("results"))
+                         .alias("answers"))
+
+
+def _padded(spark, folder):
+    messages = feedback(spark, folder)
+    parsed = batches.parse_responses(defective_replies(messages))
+    return batches.pad_responses(batches.make_batches(messages), parsed)
+
+
+LABELS = ["sentiment", "categorie", "score_confiance", "is_claim", "urgence", "topics",
+          "incident"]
+
+
+@query
+def pad_responses(spark, folder):
+    return _padded(spark, folder).select("msg_id", "batch_id", "pos", "answered", *LABELS)
+
+
+@query
+def validate_result_strict(spark, folder):
+    return guards.validate_strict(_padded(spark, folder)).select("msg_id", *LABELS)
+
+
+@query
+def validate_result_synonyms(spark, folder):
+    return guards.validate_synonyms(_padded(spark, folder)).select("msg_id", *LABELS)
+
+
+@query
+def guard_local(spark, folder):
+    return guards.guard_local(guards.validate_strict(_padded(spark, folder))).select("msg_id",
+                                                                                     *LABELS)
+
+
+@query
+def guard_cloud(spark, folder):
+    return guards.guard_cloud(guards.validate_synonyms(_padded(spark, folder))).select(
+        "msg_id", *LABELS)
+
+
+@query
+def classify_replies_local(spark, folder):
+    messages = feedback(spark, folder)
+    return classify.classify_replies(messages, defective_replies(messages), provider="local") \
+        .select("msg_id", *LABELS)
+
+
+@query
+def classify_replies_cloud(spark, folder):
+    messages = feedback(spark, folder)
+    return classify.classify_replies(messages, defective_replies(messages)).select("msg_id",
+                                                                                   *LABELS)
+
+
+@query
+def fallback_local(spark, folder):
+    return fallback.fallback_local(all_texts(spark, folder)).drop("text")
+
+
+@query
+def fallback_cloud(spark, folder):
+    return fallback.fallback_cloud(all_texts(spark, folder)).drop("text")
+
+
+@query
+def fallback_basic(spark, folder):
+    return fallback.fallback_basic(all_texts(spark, folder)).drop("text")
+
+
+@query
+def tag_provenance(spark, folder):
+    rows = fallback.fallback_cloud(feedback(spark, folder))
+    return batches.tag_provenance(rows, "cloud", "terms-1", "2024-01-31T00:00:00").select(
+        "msg_id", "confidence", "classification_method", "model_name",
+        "classification_timestamp")
+
+
+@query
+def classification_stats(spark, folder):
+    return batches.classification_stats(fallback.fallback_cloud(feedback(spark, folder)))
+
+
+# --- tiers together ----------------------------------------------------------------------
+
+def classified(spark: SparkSession, folder: str) -> DataFrame:
+    """Feedback with all indicator columns, by the count-based rules."""
+    return fallback.fallback_cloud(feedback(spark, folder)).withColumn(
+        "confidence", F.col("score_confiance"))
+
+
+@query
+def sample_priority(spark, folder):
+    return sampling.sample_priority(R.classify_rules(feedback(spark, folder))).select("msg_id",
+                                                                                      "stratum")
+
+
+@query
+def sample_diverse(spark, folder):
+    return sampling.sample_diverse(classified(spark, folder)).select("msg_id", "stratum")
+
+
+@query
+def clean_on_demand(spark, folder):
+    rows = merge.clean_on_demand(feedback(spark, folder), "text_cleaned")
+    return merge.clean_on_demand(rows, "text_cleaned").select("msg_id", "text_cleaned")
+
+
+def _preliminary(spark, folder):
+    return R.classify_rules(feedback(spark, folder)).withColumnsRenamed(
+        {"topics": "topics_preliminary", "incident": "incident_preliminary"})
+
+
+@query
+def merge_tier_results(spark, folder):
+    """Answers exist for the messages of the error channel."""
+    answers = fallback.fallback_local(feedback(spark, folder).where("channel = 'error'"))
+    return merge.merge_tier_results(_preliminary(spark, folder), answers).select(
+        "msg_id", "is_claim", "topics", "incident", "confidence")
+
+
+@query
+def backfill_prelim(spark, folder):
+    answers = fallback.fallback_local(feedback(spark, folder).where("channel = 'error'"))
+    merged = merge.merge_tier_results(_preliminary(spark, folder), answers)
+    return merge.backfill_prelim(merged).select("msg_id", "topics", "incident")
+
+
+@query
+def aggregate_confidence(spark, folder):
+    answers = fallback.fallback_local(feedback(spark, folder).where("channel = 'error'"))
+    base = classify.base_tiers(feedback(spark, folder))
+    merged = merge.merge_tier_results(base, answers).withColumnRenamed("confidence",
+                                                                       "mistral_confidence")
+    return merge.aggregate_confidence(merged).select(
+        "msg_id", F.round("confidence", 6).alias("confidence"))
+
+
+@query
+def enforce_consistency(spark, folder):
+    rows = T.clean_messages(fallback.fallback_basic(feedback(spark, folder)))
+    return guards.enforce_consistency(rows).select("msg_id", "is_claim", "urgence", "incident",
+                                                   "topics", "confidence")
+
+
+def _classify_mode(name, mode):
+    def run(spark, folder):
+        return classify.classify(feedback(spark, folder), mode=mode).select(
+            "msg_id", "sentiment", "is_claim", "urgence", "topics", "incident",
+            F.round("confidence", 6).alias("confidence"))
+    run.__name__ = name
+    query(run)
+
+
+_classify_mode("classify_mode", "balanced")
+_classify_mode("classify_mode_fast", "fast")
+_classify_mode("classify_mode_precise", "precise")
+
+
+@query
+def complete_columns(spark, folder):
+    rows = _preliminary(spark, folder).select("msg_id", "is_claim", "topics_preliminary")
+    return merge.complete_columns(rows)
+
+
+@query
+def result_cache(spark, folder):
+    """A first run filled the cache with the messages before 2024-01-16; the second run takes
+    all messages, scores what is missing once per text, and appends it."""
+    messages = feedback(spark, folder)
+    path = shared_folder(spark, "cache")
+
+    def score(texts):
+        return classify.term_sentiment(texts, "text").select(
+            "key", "sentiment", F.col("bert_confidence").alias("confidence"))
+    nothing = spark.createDataFrame([], "key string, sentiment string, confidence double")
+    _, first = merge.split_by_cache(messages.where("ts < '2024-01-16'"), nothing, "bert")
+    merge.append_cache(score(first), path)
+    cache = spark.read.schema(nothing.schema).parquet(path)
+    hits, misses = merge.split_by_cache(messages, cache, "bert")
+    stats = merge.cache_statistics(hits, misses).collect()[0].asDict()   # one row
+    merge.append_cache(score(misses), path)
+    after = spark.read.schema(nothing.schema).parquet(path)
+    return after.agg(F.count("*").alias("entries")).select(
+        "entries", *[F.lit(v).alias(k) for k, v in stats.items()])
+
+
+@query
+def classification_report(spark, folder):
+    r = merge.classification_report(classified(spark, folder))
+    maps = ["sentiment", "urgence", "topics", "incident"]
+    return r.select(*[c for c in r.columns if not c.endswith("_distribution")],
+                    *[F.to_json(f"{c}_distribution").alias(f"{c}_json") for c in maps])
+
+
+@query
+def run_metrics(spark, folder):
+    return merge.run_metrics(feedback(spark, folder), [
+        ("cleaning", T.clean_messages), ("rules", R.classify_rules),
+        ("fallback", fallback.fallback_cloud)], "fast")
+
+
+@query
+def claims_by_language(spark, folder):
+    """Documents cleaned, classified by rules and scores, and summed up per language."""
+    docs = T.clean_messages(table(spark, folder, "documents").select("doc_id", "lang", "text"))
+    rows = scored.score_sentiment(R.classify_rules(docs, "text_cleaned"), "text_cleaned")
+    n = F.count("*")
+    claims = F.count_if(F.col("is_claim") == "oui")
+    high = F.count_if(F.col("urgence") == "haute")
+    negative = F.count_if(F.col("sentiment") == "NEGATIF")
+    return rows.groupBy("lang").agg(
+        n.alias("total"), claims.alias("claims"), kpi.percent(claims, n).alias("claim_pct"),
+        high.alias("high_urgency"), kpi.percent(high, n).alias("high_urgency_pct"),
+        negative.alias("negative"), F.count_if(F.col("topics") == "fibre").alias("fibre"),
+        F.count_if(F.col("topics") == "mobile").alias("mobile"),
+        F.count_if(F.col("topics") == "facture").alias("facture"),
+        F.count_if(F.col("topics") == "autre").alias("autre"))

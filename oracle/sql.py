@@ -1,9 +1,12 @@
 """DuckDB SQL for the registered queries."""
 
 from echolens.functions import lexicon as L
-from oracle.base import (ALL_TEXTS, FEEDBACK, NS, S, W, any_, arr, ascii_, cleaned, collapse,
-                         emoji, preprocess, q, rules, strip_mentions, strip_special, strip_urls,
-                         strip_urls_dotted, unwrap_hashtags, with_)
+from echolens.operators.batches import PROMPT
+from oracle.base import (ALL_TEXTS, FEEDBACK, NS, S, W, any_, arr, ascii_, calibrated, cascade,
+                         cleaned, cnt, collapse, consistency, emoji, fallback_basic,
+                         fallback_cloud, fallback_local, guard_steps, lst, preprocess, q, rules,
+                         scored, strip_mentions, strip_special, strip_urls, strip_urls_dotted,
+                         unwrap_hashtags, vocab, with_)
 
 SQL = {}
 
@@ -127,3 +130,332 @@ SELECT count(*) AS n_rows, count(DISTINCT text) + max((text IS NULL)::int) AS n_
 SQL["duplicate_groups"] = with_(FEEDBACK, body="""
 SELECT coalesce(md5(text), '') AS key, count(*) AS n, min(msg_id) AS first_id
 FROM feedback GROUP BY 1 HAVING count(*) > 1""")
+
+# --- rule tier ---------------------------------------------------------------------------
+
+
+def texts_rules(name, columns):
+    SQL[name] = with_(ALL_TEXTS, body=f"SELECT kind, id, {columns} FROM ({rules('texts')})")
+
+
+CLAIM_INT = "(is_claim = 'oui')::int AS is_claim"
+texts_rules("rule_claim", CLAIM_INT)
+texts_rules("rule_urgency", "urgence")
+texts_rules("rule_topic", "topics")
+texts_rules("rule_incident", "incident")
+texts_rules("rule_classify", f"{CLAIM_INT}, urgence, topics")
+texts_rules("rule_classify_extended", "is_claim, urgence, topics, incident")
+SQL["rule_statistics"] = with_(FEEDBACK, f"r AS ({rules('feedback')})", body="""
+SELECT 'total' AS measure, '' AS label, count(*)::double AS value FROM r
+UNION ALL SELECT 'claims_count', '', count(*) FILTER (is_claim = 'oui')::double FROM r
+UNION ALL SELECT 'claims_percentage', '',
+  round(count(*) FILTER (is_claim = 'oui') * 100.0::double / count(*), 4) FROM r
+UNION ALL SELECT 'urgence', urgence, count(*)::double FROM r GROUP BY urgence
+UNION ALL SELECT 'topics', topics, count(*)::double FROM r GROUP BY topics""")
+
+
+def lexicon_case(rule_set):
+    sets = L.RULE_SETS[rule_set]
+    best = "greatest(" + ", ".join(cnt("t", ts) for _, ts in sets) + ", 0)"
+    return (f"CASE {best} WHEN 0 THEN {q(L.RULE_SET_DEFAULTS[rule_set])} "
+            + " ".join(f"WHEN {cnt('t', ts)} THEN {q(k)}" for k, ts in sets)
+            + f" END AS {rule_set}")
+
+
+SQL["theme_patterns"] = with_(ALL_TEXTS, body="SELECT kind, id, " + ", ".join(
+    lexicon_case(r) for r in L.RULE_SETS)
+    + " FROM (SELECT *, lower(coalesce(text, '')) AS t FROM texts)")
+THEME_TERMS = "lex(label, term) AS (VALUES " + ", ".join(
+    f"({q(k)}, {q(t)})" for k, ts in L.RULE_SETS["theme"] for t in ts) + ")"
+SQL["term_hits"] = with_(FEEDBACK, THEME_TERMS, body="""
+SELECT msg_id, label, term FROM feedback, lex WHERE contains(lower(text), term)""")
+SQL["term_frequency"] = with_(ALL_TEXTS, THEME_TERMS, body="""
+SELECT label, term, count(*) AS n FROM texts, lex WHERE contains(lower(text), term)
+GROUP BY label, term HAVING count(*) >= 5""")
+
+# --- scored tier -------------------------------------------------------------------------
+
+
+def texts_scored(name, columns):
+    SQL[name] = with_(ALL_TEXTS, body=f"SELECT kind, id, {columns} FROM ({scored('texts')})")
+
+
+def unless_blank(c):
+    return f"CASE WHEN coalesce(text, '') <> '' THEN {c} END AS {c}"
+
+
+texts_scored("score_sentiment", "sentiment, " + unless_blank("sent_conf"))
+texts_scored("score_claim", "reclamation, " + unless_blank("claim_conf"))
+texts_scored("score_urgency", "urgence")
+texts_scored("score_theme", "theme, " + unless_blank("theme_conf"))
+texts_scored("infer_incident", "type_incident")
+texts_scored("infer_team", "responsable")
+texts_scored("global_confidence", "confiance")
+SQL["polarity_sentiment"] = with_(FEEDBACK, body="""
+SELECT msg_id, CASE WHEN p > 0.1::double THEN 'POSITIF' WHEN p < -0.1::double THEN 'NEGATIF'
+  ELSE 'NEUTRE' END AS label, CASE WHEN abs(p) > 0.1::double THEN abs(p) ELSE 0.5::double END
+  AS score
+FROM (SELECT msg_id, (length(text) % 21 - 10) / 10.0::double AS p FROM feedback
+  WHERE text IS NOT NULL)""")
+SQL["classify_scored"] = with_(FEEDBACK, body=f"""
+SELECT msg_id, sentiment, reclamation, urgence, theme, type_incident, responsable, confiance,
+  CASE WHEN coalesce(text, '') = '' THEN 'empty_text' END AS error,
+  CASE WHEN coalesce(text, '') <> '' THEN round(sent_conf, 4) END AS sent_conf,
+  CASE WHEN coalesce(text, '') <> '' THEN round(claim_conf, 4) END AS reclam_conf,
+  CASE WHEN coalesce(text, '') <> '' THEN round(theme_conf, 4) END AS theme_conf
+FROM ({scored('feedback')})""")
+TH = dict(L.SCORED_THEME)
+SQL["zero_shot_theme"] = with_(FEEDBACK, "h AS (SELECT msg_id, [" + ", ".join(
+    cnt("lower(coalesce(text, ''))", TH[t]) if t in TH else "0" for _, t in L.THEME_CANDIDATES)
+    + "] AS n FROM feedback)", body=f"""
+SELECT msg_id, CASE WHEN list_sum(n) = 0 THEN 'AUTRE' ELSE
+  {arr([t for _, t in L.THEME_CANDIDATES])}[list_position(n, list_max(n))] END AS theme,
+  CASE WHEN list_sum(n) = 0 THEN 0.5::double
+       ELSE round(list_max(n)::double / list_sum(n), 6) END AS theme_score FROM h""")
+
+# --- model scoring -----------------------------------------------------------------------
+LOW = "lower(coalesce(text, ''))"
+SQL["score_batches"] = with_(FEEDBACK, f"""b AS (
+  SELECT *, greatest(-2, least(2, {cnt(LOW, L.SCORED_POSITIVE)} - {cnt(LOW, L.SCORED_NEGATIVE)}))
+    AS k FROM feedback)""", """s AS (SELECT *,
+  {}[k + 3] AS sentiment_detail, {}[k + 3] AS sentiment,
+  1 / (exp(-abs(k + 2)) + exp(-abs(k + 1)) + exp(-abs(k)) + exp(-abs(k - 1)) + exp(-abs(k - 2)))
+    AS conf FROM b)""".format(arr(L.STAR_LABELS), arr(L.STAR_SENTIMENTS)), body=f"""
+SELECT msg_id, sentiment, sentiment_detail, round(conf, 6) AS sentiment_confidence
+FROM ({calibrated('s', 'text', 'sentiment', 'conf')})""")
+SQL["collapse_stars"] = f"""
+SELECT vec_id, {arr(L.STAR_LABELS)}[p] AS label, {arr(L.STAR_SENTIMENTS)}[p] AS sentiment,
+  round(1 / list_sum(list_transform(e, lambda x: exp(x - list_max(e)))), 6) AS confidence
+FROM (SELECT vec_id, e, list_position(e, list_max(e)) AS p
+  FROM (SELECT vec_id, embedding[1:5]::double[] AS e FROM embeddings))"""
+SQL["star_sentiment"] = """
+SELECT event_id, stars, CASE stars WHEN '5 stars' THEN 'POSITIF' WHEN '4 stars' THEN 'POSITIF'
+  WHEN '2 stars' THEN 'NEGATIF' WHEN '1 star' THEN 'NEGATIF' ELSE 'NEUTRE' END AS sentiment
+FROM (SELECT event_id, (user_id % 6 + 1) || CASE WHEN user_id % 6 = 0 THEN ' star'
+  ELSE ' stars' END AS stars FROM events)"""
+SQL["calibrate_sentiment"] = with_(FEEDBACK, f"b AS ({fallback_basic('feedback')})", body=f"""
+SELECT msg_id, sentiment, confidence FROM ({calibrated('b', 'text')})""")
+
+# --- language-model batches --------------------------------------------------------------
+BATCHES = """batches AS (SELECT *, (row_number() OVER (ORDER BY msg_id) - 1) // 50 AS batch_id,
+  ((row_number() OVER (ORDER BY msg_id) - 1) % 50)::int AS pos FROM feedback)"""
+SQL["make_batches"] = with_(FEEDBACK, BATCHES, body="SELECT msg_id, batch_id, pos FROM batches")
+HEAD, TAIL = PROMPT.replace("%2$s", "").split("%1$d")
+SQL["build_prompts"] = with_(FEEDBACK, BATCHES, body=f"""
+SELECT batch_id, count(*)::int AS n, {q(HEAD)} || count(*) || {q(TAIL)} ||
+  string_agg(pos || ': ' || coalesce(text, '') || chr(10), '' ORDER BY pos) AS prompt
+FROM batches GROUP BY batch_id""")
+# what the stand-in service answers, row by row
+REPLIES = f"""asked AS (SELECT *, count(*) OVER (PARTITION BY batch_id) AS n,
+    batch_id % 7 <> 3 AS answered FROM ({fallback_local('batches')})),
+replied AS (SELECT msg_id, batch_id, pos, text, answered,
+  answered AND NOT (batch_id % 5 = 1 AND pos >= n - 3) AS there, pos % 4 AS v, pos % 9 = 5 AS odd,
+  sentiment AS s0, categorie AS c0, score_confiance AS p0, is_claim AS k0, urgence AS u0,
+  topics AS t0, incident AS i0 FROM asked),
+padded AS (SELECT msg_id, batch_id, pos, text, answered,
+  CASE WHEN NOT there THEN NULL WHEN v = 1 THEN CASE s0 WHEN 'positif' THEN 'Positive'
+    WHEN 'negatif' THEN 'NEGATIVE' ELSE ' Neutral ' END ELSE s0 END AS sentiment,
+  CASE WHEN there AND v <> 2 THEN c0 END AS categorie,
+  CASE WHEN there AND odd THEN 1.7::double WHEN there AND v <> 2 THEN p0 END AS score_confiance,
+  CASE WHEN NOT there OR v = 2 THEN NULL WHEN v = 1 THEN
+    CASE k0 WHEN 'oui' THEN 'YES' ELSE 'no' END ELSE k0 END AS is_claim,
+  CASE WHEN there AND odd THEN 'maximal' WHEN there AND v <> 2 THEN u0 END AS urgence,
+  CASE WHEN there AND v = 3 THEN 'inconnu' WHEN there AND v <> 2 THEN t0 END AS topics,
+  CASE WHEN there AND v <> 2 THEN i0 END AS incident FROM replied)"""
+LABELS = "sentiment, categorie, score_confiance, is_claim, urgence, topics, incident"
+SQL["parse_responses"] = with_(FEEDBACK, BATCHES, body="""
+SELECT batch_id, (CASE WHEN batch_id % 7 = 3 THEN NULL WHEN batch_id % 5 = 1
+    THEN greatest(count(*) - 3, 0) WHEN batch_id % 5 = 2 THEN count(*) + least(count(*), 2)
+    ELSE count(*) END)::int AS answers FROM batches GROUP BY batch_id""")
+SQL["pad_responses"] = with_(FEEDBACK, BATCHES, REPLIES, body=f"""
+SELECT msg_id, batch_id, pos, answered, {LABELS} FROM padded""")
+
+
+def validated(name, score, synonyms):
+    """CTEs ``<name>1..3`` and ``<name>``: fields in order of dependence."""
+    raw = lambda c: f"lower(trim({c}))"
+    keep = lambda c, values: f"CASE WHEN {raw(c)} IN {lst(values)} THEN {raw(c)}"
+    no_inc = "CASE WHEN is_claim = 'non' THEN 'aucun' ELSE 'non_specifie' END"
+    from_sent = "CASE WHEN sentiment = 'negatif' THEN 'oui' ELSE 'non' END"
+    if synonyms:
+        sent = vocab(raw("sentiment"), L.SENTIMENT_SYNONYMS, "'neutre'")
+        cat = vocab(raw("categorie"), L.CATEGORY_SYNONYMS, "'autre'")
+        claim = vocab(raw("coalesce(is_claim, 'non')"), L.CLAIM_SYNONYMS, from_sent)
+        urg = vocab(raw("coalesce(urgence, 'faible')"), L.URGENCY_SYNONYMS,
+                    "CASE WHEN is_claim = 'oui' AND sentiment = 'negatif' THEN 'haute' "
+                    "WHEN is_claim = 'oui' THEN 'moyenne' ELSE 'faible' END")
+    else:
+        sent = keep("sentiment", L.SENTIMENTS) + " ELSE 'neutre' END"
+        cat = keep("categorie", L.CATEGORIES) + " ELSE 'autre' END"
+        claim = keep("is_claim", L.CLAIMS) + f" ELSE {from_sent} END"
+        urg = keep("coalesce(urgence, 'faible')", L.URGENCIES) \
+            + " WHEN is_claim = 'oui' THEN 'moyenne' ELSE 'faible' END"
+    return f"""{name}1 AS (SELECT * REPLACE ({sent} AS sentiment, {cat} AS categorie,
+  CAST(printf('%.2f', {score}) AS DOUBLE) AS score_confiance) FROM padded),
+{name}2 AS (SELECT * REPLACE ({claim} AS is_claim) FROM {name}1),
+{name} AS (SELECT * REPLACE ({urg} AS urgence,
+  {keep('topics', L.TOPICS)} WHEN categorie IN ('promotion', 'autre') THEN categorie
+    ELSE 'autre' END AS topics,
+  {keep('incident', L.INCIDENTS)} ELSE {no_inc} END AS incident) FROM {name}2)"""
+
+
+STRICT = validated("st", "greatest(0.4::double, least(0.99::double, "
+                   "coalesce(score_confiance, 0.6::double)))", False)
+SYNONYMS = validated("sy", "greatest(0.0::double, least(1.0::double, "
+                     "coalesce(score_confiance, 0.5::double)))", True)
+CHAIN = (FEEDBACK, BATCHES, REPLIES)
+SQL["validate_result_strict"] = with_(*CHAIN, STRICT, body=f"SELECT msg_id, {LABELS} FROM st")
+SQL["validate_result_synonyms"] = with_(*CHAIN, SYNONYMS,
+                                        body=f"SELECT msg_id, {LABELS} FROM sy")
+SQL["guard_local"] = with_(*CHAIN, STRICT, guard_steps("st", "text", True),
+                           body=f"SELECT msg_id, {LABELS} FROM g")
+SQL["guard_cloud"] = with_(*CHAIN, SYNONYMS, guard_steps("sy", "text", False),
+                           body=f"SELECT msg_id, {LABELS} FROM g")
+SQL["classify_replies_local"] = with_(
+    *CHAIN, STRICT, guard_steps("st", "text", True), body=f"""
+SELECT msg_id, {LABELS} FROM g WHERE answered UNION ALL
+SELECT msg_id, {LABELS} FROM ({fallback_local('(SELECT msg_id, text FROM padded WHERE NOT answered)')})""")
+SQL["classify_replies_cloud"] = with_(
+    *CHAIN, SYNONYMS, f"seen AS (SELECT *, {preprocess('text')} AS seen FROM sy)",
+    guard_steps("seen", "seen", False, "a"), f"""
+un AS (SELECT msg_id, text, {LABELS} FROM a WHERE answered UNION ALL SELECT msg_id, text, {LABELS}
+  FROM ({fallback_cloud('(SELECT msg_id, text, seen FROM seen WHERE NOT answered)', 'seen')}))""",
+    guard_steps("un", "text", False), body=f"SELECT msg_id, {LABELS} FROM g")
+for _name, _f in (("fallback_local", fallback_local), ("fallback_cloud", fallback_cloud),
+                  ("fallback_basic", fallback_basic)):
+    SQL[_name] = with_(ALL_TEXTS, body=f"SELECT * EXCLUDE (text) FROM ({_f('texts')})")
+SQL["tag_provenance"] = with_(FEEDBACK, body=f"""
+SELECT msg_id, score_confiance AS confidence, 'cloud' AS classification_method,
+  'terms-1' AS model_name, '2024-01-31T00:00:00' AS classification_timestamp
+FROM ({fallback_cloud('feedback')})""")
+CLS = (f"cls AS (SELECT *, score_confiance AS confidence FROM ({fallback_cloud('feedback')}))")
+SQL["classification_stats"] = with_(FEEDBACK, CLS, body="""
+SELECT 'total_classified' AS measure, '' AS label, count(*)::double AS value FROM cls
+UNION ALL SELECT 'avg_confidence', '', round(avg(score_confiance), 4) FROM cls
+UNION ALL SELECT 'min_confidence', '', min(score_confiance) FROM cls
+UNION ALL SELECT 'max_confidence', '', max(score_confiance) FROM cls
+UNION ALL SELECT 'sentiment', sentiment, count(*)::double FROM cls GROUP BY sentiment
+UNION ALL SELECT 'categorie', categorie, count(*)::double FROM cls GROUP BY categorie""")
+
+# --- tiers together ----------------------------------------------------------------------
+
+
+def priority_sample(src, out):
+    """CTEs of the priority sample: ``<out>(msg_id, stratum)``."""
+    return f"""{out}_s AS (SELECT msg_id, CASE WHEN is_claim = 'oui' AND urgence = 'haute' THEN 'urgent'
+    WHEN is_claim = 'oui' AND urgence = 'moyenne' THEN 'medium' WHEN is_claim = 'oui' THEN 'low'
+    ELSE 'rest' END AS stratum FROM {src}),
+{out}_r AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY md5('42|' || msg_id)) AS r
+  FROM {out}_s),
+{out}_n AS (SELECT count(*) AS n, count(*) FILTER (stratum = 'urgent') AS a,
+  count(*) FILTER (stratum = 'medium') AS b, count(*) FILTER (stratum = 'rest') AS c FROM {out}_s),
+{out} AS (SELECT msg_id, stratum FROM {out}_r, {out}_n WHERE
+  CASE stratum WHEN 'urgent' THEN true WHEN 'medium' THEN r <= greatest(b // 2, 50)
+    WHEN 'low' THEN a + b + c = 0 AND r <= 100
+    ELSE r <= greatest(floor(n * 0.2::double) - a - least(b, greatest(b // 2, 50)), 50) END)"""
+
+
+SQL["sample_priority"] = with_(FEEDBACK, f"r AS ({rules('feedback')})", priority_sample("r", "sm"),
+                               body="SELECT msg_id, stratum FROM sm")
+SQL["sample_diverse"] = with_(FEEDBACK, CLS, """s AS (SELECT msg_id, md5('42|' || msg_id) AS h,
+    CASE WHEN is_claim = 'oui' THEN 'claim' ELSE 's:' || sentiment END AS stratum FROM cls)""", """
+p AS (SELECT count(*) AS n, greatest(100, floor(count(*) * 0.2::double)) AS size,
+  count(*) FILTER (is_claim = 'oui') AS claims, count(DISTINCT sentiment) AS kinds FROM cls)""", """
+a AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY h) AS r FROM s)""", """
+b AS (SELECT *, CASE WHEN stratum = 'claim' THEN r <= size
+  ELSE r <= floor(greatest(size - claims, 0) / kinds) END AS chosen FROM a, p)""", """
+c AS (SELECT *, row_number() OVER (PARTITION BY chosen ORDER BY h) AS rest,
+  size - count(*) FILTER (chosen) OVER () AS missing FROM b)""", body="""
+SELECT msg_id, stratum FROM c WHERE chosen OR rest <= missing""")
+SQL["clean_on_demand"] = with_(FEEDBACK, body=f"""
+SELECT msg_id, text_cleaned FROM ({cleaned('feedback')})""")
+ERRORS = "(SELECT * FROM feedback WHERE channel = 'error')"
+ANSWERS = f"ans AS ({fallback_local(ERRORS)})"
+SQL["merge_tier_results"] = with_(FEEDBACK, f"r AS ({rules('feedback')})", ANSWERS, body="""
+SELECT r.msg_id, coalesce(a.is_claim, r.is_claim) AS is_claim, a.categorie AS topics, a.incident,
+  a.score_confiance AS confidence FROM r LEFT JOIN ans a USING (msg_id)""")
+SQL["backfill_prelim"] = with_(FEEDBACK, f"r AS ({rules('feedback')})", ANSWERS, body="""
+SELECT r.msg_id, coalesce(a.categorie, r.topics) AS topics,
+  coalesce(a.incident, r.incident) AS incident FROM r LEFT JOIN ans a USING (msg_id)""")
+PRE = preprocess("text_cleaned")
+TERMS = f"""cl AS ({cleaned('feedback')}),
+m0 AS (SELECT *, CASE WHEN p > n THEN 'positif' WHEN n > p THEN 'negatif' ELSE 'neutre' END
+    AS sentiment, CASE WHEN pc = '' THEN 0.0::double WHEN p <> n THEN 0.6::double
+    ELSE 0.5::double END AS model_conf
+  FROM (SELECT *, {cnt('pc', L.SCORED_POSITIVE)} AS p, {cnt('pc', L.SCORED_NEGATIVE)} AS n
+    FROM (SELECT *, {PRE} AS pc FROM cl))),
+tiers AS (SELECT * EXCLUDE (p, n, pc) FROM ({rules('(' + calibrated('m0', 'text_cleaned', 'sentiment', 'model_conf') + ')', 'text_cleaned')}))"""
+SQL["aggregate_confidence"] = with_(FEEDBACK, TERMS, ANSWERS, body="""
+SELECT t.msg_id, round((model_conf + coalesce(a.score_confiance, 0)
+  + CASE WHEN coalesce(a.is_claim, t.is_claim) = 'oui' THEN 0.85::double ELSE 0.70::double END)
+  / CASE WHEN a.msg_id IS NULL THEN 2 ELSE 3 END, 6) AS confidence
+FROM tiers t LEFT JOIN ans a USING (msg_id)""")
+SQL["enforce_consistency"] = with_(FEEDBACK, f"cl AS ({cleaned('feedback')})",
+                                   f"b AS ({fallback_basic('cl')})",
+                                   consistency("b", "text_cleaned"), body="""
+SELECT msg_id, is_claim, urgence, incident, topics, confidence FROM k""")
+
+
+def mode(chosen):
+    """The merged table: ``chosen`` is the condition for rows the costly tier answered."""
+    llm = fallback_local("(SELECT msg_id, text_cleaned FROM tiers)", "text_cleaned")
+    return f"""llm AS ({llm}), mg AS (
+  SELECT t.msg_id, t.text_cleaned, t.sentiment, t.urgence,
+    CASE WHEN {chosen} THEN l.is_claim ELSE t.is_claim END AS is_claim,
+    CASE WHEN {chosen} THEN l.categorie ELSE t.topics END AS topics,
+    CASE WHEN {chosen} THEN l.incident ELSE t.incident END AS incident,
+    CASE WHEN {chosen} THEN (model_conf + l.score_confiance
+        + CASE WHEN l.is_claim = 'oui' THEN 0.85::double ELSE 0.70::double END) / 3
+      ELSE (model_conf + CASE WHEN t.is_claim = 'oui' THEN 0.85::double ELSE 0.70::double END) / 2
+      END AS confidence FROM tiers t JOIN llm l USING (msg_id))"""
+
+
+MODE_BODY = ("SELECT msg_id, sentiment, is_claim, urgence, topics, incident, "
+             "round(confidence, 6) AS confidence FROM k")
+SQL["classify_mode"] = with_(FEEDBACK, TERMS, priority_sample("tiers", "sm"),
+                             mode("t.msg_id IN (SELECT msg_id FROM sm)"),
+                             consistency("mg", "text_cleaned"), body=MODE_BODY)
+SQL["classify_mode_fast"] = with_(FEEDBACK, TERMS, mode("false"),
+                                  consistency("mg", "text_cleaned"), body=MODE_BODY)
+SQL["classify_mode_precise"] = with_(FEEDBACK, TERMS, mode("true"),
+                                     consistency("mg", "text_cleaned"), body=MODE_BODY)
+SQL["complete_columns"] = with_(FEEDBACK, body=f"""
+SELECT msg_id, is_claim, 'neutre' AS sentiment, 'faible' AS urgence, 'autre' AS topics,
+  'autre' AS incident, 0.5::double AS confidence FROM ({rules('feedback')})""")
+SQL["result_cache"] = with_(FEEDBACK, """k AS (
+  SELECT md5('bert:v2:' || coalesce(text, '')) AS key, ts < '2024-01-16' AS early FROM feedback),
+e AS (SELECT DISTINCT key FROM k WHERE early)""", body="""
+SELECT count(DISTINCT key) AS entries, count(*) FILTER (key IN (SELECT key FROM e)) AS hits,
+  count(*) FILTER (key NOT IN (SELECT key FROM e)) AS misses,
+  round(count(*) FILTER (key IN (SELECT key FROM e)) * 100.0::double / count(*), 4) AS hit_rate
+FROM k""")
+
+
+def counts_json(c):
+    return (f"(SELECT '{{' || string_agg('\"' || {c} || '\":' || n, ',' ORDER BY {c}) || '}}' "
+            f"FROM (SELECT {c}, count(*) AS n FROM cls GROUP BY {c})) AS {c}_json")
+
+
+SQL["classification_report"] = with_(FEEDBACK, CLS, body=f"""
+SELECT count(*) AS total, count(*) FILTER (is_claim = 'oui') AS claims_count,
+  round(count(*) FILTER (is_claim = 'oui') * 100.0::double / count(*), 4) AS claims_percentage,
+  round(count(*) FILTER (sentiment = 'positif') * 100.0::double / count(*), 4)
+    AS sentiment_positif_pct,
+  round(count(*) FILTER (sentiment = 'negatif') * 100.0::double / count(*), 4)
+    AS sentiment_negatif_pct,
+  count(*) FILTER (urgence = 'haute') AS urgence_haute_count,
+  count(DISTINCT topics) AS topics_count, count(DISTINCT incident) AS incident_count,
+  round(avg(confidence), 4) AS confidence_avg, min(confidence) AS confidence_min,
+  max(confidence) AS confidence_max, {counts_json('sentiment')}, {counts_json('urgence')},
+  {counts_json('topics')}, {counts_json('incident')} FROM cls""")
+SQL["claims_by_language"] = f"""
+WITH d AS (SELECT doc_id, lang, text FROM documents), cl AS ({cleaned('d')}),
+r AS (SELECT *, {cnt('text_cleaned', L.SCORED_POSITIVE)} AS p,
+  {cnt('text_cleaned', L.SCORED_NEGATIVE)} AS n FROM ({rules('cl', 'text_cleaned')}))
+SELECT lang, count(*) AS total, count(*) FILTER (is_claim = 'oui') AS claims,
+  round(count(*) FILTER (is_claim = 'oui') * 100.0::double / count(*), 4) AS claim_pct,
+  count(*) FILTER (urgence = 'haute') AS high_urgency,
+  round(count(*) FILTER (urgence = 'haute') * 100.0::double / count(*), 4) AS high_urgency_pct,
+  count(*) FILTER (n > p) AS negative, count(*) FILTER (topics = 'fibre') AS fibre,
+  count(*) FILTER (topics = 'mobile') AS mobile, count(*) FILTER (topics = 'facture') AS facture,
+  count(*) FILTER (topics = 'autre') AS autre FROM r GROUP BY lang"""
