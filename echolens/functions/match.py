@@ -63,6 +63,18 @@ def first_term_label(text: Column, rules, default) -> Column:
     return first_label([(label, any_term(text, terms)) for label, terms in rules], default)
 
 
+def largest(counts, default) -> Column:
+    """Label of the largest count; ties go to the label listed first, all zero to ``default``.
+
+    One comparison of (count, rank, label) structs: every count appears once in the expression.
+    """
+    entries = [F.struct(F.lit(0).alias("n"), F.lit(len(counts) + 1).alias("rank"),
+                        F.lit(default).alias("label"))]
+    entries += [F.struct(n.alias("n"), F.lit(len(counts) - i).alias("rank"),
+                         F.lit(label).alias("label")) for i, (label, n) in enumerate(counts)]
+    return F.greatest(*entries)["label"]
+
+
 def translate_values(col: Column, groups, default=None) -> Column:
     """Map spellings to canonical values; other values become ``default`` or stay as they are."""
     return first_label([(to, col.isin(*words)) for to, words in groups.items()],

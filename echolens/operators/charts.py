@@ -55,7 +55,7 @@ def activity_heatmap(df: DataFrame, date="date") -> DataFrame:
     ts = as_timestamp(df, date_column(df, date))
     cells = df.select(F.date_format(ts, "EEEE").alias("day"), F.hour(ts).alias("hour")) \
               .where("day is not null")
-    wide = cells.groupBy("day").pivot("hour", list(range(24))).agg(F.count("*"))
+    wide = cells.groupBy("day").pivot("hour", list(range(24))).agg(F.count(F.lit(1)))
     named = wide.select("day", *[F.coalesce(F.col(f"`{h}`"), F.lit(0)).alias(f"h{h:02d}")
                                  for h in range(24)])
     order = first_label([(F.lit(i), F.col("day") == d) for i, d in enumerate(WEEKDAYS)],
@@ -131,15 +131,15 @@ def topic_tokens(df: DataFrame, col="topics", n=10) -> DataFrame:
 def confidence_histogram(df: DataFrame, col="confidence", bins=20) -> DataFrame:
     """Rows per bin between the smallest and the largest value; the largest is in the last bin.
 
-    Values are grouped first, so the range and the bins come from the distinct values.
+    Equal values are grouped first; the range and the bins both come from that one grouping.
     """
-    values = df.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("v")) \
-               .agg(F.count("*").alias("n"))
-    span = df.agg(F.min(col).alias("lo"), F.max(col).alias("hi"))
-    lo, hi = span.select("lo").scalar(), span.select("hi").scalar()
+    values = df.groupBy(F.col(col).alias("v")).agg(F.count(col).alias("n")).where("n > 0")
+    span = values.agg(F.struct(F.min("v").alias("lo"), F.max("v").alias("hi"))).scalar()
+    placed = values.withColumn("_s", span)
+    lo, hi = F.col("_s.lo"), F.col("_s.hi")
     bucket = F.when(hi > lo, F.least(F.width_bucket(F.col("v"), lo, hi, F.lit(bins)),
                                      F.lit(bins))).otherwise(1)
-    return values.groupBy(bucket.cast("int").alias("bin")).agg(F.sum("n").alias("n"))
+    return placed.groupBy(bucket.cast("int").alias("bin")).agg(F.sum("n").alias("n"))
 
 
 def time_ordered(df: DataFrame, date="date", id_col="msg_id") -> DataFrame:

@@ -146,27 +146,27 @@ def latency_summary(df: DataFrame, col: str, max_mean=850.0, max_p95=1500.0) ->
     where the rank falls, and only that range is ordered.
     """
     ranges = 4096
-    values = (df.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("v"))
-                .agg(F.count("*").alias("c")))
-    span = df.agg(F.min(col).alias("lo"), F.max(col).alias("hi"), F.count(col).alias("n"),
-                  F.avg(col).alias("mean"))
-    of = lambda c: span.select(c).scalar()
-    bucket = F.when(of("hi") > of("lo"), F.least(
-        F.width_bucket(F.col("v"), of("lo"), of("hi"), F.lit(ranges)), F.lit(ranges))) \
-        .otherwise(1)
-    placed = values.withColumn("b", bucket)
+    values = (df.groupBy(F.col(col).cast("double").alias("v")).agg(F.count(col).alias("c"))
+                .where("c > 0"))
+    span = values.agg(F.struct(
+        F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("c").alias("n"),
+        (F.sum(F.col("v") * F.col("c")) / F.sum("c")).alias("mean"))).scalar()
+    s = lambda field: F.col(f"_s.{field}")
+    bucket = F.when(s("hi") > s("lo"), F.least(
+        F.width_bucket(F.col("v"), s("lo"), s("hi"), F.lit(ranges)), F.lit(ranges))).otherwise(1)
+    rank = F.greatest(F.lit(0), F.floor(s("n") * F.lit(0.95)) - 1)
+    placed = values.withColumn("_s", span).select("v", "c", "_s", bucket.alias("b"))
     before = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    rank = F.greatest(F.lit(0), F.floor(of("n") * F.lit(0.95)) - 1)
-    edge = (placed.groupBy("b").agg(F.sum("c").alias("size"))
+    edge = (placed.groupBy("b", "_s").agg(F.sum("c").alias("size"))
                   .withColumn("skip", F.coalesce(F.sum("size").over(before), F.lit(0)))
                   .where((rank >= F.col("skip")) & (rank < F.col("skip") + F.col("size"))))
     upto = Window.partitionBy("b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     hit = (placed.join(F.broadcast(edge.select("b", "skip")), "b")   # one row
                  .withColumn("seen", F.col("skip") + F.sum("c").over(upto))
-                 .where(F.col("seen") > rank).agg(F.min("v").alias("p95")))
-    return hit.select(of("n").alias("n"), F.round(of("mean"), 4).alias("mean"),
-                      F.round("p95", 4).alias("p95"),
-                      ((of("mean") <= max_mean) & (F.col("p95") <= max_p95)).alias("within"))
+                 .where(F.col("seen") > rank))
+    return hit.agg(F.min("v").alias("p95"), F.max("_s").alias("_s")).select(
+        s("n").alias("n"), F.round(s("mean"), 4).alias("mean"), F.round("p95", 4).alias("p95"),
+        ((s("mean") <= max_mean) & (F.col("p95") <= max_p95)).alias("within"))
 
 
 def compare_models(df: DataFrame, predictions, label="label", positive="oui") -> DataFrame:

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from echolens.functions import lexicon as L
-from echolens.functions.match import (any_term, clamp, count_terms, first_label,
-                                      first_term_label, round_half_even)
+from echolens.functions.match import (any_term, count_terms, first_label, first_term_label,
+                                      largest, round_half_even)
 from echolens.functions.text import lower_text
 
 
@@ -40,25 +40,22 @@ def fallback_cloud(df: DataFrame, text="text") -> DataFrame:
     """Count-based lists; confidence grows with the evidence, 0.5 to 0.95."""
     t, sent, cat, claim = (F.col(c) for c in ("_text", "sentiment", "categorie", "is_claim"))
     pos, neg, base = F.col("_pos"), F.col("_neg"), F.col("_base")
-    hits = {f"_c{i}": count_terms(t, terms) for i, (_, terms) in enumerate(L.CLOUD_CATEGORIES)}
-    best = F.greatest(*hits)
+    categories = [(label, count_terms(t, terms)) for label, terms in L.CLOUD_CATEGORIES]
     graded = lambda n: F.least(F.lit(0.75) + n * F.lit(0.05), F.lit(0.95))
     by_category = first_label([("service_client", cat == "service"),
                                ("support_technique", cat == "support"),
                                ("promotion", cat == "promotion")], cat)
     return (df.withColumn("_text", lower_text(F.col(text)))
               .withColumns({"_pos": count_terms(t, L.CLOUD_POSITIVE),
-                            "_neg": count_terms(t, L.CLOUD_NEGATIVE), **hits,
+                            "_neg": count_terms(t, L.CLOUD_NEGATIVE),
+                            "categorie": largest(categories, "autre"),
                             "_urgent": any_term(t, L.CLOUD_URGENT),
                             "_claim": any_term(t, L.CLOUD_CLAIM)})
               .withColumns({
                   "sentiment": first_label([("positif", pos > neg), ("negatif", neg > 0)],
                                            "neutre"),
                   "_base": F.when(pos > neg, graded(pos)).when(neg > 0, graded(neg))
-                            .otherwise(0.60),
-                  "categorie": first_label(
-                      [("autre", best == 0)] + [(label, F.col(f"_c{i}") == best) for i, (label, _)
-                                                in enumerate(L.CLOUD_CATEGORIES)], "autre")})
+                            .otherwise(0.60)})
               .withColumns({
                   "_base": base + F.when(cat != "autre", 0.10).otherwise(0.0),
                   "topics": first_term_label(t, L.CLOUD_TOPICS, by_category),
@@ -71,8 +68,9 @@ def fallback_cloud(df: DataFrame, text="text") -> DataFrame:
                                    .otherwise(0.0),
                   "incident": F.when(claim == "non", "aucun").otherwise(
                       first_term_label(t, L.CLOUD_INCIDENTS, "non_specifie"))})
-              .withColumn("score_confiance", round_half_even(clamp(base, 0.5, 0.95), 2))
-              .drop("_text", "_pos", "_neg", "_urgent", "_claim", "_base", *hits))
+              .withColumn("score_confiance", round_half_even(
+                  F.greatest(F.lit(0.5), F.least(F.lit(0.95), base)), 2))
+              .drop("_text", "_pos", "_neg", "_urgent", "_claim", "_base"))
 
 
 def fallback_basic(df: DataFrame, text="text") -> DataFrame:

@@ -1,7 +1,8 @@
-"""Validation of model answers and the ordered correction passes.
+"""Validation of model answers and the correction passes.
 
-Each correction is a step on the columns the earlier steps left; terms are tested once, in one
-projection, before the first step.
+A pass is defined as ordered steps, later ones overwriting earlier ones. Here each output column is
+one CASE with the last step first, so a pass is two projections: term tests, then results. Chains
+of overwritten columns would multiply when a later filter on them is pushed down.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -22,15 +23,6 @@ def _term_flags(df: DataFrame, text: str, flags: dict) -> DataFrame:
               .drop("_text"))
 
 
-def _apply_steps(df: DataFrame, steps) -> DataFrame:
-    """``steps`` is a list of {column: [(condition, value), ...]}; no condition, no change."""
-    for step in steps:
-        df = df.withColumns({
-            name: first_label([(value, cond) for cond, value in cases], F.col(name))
-            for name, cases in step.items()})
-    return df
-
-
 def _field(col: Column, default) -> Column:
     """A field as the model gave it, lower-cased and trimmed; null takes the default."""
     default = default if isinstance(default, Column) else F.lit(default)
@@ -92,58 +84,56 @@ def validate_synonyms(df: DataFrame) -> DataFrame:
     return _topic_and_incident(out)
 
 
-def _raise_to_claim(cond: Column) -> dict:
-    return {"urgence": [(cond & (F.col("urgence") == "faible"), "moyenne")],
-            "is_claim": [(cond, "oui")]}
+def _claim_and_urgency(claim_flag: Column, urgent_flag: Column) -> dict:
+    """Negative sentiment, claim terms and urgent terms only ever raise claim and urgency."""
+    raised = (F.col("sentiment") == "negatif") | claim_flag
+    urgency = F.col("urgence")
+    return {"is_claim": F.when(raised | urgent_flag, "oui").otherwise(F.col("is_claim")),
+            "urgence": F.when(urgent_flag, "haute")
+                        .when(raised & (urgency == "faible"), "moyenne").otherwise(urgency),
+            "score_confiance": clamp(F.col("score_confiance"), 0.4, 0.99)}
 
 
 def guard_local(df: DataFrame, text="text") -> DataFrame:
-    """Correct answers of the local model from the text; later steps overwrite earlier ones."""
-    f = {name: F.col(f"_{name}") for name in ("claim", "urgent", "bill", "net", "svc", "box")}
-    inc, claim = F.col("incident"), F.col("is_claim")
-    df = _term_flags(df, text, {
+    """Correct answers of the local model from the text; service terms override network terms,
+    which override billing terms for the topic."""
+    names = ("claim", "urgent", "bill", "net", "svc", "box")
+    claim, urgent, bill, net, svc, box = (F.col(f"_{n}") for n in names)
+    incident, topic = F.col("incident"), F.col("topics")
+    flagged = _term_flags(df, text, {
         "claim": L.GUARD_LOCAL_CLAIM, "urgent": L.GUARD_LOCAL_URGENT, "bill": L.BILLING_TERMS,
         "net": [*L.MOBILE_TERMS, "connexion", "wifi"], "svc": L.SERVICE_TERMS,
         "box": L.BOX_TERMS})
-    df = _apply_steps(df, [
-        _raise_to_claim(F.col("sentiment") == "negatif"),
-        _raise_to_claim(f["claim"]),
-        {"urgence": [(f["urgent"], "haute")], "is_claim": [(f["urgent"], "oui")]},
-        {"topics": [(f["bill"], "facture")], "incident": [(f["bill"], "probleme_facturation")]},
-        {"topics": [(f["net"], "reseau")],
-         "incident": [(f["net"] & inc.isin(*NO_INCIDENT), "panne_connexion")]},
-        {"topics": [(f["svc"], "service_client")],
-         "incident": [((inc == "aucun") & (claim == "oui") & f["box"], "bug_freebox")]}])
-    return (df.withColumn("score_confiance", clamp(F.col("score_confiance"), 0.4, 0.99))
-              .drop(*[f"_{n}" for n in f]))
+    raised = flagged.withColumns(_claim_and_urgency(claim, urgent))
+    return raised.withColumns({
+        "topics": F.when(svc, "service_client").when(net, "reseau").when(bill, "facture")
+                   .otherwise(topic),
+        "incident": F.when(bill, "probleme_facturation")
+                     .when(net & incident.isin(*NO_INCIDENT), "panne_connexion")
+                     .when((incident == "aucun") & (F.col("is_claim") == "oui") & box,
+                           "bug_freebox").otherwise(incident)}).drop(*[f"_{n}" for n in names])
 
 
 def guard_cloud(df: DataFrame, text="text") -> DataFrame:
-    """As ``guard_local`` with other lists and one exclusive chain for the topic."""
-    f = {name: F.col(f"_{name}") for name in ("claim", "urgent", "fibre", "box", "bill", "mob",
-                                              "svc", "net")}
-    inc, claim = F.col("incident"), F.col("is_claim")
-    df = _term_flags(df, text, {
+    """As ``guard_local`` with other lists; the first group with a term decides the topic."""
+    names = ("claim", "urgent", "fibre", "box", "bill", "mob", "svc", "net")
+    claim, urgent, fibre, box, bill, mob, svc, net = (F.col(f"_{n}") for n in names)
+    incident = F.col("incident")
+    flagged = _term_flags(df, text, {
         "claim": L.GUARD_CLOUD_CLAIM, "urgent": L.GUARD_CLOUD_URGENT,
         "fibre": ["fibre", "fiber"], "box": L.BOX_TERMS, "bill": L.BILLING_TERMS,
         "mob": L.MOBILE_TERMS, "svc": L.SERVICE_TERMS, "net": ["connexion", "reseau", "wifi"]})
-    chain = first_label([(name, f[name]) for name in ("fibre", "box", "bill", "mob", "svc")],
-                        "none")
-    topic = F.col("_topic")
-    open_incident = inc.isin(*NO_INCIDENT)
-    df = _apply_steps(df.withColumn("_topic", chain), [
-        _raise_to_claim(F.col("sentiment") == "negatif"),
-        _raise_to_claim(f["claim"]),
-        {"urgence": [(f["urgent"], "haute")], "is_claim": [(f["urgent"], "oui")]},
-        {"topics": [(topic == "fibre", "fibre"), (topic == "box", "freebox"),
-                    (topic == "bill", "facture"), (topic == "mob", "mobile"),
-                    (topic == "svc", "service_client")],
-         "incident": [((topic == "bill") & open_incident, "probleme_facturation"),
-                      ((topic == "mob") & open_incident, "probleme_mobile")]},
-        {"incident": [((inc == "aucun") & (claim == "oui") & f["net"], "panne_connexion"),
-                      ((inc == "aucun") & (claim == "oui") & f["box"], "bug_freebox")]}])
-    return (df.withColumn("score_confiance", clamp(F.col("score_confiance"), 0.4, 0.99))
-              .drop("_topic", *[f"_{n}" for n in f]))
+    raised = flagged.withColumns(_claim_and_urgency(claim, urgent))
+    unset = incident.isin(*NO_INCIDENT) & ~fibre & ~box
+    unexplained = (incident == "aucun") & (F.col("is_claim") == "oui")
+    return raised.withColumns({
+        "topics": F.when(fibre, "fibre").when(box, "freebox").when(bill, "facture")
+                   .when(mob, "mobile").when(svc, "service_client").otherwise(F.col("topics")),
+        "incident": F.when(unset & bill, "probleme_facturation")
+                     .when(unset & mob, "probleme_mobile")
+                     .when(unexplained & net, "panne_connexion")
+                     .when(unexplained & box, "bug_freebox")
+                     .otherwise(incident)}).drop(*[f"_{n}" for n in names])
 
 
 def enforce_consistency(df: DataFrame, text="text_cleaned") -> DataFrame:
@@ -151,32 +141,31 @@ def enforce_consistency(df: DataFrame, text="text_cleaned") -> DataFrame:
 
     A message with empty text only gets its claim value normalised and its confidence clipped.
     """
-    f = {name: F.col(f"_{name}") for name in ("claim", "urgent", "bill", "net", "box", "mob",
-                                              "fibre", "svc")}
-    full = F.col("_full")
-    claim, urg, inc, top = (F.col(c) for c in ("is_claim", "urgence", "incident", "topics"))
-    df = _term_flags(df, text, {
+    names = ("claim", "urgent", "bill", "net", "box", "mob", "fibre", "svc")
+    claim, urgent, bill, net, box, mob, fibre, svc = (F.col(f"_{n}") for n in names)
+    full = F.coalesce(F.col(text), F.lit("")) != ""
+    is_claim, urgency = F.col("is_claim") == "oui", F.col("urgence")
+    incident, topic = F.col("incident"), F.col("topics")
+    flagged = _term_flags(df, text, {
         "claim": L.CONSISTENCY_CLAIM, "urgent": L.CONSISTENCY_URGENT, "bill": L.BILLING_TERMS,
         "net": L.CONSISTENCY_NETWORK, "box": L.BOX_TERMS, "mob": L.MOBILE_TERMS,
         "fibre": ["fibre"], "svc": L.SERVICE_TERMS})
-    df = df.withColumns({
-        "_full": F.coalesce(F.col(text), F.lit("")) != "",
-        "is_claim": F.when(F.lower(claim).isin(*L.TRUE_WORDS), "oui").otherwise("non")})
-    blank = full & F.coalesce(F.lower(inc).isin("aucun", "non_specifie", "non", ""), F.lit(False))
-    other = full & (top == "autre")
-    df = _apply_steps(df, [
-        {"is_claim": [(full & ((F.col("sentiment") == "negatif") | f["claim"]), "oui")]},
-        {"urgence": [(full & f["urgent"], "haute"),
-                     (full & (claim == "oui") & (urg == "faible"), "moyenne")]},
-        {"incident": [(blank & f["bill"], "probleme_facturation"),
-                      (blank & f["net"], "panne_connexion"), (blank & f["box"], "bug_freebox"),
-                      (blank & f["mob"], "probleme_mobile"),
-                      (blank & (claim == "oui"), "non_specifie"), (blank, "aucun")],
-         "topics": [(other & f["fibre"], "fibre"), (other & f["box"], "freebox"),
-                    (other & f["mob"], "mobile"), (other & f["bill"], "facture"),
-                    (other & f["svc"], "service_client")]}])
-    return (df.withColumn("confidence", clamp(F.col("confidence"), 0.4, 0.99))
-              .drop("_full", *[f"_{n}" for n in f]))
+    checked = flagged.withColumn("is_claim", F.when(
+        F.lower(F.col("is_claim")).isin(*L.TRUE_WORDS)
+        | (full & ((F.col("sentiment") == "negatif") | claim)), "oui").otherwise("non"))
+    unset = full & F.lower(incident).isin("aucun", "non_specifie", "non", "")
+    other = full & (topic == "autre")
+    return checked.withColumns({
+        "urgence": F.when(full & urgent, "haute")
+                    .when(full & is_claim & (urgency == "faible"), "moyenne").otherwise(urgency),
+        "incident": F.when(~F.coalesce(unset, F.lit(False)), incident)
+                     .when(bill, "probleme_facturation").when(net, "panne_connexion")
+                     .when(box, "bug_freebox").when(mob, "probleme_mobile")
+                     .when(is_claim, "non_specifie").otherwise("aucun"),
+        "topics": F.when(other & fibre, "fibre").when(other & box, "freebox")
+                   .when(other & mob, "mobile").when(other & bill, "facture")
+                   .when(other & svc, "service_client").otherwise(topic),
+        "confidence": clamp(F.col("confidence"), 0.4, 0.99)}).drop(*[f"_{n}" for n in names])
 
 
 def calibrate_sentiment(df: DataFrame, text="text", sentiment="sentiment",

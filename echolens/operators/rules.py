@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from echolens.functions import lexicon as L
-from echolens.functions.match import (any_duration, any_term, any_word, count_terms, first_label)
+from echolens.functions.match import (any_duration, any_term, any_word, count_terms, first_label,
+                                      largest)
 from echolens.functions.text import lower_text
 
 
@@ -74,14 +75,11 @@ def rule_statistics(df: DataFrame) -> DataFrame:
 
 def classify_by_lexicon(df: DataFrame, rule_set: str, text="text", out=None) -> DataFrame:
     """Label with the most distinct terms hit; ties and no hit follow the rule set's order."""
-    rules, default = L.RULE_SETS[rule_set], L.RULE_SET_DEFAULTS[rule_set]
-    hits = {f"_n{i}": count_terms(F.col("_text"), terms) for i, (_, terms) in enumerate(rules)}
-    best = F.greatest(*hits) if len(hits) > 1 else F.col("_n0")
-    return (df.withColumn("_text", lower_text(F.col(text))).withColumns(hits)
-              .withColumn(out or rule_set, first_label(
-                  [(default, best == 0)] + [(label, F.col(f"_n{i}") == best)
-                                            for i, (label, _) in enumerate(rules)], default))
-              .drop("_text", *hits))
+    counts = [(label, count_terms(F.col("_text"), terms))
+              for label, terms in L.RULE_SETS[rule_set]]
+    return (df.withColumn("_text", lower_text(F.col(text)))
+              .withColumn(out or rule_set, largest(counts, L.RULE_SET_DEFAULTS[rule_set]))
+              .drop("_text"))
 
 
 def term_hits(df: DataFrame, id_col: str, rule_set: str, text="text") -> DataFrame:

@@ -7,14 +7,15 @@ from pyspark.sql import functions as F
 
 from echolens.functions import lexicon as L
 from echolens.functions import text as T
-from echolens.operators import (batches, dedup, fallback, guards, kpi, merge, quality, sampling,
-                                scored, scoring)
+from echolens.operators import (batches, charts, dedup, evaluate, fallback, guards, kpi, merge,
+                                quality, sampling, scored, scoring)
 from echolens.operators import rules as R
 from echolens.plans import classify
 from echolens.sources import files
 from echolens.sources.replies import defective_replies
 from echolens.sources.shared import shared_folder
-from echolens.sources.tables import feedback, table
+from echolens.sources.tables import feedback, feedback_from_events, table
+from echolens.streaming import streams
 
 QUERIES = {}
 
@@ -466,27 +467,31 @@ def _preliminary(spark, folder):
         {"topics": "topics_preliminary", "incident": "incident_preliminary"})
 
 
+def _sampled_answers(spark, folder):
+    """Answers of the costly tier for the rows of the priority sample."""
+    chosen = sampling.sample_priority(R.classify_rules(feedback(spark, folder)))
+    return fallback.fallback_local(chosen.select("msg_id", "text"))
+
+
 @query
 def merge_tier_results(spark, folder):
-    """Answers exist for the messages of the error channel."""
-    answers = fallback.fallback_local(feedback(spark, folder).where("channel = 'error'"))
-    return merge.merge_tier_results(_preliminary(spark, folder), answers).select(
+    return merge.merge_tier_results(_preliminary(spark, folder),
+                                    _sampled_answers(spark, folder)).select(
         "msg_id", "is_claim", "topics", "incident", "confidence")
 
 
 @query
 def backfill_prelim(spark, folder):
-    answers = fallback.fallback_local(feedback(spark, folder).where("channel = 'error'"))
-    merged = merge.merge_tier_results(_preliminary(spark, folder), answers)
+    merged = merge.merge_tier_results(_preliminary(spark, folder),
+                                      _sampled_answers(spark, folder))
     return merge.backfill_prelim(merged).select("msg_id", "topics", "incident")
 
 
 @query
 def aggregate_confidence(spark, folder):
-    answers = fallback.fallback_local(feedback(spark, folder).where("channel = 'error'"))
     base = classify.base_tiers(feedback(spark, folder))
-    merged = merge.merge_tier_results(base, answers).withColumnRenamed("confidence",
-                                                                       "mistral_confidence")
+    merged = merge.merge_tier_results(base, _sampled_answers(spark, folder)) \
+        .withColumnRenamed("confidence", "mistral_confidence")
     return merge.aggregate_confidence(merged).select(
         "msg_id", F.round("confidence", 6).alias("confidence"))
 
@@ -571,3 +576,443 @@ def claims_by_language(spark, folder):
         F.count_if(F.col("topics") == "mobile").alias("mobile"),
         F.count_if(F.col("topics") == "facture").alias("facture"),
         F.count_if(F.col("topics") == "autre").alias("autre"))
+
+
+# --- indicators --------------------------------------------------------------------------
+
+# spellings met in files, picked by message number
+RAW_LABELS = {
+    "sentiment": ["positive", " POS ", "Négatif", "angry", "ok", "Neutral", "bof", "negatif",
+                  "positif", None, "NEG", "good", "neutre"],
+    "is_claim": ["YES", "no", "1", "0", "Oui", "non", " true", "False", "peut-être", None, "oui"],
+    "urgence": ["HIGH", "Critique", "urgent", "Très haute", "élevée", "medium", "Modéré", "low",
+                "basse", "normale", "faible", "moyenne", "haute", "bientôt", "", None, "maximal"],
+    "incident": ["panne_connexion", "BUG_FREEBOX", "autre chose", "", "nan", None, " aucun "],
+    "confidence": ["0.9", "1.7", "abc", None, "-0.2"],
+}
+
+
+def raw_labels(spark: SparkSession, folder: str) -> DataFrame:
+    pick = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]),
+                                       (F.col("msg_id") % len(values) + 1).cast("int"))
+    return feedback(spark, folder).select("msg_id", "text", *[pick(v).alias(c)
+                                                              for c, v in RAW_LABELS.items()])
+
+
+def enriched(spark: SparkSession, folder: str) -> DataFrame:
+    """Feedback in the column names of the enriched export."""
+    s = scored.classify_scored(feedback(spark, folder))
+    return s.select("msg_id", "channel", "sentiment", "urgence",
+                    F.col("confiance").alias("confidence"),
+                    F.col("theme").alias("Thème principal"),
+                    F.col("theme_conf").alias("theme_confidence"),
+                    F.col("type_incident").alias("Incident principal"),
+                    F.col("claim_conf").alias("incident_confidence"),
+                    F.col("responsable").alias("incident_responsable"),
+                    F.initcap("reclamation").alias("réclamations"),
+                    F.col("claim_conf").alias("reclamation_confidence"))
+
+
+@query
+def resolve_aliases(spark, folder):
+    raw = raw_labels(spark, folder).select(
+        "msg_id", F.col("sentiment").alias("Sentiment"), F.col("urgence").alias("priority"),
+        F.col("incident").alias("category"), F.col("confidence").alias("score_confiance"))
+    return kpi.resolve_aliases(raw).select("msg_id", F.col("sentiment"), "is_claim", "urgence",
+                                           "incident", "theme", "confidence")
+
+
+@query
+def normalize_sentiment(spark, folder):
+    return raw_labels(spark, folder).select("msg_id", kpi.normalize_sentiment(
+        F.col("sentiment")).alias("sentiment"))
+
+
+@query
+def normalize_claim(spark, folder):
+    return raw_labels(spark, folder).select("msg_id", kpi.normalize_claim(
+        F.col("is_claim")).alias("is_claim"))
+
+
+@query
+def normalize_urgency(spark, folder):
+    return raw_labels(spark, folder).select("msg_id", kpi.normalize_urgency(
+        F.col("urgence"), F.col("is_claim"), F.col("sentiment")).alias("urgence"))
+
+
+@query
+def normalize_incident(spark, folder):
+    return raw_labels(spark, folder).select("msg_id", kpi.normalize_incident(
+        F.col("incident"), F.col("is_claim")).alias("incident"))
+
+
+@query
+def normalize_confidence(spark, folder):
+    return raw_labels(spark, folder).select("msg_id", kpi.normalize_confidence(
+        F.col("confidence")).alias("confidence"))
+
+
+@query
+def normalize_kpis(spark, folder):
+    return kpi.normalize_kpis(raw_labels(spark, folder)).drop("text")
+
+
+@query
+def kpi_metrics(spark, folder):
+    return kpi.kpi_metrics(classified(spark, folder))
+
+
+@query
+def claim_rate(spark, folder):
+    return kpi.claim_rate(classified(spark, folder))
+
+
+@query
+def thematic_distribution(spark, folder):
+    return kpi.thematic_distribution(enriched(spark, folder))
+
+
+@query
+def satisfaction_index(spark, folder):
+    return kpi.satisfaction_index(raw_labels(spark, folder))
+
+
+@query
+def urgency_rate(spark, folder):
+    return kpi.urgency_rate(raw_labels(spark, folder))
+
+
+@query
+def confidence_summary(spark, folder):
+    return kpi.confidence_summary(raw_labels(spark, folder))
+
+
+@query
+def incident_distribution(spark, folder):
+    return kpi.incident_distribution(enriched(spark, folder))
+
+
+@query
+def claims_enriched(spark, folder):
+    return kpi.claims_enriched(enriched(spark, folder))
+
+
+@query
+def business_kpis(spark, folder):
+    out = kpi.business_kpis(enriched(spark, folder))
+    return out.withColumn("value", F.round("value", 4))
+
+
+@query
+def quality_summary(spark, folder):
+    return kpi.quality_summary(classified(spark, folder))
+
+
+@query
+def top_real_incident(spark, folder):
+    return kpi.top_real_incident(classified(spark, folder))
+
+
+@query
+def alert_bands(spark, folder):
+    """Bands per channel."""
+    rows = enriched(spark, folder)
+    per = rows.groupBy("channel").agg(
+        F.round(F.avg((F.col("réclamations") == "Oui").cast("int")) * 100, 4).alias("claim"),
+        kpi.satisfaction_measures(rows)["satisfaction_index"].alias("satisfaction"),
+        kpi.urgency_measures(rows)["urgency_pct"].alias("urgency"),
+        kpi.confidence_measures(rows)["average"].alias("confidence"))
+    names = ("claim", "satisfaction", "urgency", "confidence")
+    return per.withColumns(kpi.alert_bands(*[F.col(n) for n in names]))
+
+
+@query
+def map_vocabulary_en(spark, folder):
+    return kpi.map_vocabulary_en(classified(spark, folder)).select("msg_id", "sentiment",
+                                                                   "priority", "category")
+
+
+@query
+def group_kpi_stats(spark, folder):
+    return kpi.group_kpi_stats(enriched(spark, folder), {
+        "theme": ("Thème principal", "theme_confidence"),
+        "incident": ("Incident principal", "incident_confidence"),
+        "claim": ("réclamations", "reclamation_confidence"),
+        "team": ("incident_responsable", "incident_confidence")})
+
+
+@query
+def flat_kpis(spark, folder):
+    return kpi.flat_kpis(classified(spark, folder))
+
+
+@query
+def export_report_json(spark, folder):
+    """The report written as JSON text and read back field by field."""
+    report = kpi.claim_rate(classified(spark, folder))
+    path = shared_folder(spark, "report")
+    files.export_report_json(report, path)
+    return spark.read.schema(report.schema).json(path)
+
+
+# --- chart tables ------------------------------------------------------------------------
+
+def dated(spark: SparkSession, folder: str) -> DataFrame:
+    """Classified feedback with the time as text; some of it is no date."""
+    iso = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+00:00"))
+    return classified(spark, folder).withColumn(
+        "created_at", F.when(F.col("msg_id") % 101 == 0, "n/a").otherwise(iso))
+
+
+@query
+def sentiment_share(spark, folder):
+    return charts.sentiment_share(classified(spark, folder))
+
+
+@query
+def sentiment_buckets(spark, folder):
+    return charts.sentiment_buckets(raw_labels(spark, folder))
+
+
+@query
+def daily_volume(spark, folder):
+    return charts.daily_volume(dated(spark, folder))
+
+
+@query
+def activity_heatmap(spark, folder):
+    return charts.activity_heatmap(dated(spark, folder))
+
+
+@query
+def top_themes(spark, folder):
+    return charts.top_themes(enriched(spark, folder))
+
+
+@query
+def incident_share(spark, folder):
+    return charts.incident_share(classified(spark, folder))
+
+
+@query
+def incident_severity(spark, folder):
+    names = raw_labels(spark, folder).select("incident").unionByName(
+        classified(spark, folder).select("incident")).unionByName(
+        R.classify_rules(feedback(spark, folder)).select("incident"))
+    return names.groupBy("incident", charts.incident_severity(F.col("incident"))
+                         .alias("severity")).agg(F.count("*").alias("n"))
+
+
+@query
+def category_satisfaction(spark, folder):
+    return charts.category_satisfaction(
+        classified(spark, folder).withColumn("category", F.col("incident")))
+
+
+@query
+def urgency_levels(spark, folder):
+    return charts.urgency_levels(raw_labels(spark, folder))
+
+
+@query
+def priority_counts(spark, folder):
+    return charts.priority_counts(raw_labels(spark, folder).withColumn("priority",
+                                                                       F.col("urgence")))
+
+
+@query
+def topic_tokens_top10(spark, folder):
+    rows = classified(spark, folder)
+    return charts.topic_tokens(rows.withColumn("topics", F.concat_ws(" , ", "topics", "categorie",
+                                                                     "channel")))
+
+
+@query
+def confidence_histogram(spark, folder):
+    return charts.confidence_histogram(classified(spark, folder))
+
+
+@query
+def time_ordered(spark, folder):
+    return charts.time_ordered(dated(spark, folder)).select(
+        "msg_id", F.date_format("time", "yyyy-MM-dd HH:mm:ss").alias("time"), "confidence")
+
+
+@query
+def claim_split(spark, folder):
+    return charts.claim_split(raw_labels(spark, folder))
+
+
+@query
+def detail_table(spark, folder):
+    return charts.detail_table(classified(spark, folder))
+
+
+@query
+def distinct_labels(spark, folder):
+    return charts.distinct_labels(classified(spark, folder))
+
+
+@query
+def claims_by_topic(spark, folder):
+    return charts.claims_by_topic(classified(spark, folder))
+
+
+@query
+def urgency_trend(spark, folder):
+    return charts.urgency_trend(dated(spark, folder))
+
+
+# --- learning and evaluation -------------------------------------------------------------
+
+@query
+def stratified_split(spark, folder):
+    return sampling.stratified_split(classified(spark, folder), "msg_id", "sentiment").select(
+        "msg_id", "sentiment", "split")
+
+
+@query
+def dataset_statistics(spark, folder):
+    rows = classified(spark, folder).select("msg_id", "author", "text", "sentiment", "categorie",
+                                            "urgence", "is_claim")
+    split = sampling.stratified_split(rows, "msg_id", "sentiment")
+    return kpi.dataset_statistics(split, ["sentiment", "categorie", "urgence"])
+
+
+@query
+def train_text_baseline(spark, folder):
+    """Quality of documents learnt from the labels; training rows by exact split."""
+    rows = (table(spark, folder, "documents").select("doc_id", "text")
+            .join(table(spark, folder, "labels"), "doc_id"))
+    rows = sampling.stratified_split(rows, "doc_id", "quality", 0.8, 0.0)
+    scored_rows = scoring.train_text_baseline(rows.where("split = 'train'"),
+                                              rows.where("split = 'test'"), "quality", "doc_id")
+    return evaluate.precision_recall_f1(scored_rows)
+
+
+def tier_predictions(spark: SparkSession, folder: str) -> DataFrame:
+    """Claim by every tier per message; ``label`` is the scored tier's verdict."""
+    out = feedback(spark, folder).select("msg_id", "channel", "text")
+    s = scored.classify_scored(out).select(
+        "msg_id", "channel", "text", F.coalesce("claim_conf", F.lit(0.0)).alias("score"),
+        F.when(F.col("reclamation") == "OUI", "oui").otherwise("non").alias("label"))
+    for name, tier in (("rules", R.classify_rules), ("local", fallback.fallback_local),
+                       ("cloud", fallback.fallback_cloud), ("basic", fallback.fallback_basic)):
+        kept = s.columns
+        s = tier(s).select(*kept, F.col("is_claim").alias(name))
+    return s
+
+
+TIERS = ("rules", "local", "cloud", "basic")
+
+
+@query
+def accuracy_by_target(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text").join(
+        table(spark, folder, "labels"), "doc_id")
+    guess = docs.withColumns({"quality_guess": (F.length("text") >= 200).cast("int"),
+                              "toxic_guess": F.contains("text", F.lit("!")).cast("int")})
+    return evaluate.accuracy_by_target(guess, {"quality": ("quality", "quality_guess"),
+                                               "toxic": ("toxic", "toxic_guess")})
+
+
+@query
+def confusion_matrix(spark, folder):
+    return evaluate.confusion_matrix(tier_predictions(spark, folder), ["non", "oui"],
+                                     prediction="cloud")
+
+
+@query
+def precision_recall_f1(spark, folder):
+    return evaluate.precision_recall_f1(tier_predictions(spark, folder), prediction="rules")
+
+
+@query
+def classified_targets(spark, folder):
+    return evaluate.classified_targets(tier_predictions(spark, folder), prediction="cloud")
+
+
+@query
+def pr_roc_points(spark, folder):
+    rows = tier_predictions(spark, folder)
+    return evaluate.pr_roc_points(rows.withColumn("label", (F.col("rules") == "oui").cast("int")))
+
+
+@query
+def cohen_kappa(spark, folder):
+    long = tier_predictions(spark, folder).unpivot("msg_id", list(TIERS), "annotator", "label")
+    return evaluate.cohen_kappa(long, item="msg_id")
+
+
+@query
+def fairness_gap(spark, folder):
+    return evaluate.fairness_gap(tier_predictions(spark, folder), group="channel",
+                                 prediction="cloud")
+
+
+@query
+def latency_summary(spark, folder):
+    return evaluate.latency_summary(feedback(spark, folder), "latency_ms")
+
+
+@query
+def compare_models(spark, folder):
+    return evaluate.compare_models(tier_predictions(spark, folder), {t: t for t in TIERS})
+
+
+# --- streams -----------------------------------------------------------------------------
+
+def message_stream(spark: SparkSession, folder: str) -> DataFrame:
+    return feedback_from_events(streams.read_stream(spark, folder, "events.parquet"))
+
+
+def _wall(df, *columns):
+    """Times as zone-free timestamps, as in the given tables."""
+    return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in columns})
+
+
+@query
+def stream_classify(spark, folder):
+    stream = streams.stream_classify(message_stream(spark, folder).select("msg_id", "text"),
+                                     fallback.fallback_cloud)
+    return streams.run_available(stream, "classified").drop("text")
+
+
+@query
+def stream_dedup(spark, folder):
+    stream = streams.stream_dedup(message_stream(spark, folder), delay="60 days")
+    return streams.run_available(stream.select("text_md5"), "dedup")
+
+
+@query
+def stream_kpi_windows(spark, folder):
+    stream = fallback.fallback_cloud(message_stream(spark, folder))
+    return _wall(streams.run_available(streams.kpi_windows(stream), "windows"),
+                 "window_start", "window_end")
+
+
+@query
+def stream_kpi_sliding(spark, folder):
+    stream = fallback.fallback_cloud(message_stream(spark, folder))
+    return _wall(streams.run_available(streams.kpi_windows(
+        stream, length="6 hours", slide="2 hours"), "sliding"), "window_start", "window_end")
+
+
+@query
+def stream_sessions(spark, folder):
+    return _wall(streams.run_available(streams.author_sessions(message_stream(spark, folder)),
+                                       "sessions"), "session_start", "session_end")
+
+
+@query
+def stream_alerts(spark, folder):
+    stream = streams.alerts(fallback.fallback_cloud(message_stream(spark, folder)))
+    return streams.run_available(stream.select("msg_id", "author", "incident"), "alerts")
+
+
+@query
+def stream_alert_windows(spark, folder):
+    stream = fallback.fallback_cloud(message_stream(spark, folder))
+    windows = streams.alert_windows(streams.kpi_windows(stream, length="1 hour"), 3)
+    return _wall(streams.run_available(windows, "alert-windows"), "window_start",
+                 "window_end").select("window_start", "n", "urgent")

@@ -1,5 +1,6 @@
 """DuckDB SQL for the registered queries."""
 
+from echolens.plans.catalog import RAW_LABELS
 from echolens.functions import lexicon as L
 from echolens.operators.batches import PROMPT
 from oracle.base import (ALL_TEXTS, FEEDBACK, NS, S, W, any_, arr, ascii_, calibrated, cascade,
@@ -369,12 +370,12 @@ c AS (SELECT *, row_number() OVER (PARTITION BY chosen ORDER BY h) AS rest,
 SELECT msg_id, stratum FROM c WHERE chosen OR rest <= missing""")
 SQL["clean_on_demand"] = with_(FEEDBACK, body=f"""
 SELECT msg_id, text_cleaned FROM ({cleaned('feedback')})""")
-ERRORS = "(SELECT * FROM feedback WHERE channel = 'error')"
-ANSWERS = f"ans AS ({fallback_local(ERRORS)})"
-SQL["merge_tier_results"] = with_(FEEDBACK, f"r AS ({rules('feedback')})", ANSWERS, body="""
+ANSWERS = (f"r AS ({rules('feedback')})", priority_sample("r", "sm"),
+           f"ans AS ({fallback_local('(SELECT f.* FROM feedback f JOIN sm USING (msg_id))')})")
+SQL["merge_tier_results"] = with_(FEEDBACK, *ANSWERS, body="""
 SELECT r.msg_id, coalesce(a.is_claim, r.is_claim) AS is_claim, a.categorie AS topics, a.incident,
   a.score_confiance AS confidence FROM r LEFT JOIN ans a USING (msg_id)""")
-SQL["backfill_prelim"] = with_(FEEDBACK, f"r AS ({rules('feedback')})", ANSWERS, body="""
+SQL["backfill_prelim"] = with_(FEEDBACK, *ANSWERS, body="""
 SELECT r.msg_id, coalesce(a.categorie, r.topics) AS topics,
   coalesce(a.incident, r.incident) AS incident FROM r LEFT JOIN ans a USING (msg_id)""")
 PRE = preprocess("text_cleaned")
@@ -385,7 +386,7 @@ m0 AS (SELECT *, CASE WHEN p > n THEN 'positif' WHEN n > p THEN 'negatif' ELSE '
   FROM (SELECT *, {cnt('pc', L.SCORED_POSITIVE)} AS p, {cnt('pc', L.SCORED_NEGATIVE)} AS n
     FROM (SELECT *, {PRE} AS pc FROM cl))),
 tiers AS (SELECT * EXCLUDE (p, n, pc) FROM ({rules('(' + calibrated('m0', 'text_cleaned', 'sentiment', 'model_conf') + ')', 'text_cleaned')}))"""
-SQL["aggregate_confidence"] = with_(FEEDBACK, TERMS, ANSWERS, body="""
+SQL["aggregate_confidence"] = with_(FEEDBACK, TERMS, *ANSWERS, body="""
 SELECT t.msg_id, round((model_conf + coalesce(a.score_confiance, 0)
   + CASE WHEN coalesce(a.is_claim, t.is_claim) = 'oui' THEN 0.85::double ELSE 0.70::double END)
   / CASE WHEN a.msg_id IS NULL THEN 2 ELSE 3 END, 6) AS confidence
@@ -459,3 +460,349 @@ SELECT lang, count(*) AS total, count(*) FILTER (is_claim = 'oui') AS claims,
   count(*) FILTER (n > p) AS negative, count(*) FILTER (topics = 'fibre') AS fibre,
   count(*) FILTER (topics = 'mobile') AS mobile, count(*) FILTER (topics = 'facture') AS facture,
   count(*) FILTER (topics = 'autre') AS autre FROM r GROUP BY lang"""
+
+# --- indicators --------------------------------------------------------------------------
+
+
+def value_list(values):
+    return "[" + ", ".join("NULL" if v is None else q(v) for v in values) + "]"
+
+
+RAW = "raw AS (SELECT msg_id, text, " + ", ".join(
+    f"{value_list(v)}[msg_id % {len(v)} + 1] AS {c}" for c, v in RAW_LABELS.items()) \
+    + " FROM feedback)"
+LT = "lower(trim({}))".format
+TRUE = f"coalesce({LT('is_claim')} IN {lst(L.TRUE_WORDS)}, false)"
+N_SENT = vocab(LT("sentiment"), L.NORMAL_SENTIMENT, LT("sentiment"))
+N_CLAIM = vocab(LT("is_claim"), L.NORMAL_CLAIM, LT("is_claim"))
+N_URG = (f"CASE WHEN urgence IS NULL THEN 'faible' ELSE "
+         + vocab(LT("urgence"), L.NORMAL_URGENCY,
+                 f"CASE WHEN {TRUE} AND {LT('sentiment')} IN ('negatif', 'negative', 'neg') THEN "
+                 f"'haute' WHEN {TRUE} THEN 'moyenne' ELSE 'faible' END") + " END")
+N_INC = (f"CASE WHEN coalesce({LT('incident')}, '') IN ('', 'nan') THEN 'aucun' WHEN "
+         f"{LT('incident')} IN {lst(L.NORMAL_INCIDENTS)} THEN {LT('incident')} WHEN {TRUE} THEN "
+         f"'non_specifie' ELSE 'aucun' END")
+N_CONF = ("greatest(0.0::double, least(1.0::double, coalesce(try_cast(confidence AS DOUBLE), "
+          "0.5::double)))")
+for _name, _col, _sql in (
+        ("normalize_sentiment", "sentiment", N_SENT), ("normalize_claim", "is_claim", N_CLAIM),
+        ("normalize_urgency", "urgence", N_URG), ("normalize_incident", "incident", N_INC),
+        ("normalize_confidence", "confidence", N_CONF)):
+    SQL[_name] = with_(FEEDBACK, RAW, body=f"SELECT msg_id, {_sql} AS {_col} FROM raw")
+SQL["resolve_aliases"] = with_(FEEDBACK, RAW, body="""
+SELECT msg_id, sentiment, 'non' AS is_claim, urgence, 'aucun' AS incident, incident AS theme,
+  try_cast(confidence AS DOUBLE) AS confidence FROM raw""")
+SQL["normalize_kpis"] = with_(FEEDBACK, RAW, f"""n1 AS (
+  SELECT * REPLACE ({N_SENT} AS sentiment, {N_CLAIM} AS is_claim) FROM raw)""", body=f"""
+SELECT msg_id, coalesce(sentiment, 'neutre') AS sentiment, coalesce(is_claim, 'non') AS is_claim,
+  {N_URG} AS urgence, {N_INC} AS incident, {N_CONF} AS confidence, 'AUTRE' AS theme FROM n1""")
+PCT = "round(count(*) FILTER ({}) * 100.0::double / count(*), 4)".format
+SQL["kpi_metrics"] = with_(FEEDBACK, CLS, body=f"""
+SELECT 'total' AS measure, '' AS label, count(*)::double AS value FROM cls
+UNION ALL SELECT 'claims_count', '', count(*) FILTER (is_claim = 'oui')::double FROM cls
+UNION ALL SELECT 'claims_pct', '', {PCT("is_claim = 'oui'")} FROM cls
+UNION ALL SELECT 'negative_count', '', count(*) FILTER (sentiment = 'negatif')::double FROM cls
+UNION ALL SELECT 'negative_pct', '', {PCT("sentiment = 'negatif'")} FROM cls
+UNION ALL SELECT 'high_urgency_count', '', count(*) FILTER (urgence = 'haute')::double FROM cls
+UNION ALL SELECT 'high_urgency_pct', '', {PCT("urgence = 'haute'")} FROM cls
+UNION ALL SELECT 'confidence_avg', '', round(avg(confidence), 4) FROM cls
+""" + "".join(f"UNION ALL SELECT '{c}', {c}, count(*)::double FROM cls GROUP BY {c}\n"
+              for c in ("sentiment", "urgence", "topics", "incident")))
+SQL["claim_rate"] = SQL["export_report_json"] = with_(FEEDBACK, CLS, body=f"""
+SELECT count(*) FILTER (is_claim = 'oui') AS claim_count, {PCT("is_claim = 'oui'")} AS claim_rate,
+  count(*) AS total FROM cls""")
+ENR = f"""enr AS (SELECT msg_id, channel, sentiment, urgence, confiance AS confidence, theme,
+  CASE WHEN coalesce(text, '') <> '' THEN theme_conf END AS theme_confidence,
+  type_incident AS incident,
+  CASE WHEN coalesce(text, '') <> '' THEN claim_conf END AS claim_confidence, responsable AS team,
+  CASE reclamation WHEN 'OUI' THEN 'Oui' ELSE 'Non' END AS claim FROM ({scored('feedback')}))"""
+SQL["thematic_distribution"] = with_(FEEDBACK, ENR, body="""
+SELECT theme AS label, count(*) AS n,
+  round(count(*) * 100.0::double / sum(count(*)) OVER (), 4) AS pct,
+  count(*) OVER () AS kinds, first(theme) OVER (ORDER BY count(*) DESC, theme) AS top,
+  (SELECT round(avg(theme_confidence), 4) FROM enr) AS avg_confidence FROM enr GROUP BY theme""")
+SAT = {"pos": f"{LT('sentiment')} IN ('positive', 'positif', 'pos', '1', 'good', 'happy')",
+       "neu": f"{LT('sentiment')} IN ('neutral', 'neutre', 'neu', '0', 'ok')",
+       "neg": f"{LT('sentiment')} IN ('negative', 'négatif', 'negatif', 'neg', '-1', 'bad', "
+              f"'angry')"}
+INDEX = (f"round((count(*) FILTER ({SAT['pos']}) - count(*) FILTER ({SAT['neg']}))::double "
+         f"/ count(*) * 50 + 50, 4)")
+SAT_COLS = f"""{INDEX} AS satisfaction_index, count(*) FILTER ({SAT['pos']}) AS positive_count,
+  count(*) FILTER ({SAT['neu']}) AS neutral_count, count(*) FILTER ({SAT['neg']})
+  AS negative_count, {PCT(SAT['pos'])} AS positive_pct, {PCT(SAT['neu'])} AS neutral_pct,
+  {PCT(SAT['neg'])} AS negative_pct"""
+SQL["satisfaction_index"] = with_(FEEDBACK, RAW, body=f"SELECT {SAT_COLS} FROM raw")
+CRIT = "coalesce(regexp_matches(lower(urgence), 'critique|critical|urgent|très haute'), false)"
+HIGH = f"(coalesce(regexp_matches(lower(urgence), 'haute|high|élevée'), false) AND NOT {CRIT})"
+URG_COLS = f"""count(*) FILTER ({CRIT}) AS critical_count, count(*) FILTER ({HIGH}) AS high_count,
+  count(*) FILTER ({CRIT} OR {HIGH}) AS urgent_total, {PCT(CRIT + ' OR ' + HIGH)} AS urgency_pct"""
+SQL["urgency_rate"] = with_(FEEDBACK, RAW, body=f"SELECT {URG_COLS} FROM raw")
+CONF_COLS = """round(avg(x), 4) AS average, round(min(x), 4) AS minimum, round(max(x), 4) AS maximum,
+  round(coalesce(stddev_samp(x), 0), 4) AS std"""
+SQL["confidence_summary"] = with_(FEEDBACK, RAW, body=f"""
+SELECT {CONF_COLS} FROM (SELECT try_cast(confidence AS DOUBLE) AS x FROM raw)""")
+SQL["incident_distribution"] = with_(FEEDBACK, ENR, body="""
+SELECT 'incident' AS kind, incident AS label, count(*) AS n,
+  round(count(*) * 100.0::double / sum(count(*)) OVER (), 4) AS pct,
+  row_number() OVER (ORDER BY count(*) DESC, incident) = 1 AS is_top,
+  (SELECT round(avg(claim_confidence), 4) FROM enr) AS avg_confidence FROM enr GROUP BY incident
+UNION ALL SELECT 'responsable', team, count(*),
+  round(count(*) * 100.0::double / sum(count(*)) OVER (), 4),
+  row_number() OVER (ORDER BY count(*) DESC, team) = 1, NULL FROM enr GROUP BY team""")
+SQL["claims_enriched"] = with_(FEEDBACK, ENR, body=f"""
+SELECT count(*) FILTER (claim = 'Oui') AS oui_count, count(*) FILTER (claim = 'Non') AS non_count,
+  {PCT("claim = 'Oui'")} AS oui_pct, {PCT("claim = 'Non'")} AS non_pct,
+  round(avg(claim_confidence), 4) AS avg_confidence FROM enr""")
+CLAIM_ITEMS = ("claim_rate", ["claim_count", "claim_rate", "total"])
+SQL["business_kpis"] = with_(FEEDBACK, ENR, f"""one AS (SELECT
+  0::bigint AS claim_count, 0.0::double AS claim_rate, count(*) AS total, {SAT_COLS}, {URG_COLS},
+  {CONF_COLS} FROM (SELECT *, confidence AS x FROM enr))""", body=" UNION ALL ".join(
+    f"SELECT '{k}' AS kpi, '{c}' AS item, round({c}::double, 4) AS value FROM one"
+    for k, cs in (CLAIM_ITEMS,
+                  ("urgency_rate", ["critical_count", "high_count", "urgent_total",
+                                    "urgency_pct"]),
+                  ("confidence_score", ["average", "minimum", "maximum", "std"]),
+                  ("satisfaction_index", ["satisfaction_index", "positive_count", "neutral_count",
+                                          "negative_count", "positive_pct", "neutral_pct",
+                                          "negative_pct"])) for c in cs) + "".join(
+    f"\nUNION ALL SELECT '{k}', {c}, count(*)::double FROM enr GROUP BY {c}"
+    for k, c in (("thematic_distribution", "theme"), ("incident_distribution", "incident"),
+                 ("responsable_distribution", "team"), ("reclamations_enriched", "claim"))))
+REAL = ("urgence IN ('haute', 'high', 'elevee', 'élevée', 'critique', 'critical') AND "
+        f"incident NOT IN {lst(L.EMPTY_INCIDENTS)}")
+CRITICAL = f"incident IN {lst(L.CRITICAL_INCIDENTS)}"
+SQL["quality_summary"] = with_(FEEDBACK, CLS, body=f"""
+SELECT count(*) FILTER (is_claim = 'oui') AS claims, {PCT("is_claim = 'oui'")} AS claim_coverage,
+  count(sentiment) AS with_sentiment, {PCT('sentiment IS NOT NULL')} AS sentiment_coverage,
+  CASE WHEN count(*) FILTER ({CRITICAL}) > 0 THEN count(*) FILTER ({CRITICAL})
+       ELSE count(*) FILTER ({REAL}) END AS critical_incidents FROM cls""")
+SQL["top_real_incident"] = with_(FEEDBACK, CLS, body="""
+SELECT incident, count(*) AS n FROM cls WHERE incident NOT IN ('aucun', 'non', 'none', 'n/a', 'na',
+  '') GROUP BY incident ORDER BY n DESC, incident LIMIT 1""")
+SQL["alert_bands"] = with_(FEEDBACK, ENR, f"""b AS (SELECT channel, {PCT("claim = 'Oui'")} AS claim,
+  {INDEX} AS satisfaction, {PCT(CRIT + ' OR ' + HIGH)} AS urgency,
+  round(avg(confidence), 4) AS confidence FROM enr GROUP BY channel)""", body="""
+SELECT *, CASE WHEN claim > 30 THEN 'alert' WHEN claim > 15 THEN 'watch' ELSE 'good' END
+    AS claim_band,
+  CASE WHEN satisfaction > 60 THEN 'positive' WHEN satisfaction > 40 THEN 'neutral'
+    ELSE 'negative' END AS satisfaction_band,
+  CASE WHEN urgency > 20 THEN 'high' WHEN urgency > 10 THEN 'moderate' ELSE 'low' END
+    AS urgency_band,
+  CASE WHEN confidence > 0.8 THEN 'high' WHEN confidence > 0.6 THEN 'medium' ELSE 'low' END
+    AS confidence_band FROM b""")
+SQL["map_vocabulary_en"] = with_(FEEDBACK, CLS, body="""
+SELECT msg_id, CASE sentiment WHEN 'positif' THEN 'positive' WHEN 'negatif' THEN 'negative'
+  ELSE 'neutral' END AS sentiment, urgence AS priority, incident AS category FROM cls""")
+SQL["group_kpi_stats"] = with_(FEEDBACK, ENR, body=" UNION ALL ".join(
+    f"SELECT '{d}' AS dimension, {c} AS label, count(*) AS \"count\", round(count(*) * "
+    f"100.0::double / sum(count(*)) OVER (), 2) AS percentage, round(avg({x}), 2) AS "
+    f"avg_confidence FROM enr GROUP BY {c}"
+    for d, c, x in (("theme", "theme", "theme_confidence"),
+                    ("incident", "incident", "claim_confidence"),
+                    ("claim", "claim", "claim_confidence"),
+                    ("team", "team", "claim_confidence"))))
+SQL["flat_kpis"] = with_(FEEDBACK, CLS, body="""
+SELECT 'total' AS item, count(*)::double AS value FROM cls
+""" + "".join(f"UNION ALL SELECT '{i}', {PCT(c)} FROM cls\n" for i, c in (
+    ("pct_negatif", "sentiment = 'negatif'"), ("pct_neutre", "sentiment = 'neutre'"),
+    ("pct_positif", "sentiment = 'positif'"), ("pct_urgent", "urgence = 'haute'"))) + """
+UNION ALL SELECT * FROM (SELECT 'theme:' || topics, count(*)::double FROM cls GROUP BY topics
+  ORDER BY count(*) DESC, topics LIMIT 5)""")
+
+# --- chart tables ------------------------------------------------------------------------
+
+
+def shares(src, col, extra=""):
+    return (f"SELECT {col} AS label, count(*) AS n, round(count(*) * 100.0::double / "
+            f"(SELECT count(*) FROM {src}), 2) AS pct FROM {src} WHERE {col} IS NOT NULL "
+            f"GROUP BY {col} {extra}")
+
+
+SQL["sentiment_share"] = with_(FEEDBACK, CLS, body=shares("cls", "sentiment"))
+SQL["sentiment_buckets"] = with_(FEEDBACK, RAW, body=" UNION ALL ".join(
+    f"SELECT '{k}' AS label, count(*) FILTER ({LT('sentiment')} IN {lst(ws)}) AS n, "
+    f"round(count(*) FILTER ({LT('sentiment')} IN {lst(ws)}) * 100.0::double / count(*), 2) "
+    f"AS pct FROM raw" for k, ws in (("negatif", L.NEGATIVE_WORDS), ("neutre", L.NEUTRAL_WORDS),
+                                     ("positif", L.POSITIVE_WORDS))))
+DATED = CLS + """,
+dated AS (SELECT *, date_trunc('second', ts) AS t FROM cls WHERE msg_id % 101 <> 0)"""
+SQL["daily_volume"] = with_(FEEDBACK, DATED, body="""
+SELECT t::date AS day, 'all' AS sentiment, count(*) AS n FROM dated GROUP BY 1
+UNION ALL SELECT t::date, sentiment, count(*) FROM dated GROUP BY 1, 2""")
+SQL["activity_heatmap"] = with_(FEEDBACK, DATED, body="SELECT dayname(t) AS day, " + ", ".join(
+    f"count(*) FILTER (hour(t) = {h}) AS h{h:02d}" for h in range(24))
+    + " FROM dated GROUP BY 1")
+SQL["top_themes"] = with_(FEEDBACK, ENR, body=shares(
+    "enr", "theme", "ORDER BY n DESC, label LIMIT 10"))
+SQL["incident_share"] = with_(FEEDBACK, CLS, body=shares("cls", "incident"))
+SQL["incident_severity"] = with_(FEEDBACK, CLS, RAW, f"r AS ({rules('feedback')})", """
+u AS (SELECT incident FROM raw UNION ALL SELECT incident FROM cls UNION ALL
+  SELECT incident FROM r)""", "sev(k, name, severity) AS (VALUES " + ", ".join(
+    f"({i}, {q(n)}, {q(s)})" for i, (n, s) in enumerate(L.INCIDENT_SEVERITY)) + ")", """
+g AS (SELECT incident, count(*) AS n FROM u GROUP BY incident)""", body="""
+SELECT incident, coalesce(
+  (SELECT severity FROM sev WHERE name = lower(trim(incident))),
+  (SELECT arg_min(severity, k) FROM sev WHERE contains(lower(trim(incident)), name)
+     OR contains(name, lower(trim(incident)))), 'other') AS severity, n FROM g""")
+SQL["category_satisfaction"] = with_(FEEDBACK, CLS, body="""
+SELECT incident AS category, count(*) AS n, round((count(*) FILTER (sentiment = 'positif')
+  - count(*) FILTER (sentiment = 'negatif'))::double / count(*) * 50 + 50, 4) AS satisfaction
+FROM cls GROUP BY incident ORDER BY n DESC, incident LIMIT 6""")
+SQL["urgency_levels"] = with_(FEEDBACK, RAW, body=f"""
+SELECT level, count(u) AS n FROM (VALUES ('FAIBLE'), ('HAUTE'), ('MOYENNE')) v(level)
+LEFT JOIN (SELECT {vocab(LT('urgence'), L.URGENCY_LEVELS, "'FAIBLE'")} AS u FROM raw)
+  ON u = level GROUP BY level""")
+SQL["priority_counts"] = with_(FEEDBACK, RAW, body=shares("raw", "urgence"))
+SQL["topic_tokens_top10"] = with_(FEEDBACK, CLS, body="""
+SELECT label, count(*) AS n FROM (SELECT unnest([topics, categorie, channel]) AS label FROM cls)
+GROUP BY label ORDER BY n DESC, label LIMIT 10""")
+SQL["confidence_histogram"] = with_(FEEDBACK, CLS, """lim AS (
+  SELECT min(confidence) AS lo, max(confidence) AS hi FROM cls)""", body="""
+SELECT least(20, floor((confidence - lo) / (hi - lo) * 20) + 1)::int AS bin, count(*) AS n
+FROM cls, lim GROUP BY 1""")
+SQL["time_ordered"] = with_(FEEDBACK, DATED, body="""
+SELECT msg_id, strftime(t, '%Y-%m-%d %H:%M:%S') AS time, confidence FROM dated""")
+SQL["claim_split"] = with_(FEEDBACK, RAW, body=f"""
+SELECT CASE WHEN c THEN 'claim' ELSE 'no claim' END AS label, count(*) AS n,
+  round(count(*) * 100.0::double / (SELECT count(*) FROM raw), 2) AS pct
+FROM (SELECT {TRUE} AS c FROM raw) GROUP BY c""")
+SQL["detail_table"] = with_(FEEDBACK, CLS, body="""
+SELECT text, sentiment, is_claim, urgence, topics, incident, confidence FROM cls""")
+SQL["distinct_labels"] = with_(FEEDBACK, CLS, body="""
+SELECT count(DISTINCT topics) AS topics_count, count(DISTINCT incident) AS incident_count
+FROM cls""")
+SQL["claims_by_topic"] = with_(FEEDBACK, CLS, body=f"""
+SELECT topics AS topic, count(*) AS n, count(*) FILTER (is_claim = 'oui') AS claims,
+  {PCT("is_claim = 'oui'")} AS claim_pct FROM cls GROUP BY topics
+UNION ALL SELECT 'all', count(*), count(*) FILTER (is_claim = 'oui'), {PCT("is_claim = 'oui'")}
+FROM cls""")
+SQL["urgency_trend"] = with_(FEEDBACK, DATED, """d AS (SELECT t::date AS day, count(*) AS n,
+  count(*) FILTER (urgence = 'haute') AS urgent FROM dated GROUP BY 1)""", body="""
+SELECT day, n, urgent, round(urgent * 100.0::double / n, 4) AS urgent_pct,
+  round(avg(urgent * 100.0::double / n) OVER (ORDER BY day ROWS 6 PRECEDING), 4) AS moving_pct
+FROM d""")
+
+# --- learning and evaluation -------------------------------------------------------------
+SPLIT = """ranked AS (SELECT *, row_number() OVER (PARTITION BY sentiment
+    ORDER BY md5('42|' || msg_id)) AS r, count(*) OVER (PARTITION BY sentiment) AS size FROM cls),
+split AS (SELECT *, CASE WHEN r <= round(size * 0.7::double) THEN 'train'
+  WHEN r <= round(size * (0.7::double + 0.15::double)) THEN 'validation' ELSE 'test' END AS split
+  FROM ranked)"""
+SQL["stratified_split"] = with_(FEEDBACK, CLS, SPLIT,
+                                body="SELECT msg_id, sentiment, split FROM split")
+SQL["dataset_statistics"] = with_(FEEDBACK, CLS, SPLIT, body=" UNION ALL ".join(
+    [f"SELECT split, '{m}' AS measure, '' AS label, ({e})::double AS value FROM split "
+     f"GROUP BY split" for m, e in (
+         ("total_samples", "count(*)"), ("urgent", "count(*) FILTER (urgence = 'haute')"),
+         ("needs_response", "count(*) FILTER (is_claim = 'oui')"),
+         ("avg_text_length", "round(avg(length(text)), 4)"),
+         ("unique_authors", "count(DISTINCT author)"))]
+    + [f"SELECT split, '{c}_count', {c}, count(*)::double FROM split GROUP BY split, {c} "
+       f"UNION ALL SELECT split, '{c}_pct', {c}, round(count(*) * 100.0::double / "
+       f"sum(count(*)) OVER (PARTITION BY split), 4) FROM split GROUP BY split, {c}"
+       for c in ("sentiment", "categorie", "urgence")]))
+SQL["accuracy_by_target"] = """
+WITH d AS (SELECT quality, toxic, (length(text) >= 200)::int AS qg,
+  contains(text, '!')::int AS tg FROM documents JOIN labels USING (doc_id))
+SELECT 'quality' AS target, count(*) AS n, round(avg((quality = qg)::int), 4) AS accuracy FROM d
+UNION ALL SELECT 'toxic', count(*), round(avg((toxic = tg)::int), 4) FROM d"""
+PRED = f"""sc AS (SELECT msg_id, channel, CASE reclamation WHEN 'OUI' THEN 'oui' ELSE 'non' END AS label,
+  CASE WHEN coalesce(text, '') <> '' THEN claim_conf ELSE 0.0::double END AS score
+  FROM ({scored('feedback')})),
+pred AS (SELECT sc.*, a.is_claim AS rules, b.is_claim AS local, c.is_claim AS cloud,
+  d.is_claim AS basic FROM sc JOIN ({rules('feedback')}) a USING (msg_id)
+  JOIN ({fallback_local('feedback')}) b USING (msg_id)
+  JOIN ({fallback_cloud('feedback')}) c USING (msg_id)
+  JOIN ({fallback_basic('feedback')}) d USING (msg_id))"""
+SQL["confusion_matrix"] = with_(FEEDBACK, PRED, body="""
+SELECT label, count(*) FILTER (cloud = 'non') AS pred_non, count(*) FILTER (cloud = 'oui')
+  AS pred_oui FROM pred GROUP BY label""")
+SQL["precision_recall_f1"] = with_(FEEDBACK, PRED, """c AS (SELECT k AS class,
+    count(*) FILTER (label = k AND rules = k) AS tp, count(*) FILTER (label = k) AS support,
+    count(*) FILTER (rules = k) AS said FROM pred, (VALUES ('oui'), ('non')) v(k) GROUP BY k)""", """
+m AS (SELECT class, tp::double / said AS p, tp::double / support AS r,
+    2 * tp::double / (support + said) AS f, support FROM c)""", body="""
+SELECT class, round(p, 4) AS "precision", round(r, 4) AS recall, round(f, 4) AS f1, support FROM m
+UNION ALL SELECT 'macro', round(avg(p), 4), round(avg(r), 4), round(avg(f), 4),
+  sum(support)::bigint FROM m""")
+SQL["classified_targets"] = with_(FEEDBACK, PRED, """t AS (
+  SELECT count(*) FILTER (label = 'oui' AND cloud = 'oui')::double / count(*)
+    FILTER (cloud = 'oui') AS p, count(cloud)::double / count(*) AS s FROM pred)""", body="""
+SELECT round(p, 4) AS claim_precision, p > 0.85 AS precision_met, round(s, 4) AS classified_share,
+  s > 0.9 AS share_met FROM t""")
+SQL["pr_roc_points"] = with_(FEEDBACK, PRED, """s AS (SELECT DISTINCT floor(score * 100) AS step
+  FROM pred)""", """p AS (SELECT step,
+  count(*) FILTER (floor(score * 100) >= step AND rules = 'oui') AS tp,
+  count(*) FILTER (floor(score * 100) >= step AND rules = 'non') AS fp,
+  count(*) FILTER (rules = 'oui') AS pos, count(*) FILTER (rules = 'non') AS neg
+  FROM s, pred GROUP BY step)""", body="""
+SELECT round(step / 100, 4) AS threshold, tp, fp, round(tp::double / (tp + fp), 4) AS "precision",
+  round(tp::double / pos, 4) AS recall, round(fp::double / neg, 4) AS fpr FROM p""")
+SQL["cohen_kappa"] = with_(FEEDBACK, PRED, """l AS (UNPIVOT (SELECT msg_id, rules, local, cloud,
+  basic FROM pred) ON rules, local, cloud, basic INTO NAME a VALUE v)""", """
+k AS (SELECT x.a AS first, y.a AS second, count(*) AS items,
+  avg((x.v = y.v)::int) AS po, avg((x.v = 'oui')::int) AS px, avg((y.v = 'oui')::int) AS py
+  FROM l x JOIN l y ON x.msg_id = y.msg_id AND x.a < y.a GROUP BY 1, 2)""", """
+e AS (SELECT *, px * py + (1 - px) * (1 - py) AS pe FROM k)""", body="""
+SELECT first, second, items, round(po, 4) AS observed, round(pe, 4) AS expected,
+  round((po - pe) / (1 - pe), 4) AS kappa, (po - pe) / (1 - pe) >= 0.7 AS accepted FROM e""")
+SQL["fairness_gap"] = with_(FEEDBACK, PRED, """g AS (SELECT channel,
+  avg((cloud = 'oui')::int) AS pr,
+  avg((cloud = 'oui')::int) FILTER (label = 'oui') AS tpr,
+  avg((cloud = 'oui')::int) FILTER (label = 'non') AS fpr FROM pred GROUP BY channel)""", body="""
+SELECT count(*) AS groups, round(max(pr) - min(pr), 4) AS parity_gap,
+  round(greatest(max(tpr) - min(tpr), max(fpr) - min(fpr)), 4) AS odds_gap,
+  round(var_pop(pr), 6) AS variance, max(pr) - min(pr) <= 0.25 AS gap_ok,
+  var_pop(pr) <= 0.05 AS variance_ok FROM g""")
+SQL["latency_summary"] = with_(FEEDBACK, """r AS (SELECT latency_ms AS v,
+  row_number() OVER (ORDER BY latency_ms) - 1 AS i, count(*) OVER () AS n FROM feedback
+  WHERE latency_ms IS NOT NULL)""", body="""
+SELECT max(n) AS n, round(avg(v), 4) AS mean,
+  round(max(v) FILTER (i = greatest(0, floor(n * 0.95::double) - 1)), 4) AS p95,
+  avg(v) <= 850 AND max(v) FILTER (i = greatest(0, floor(n * 0.95::double) - 1)) <= 1500 AS within
+FROM r""")
+SQL["compare_models"] = with_(FEEDBACK, PRED, """l AS (UNPIVOT (SELECT label, rules, local, cloud,
+  basic FROM pred) ON rules, local, cloud, basic INTO NAME model VALUE v)""", """
+m AS (SELECT model, avg((label = v)::int) AS accuracy,
+  count(*) FILTER (label = 'oui' AND v = 'oui')::double / count(*) FILTER (v = 'oui') AS prec,
+  count(*) FILTER (label = 'oui' AND v = 'oui')::double / count(*) FILTER (label = 'oui')
+    AS recall,
+  2 * count(*) FILTER (label = 'oui' AND v = 'oui')::double / (count(*) FILTER (v = 'oui')
+    + count(*) FILTER (label = 'oui')) AS f1 FROM l GROUP BY model)""", """
+u AS (SELECT model, 'accuracy' AS metric, round(accuracy, 4) AS value FROM m UNION ALL
+  SELECT model, 'precision', round(prec, 4) FROM m UNION ALL
+  SELECT model, 'recall', round(recall, 4) FROM m UNION ALL
+  SELECT model, 'f1', round(f1, 4) FROM m)""", body="""
+SELECT *, row_number() OVER (PARTITION BY metric ORDER BY value DESC, model) = 1 AS is_best
+FROM u""")
+
+# --- streams: closed windows only, one hour behind the latest event ----------------------
+SQL["stream_classify"] = with_(FEEDBACK, body=f"""
+SELECT msg_id, {LABELS} FROM ({fallback_cloud('feedback')})""")
+SQL["stream_dedup"] = with_(FEEDBACK, body="""
+SELECT DISTINCT md5(text) AS text_md5 FROM feedback WHERE text IS NOT NULL""")
+MARK = "(SELECT max(ts) - INTERVAL 1 HOUR FROM events)"
+COUNTS = """count(*) AS n, count(*) FILTER (is_claim = 'oui') AS claims,
+  count(*) FILTER (sentiment = 'negatif') AS negative,
+  count(*) FILTER (is_claim = 'oui' AND urgence = 'haute') AS urgent"""
+SQL["stream_kpi_windows"] = with_(FEEDBACK, CLS, body=f"""
+SELECT date_trunc('day', ts) AS window_start, date_trunc('day', ts) + INTERVAL 1 DAY
+  AS window_end, {COUNTS} FROM cls GROUP BY 1, 2 HAVING window_end <= {MARK}""")
+SQL["stream_kpi_sliding"] = with_(FEEDBACK, CLS, """w AS (SELECT *,
+  time_bucket(INTERVAL 2 HOUR, ts, TIMESTAMP '1970-01-01') - back * INTERVAL 2 HOUR AS s
+  FROM cls, (VALUES (0), (1), (2)) b(back))""", body=f"""
+SELECT s AS window_start, s + INTERVAL 6 HOUR AS window_end, {COUNTS} FROM w GROUP BY 1, 2
+HAVING window_end <= {MARK}""")
+SQL["stream_sessions"] = with_(FEEDBACK, """g AS (SELECT author, ts,
+  CASE WHEN ts < lag(ts) OVER (PARTITION BY author ORDER BY ts) + INTERVAL 1 HOUR THEN 0 ELSE 1 END
+    AS first FROM feedback)""", """
+n AS (SELECT *, sum(first) OVER (PARTITION BY author ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k
+  FROM g)""", body=f"""
+SELECT author, min(ts) AS session_start, max(ts) + INTERVAL 1 HOUR AS session_end, count(*) AS n
+FROM n GROUP BY author, k HAVING session_end <= {MARK}""")
+SQL["stream_alerts"] = with_(FEEDBACK, CLS, body="""
+SELECT msg_id, author, incident FROM cls WHERE is_claim = 'oui' AND urgence = 'haute'""")
+SQL["stream_alert_windows"] = with_(FEEDBACK, CLS, body=f"""
+SELECT date_trunc('hour', ts) AS window_start, count(*) AS n,
+  count(*) FILTER (is_claim = 'oui' AND urgence = 'haute') AS urgent FROM cls GROUP BY 1
+HAVING urgent >= 3 AND window_start + INTERVAL 1 HOUR <= {MARK}""")
