@@ -1,14 +1,19 @@
-"""Term matching as plain column expressions.
+"""Term matching as column expressions.
 
-A list test is a chain of ``contains`` calls: each is a byte scan inside generated code and the
-chain stops at the first hit. Measured on 75 M characters with 57 terms it ran four times faster
-than one alternation pattern and ten times faster than ``LIKE ANY``. Regular expressions are kept
-for word bounds and numbers and stand behind a ``contains`` test of a part they need anyway.
+A list test is one higher-order expression over a constant array of terms: ``exists`` stops at the
+first hit, ``filter`` counts. Measured against the alternatives on 800,000 short messages and on
+documents of up to 20,000 words, for classifiers with some 200 terms each:
+
+* chains of ``contains`` in generated code are as fast for one list, but a whole classifier exceeds
+  the size up to which the JVM compiles a method and then runs 2.5 times slower; planning takes
+  three times as long;
+* one alternation pattern is 2 to 4 times slower, ``LIKE ANY`` 10 times.
+
+Regular expressions are kept for word bounds and numbers and stand behind a term test of a part
+they need anyway.
 """
 
 import re
-from functools import reduce
-from operator import add, or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -27,14 +32,27 @@ def minimal_terms(terms):
     return [t for t in unique if not any(o != t and o in t for o in unique)]
 
 
+def _constant(terms) -> Column:
+    """The terms as one string literal that the optimizer splits into a constant array."""
+    return F.split(F.lit("\n".join(terms)), "\n")
+
+
+def _once(text: Column, test) -> Column:
+    """Apply ``test`` to the text as a lambda variable. Should the optimizer move the expression
+    behind ``text`` in here, it is still computed once and not once per term."""
+    return F.get(F.transform(F.array(text), test), F.lit(0))
+
+
 def any_term(text: Column, terms) -> Column:
     """True if some term is a substring of ``text``."""
-    return reduce(or_, [F.contains(text, F.lit(t)) for t in minimal_terms(terms)])
+    terms = _constant(minimal_terms(terms))
+    return _once(text, lambda t: F.exists(terms, lambda k: F.contains(t, k)))
 
 
 def count_terms(text: Column, terms) -> Column:
     """Number of list entries that are substrings; an entry listed twice counts twice."""
-    return reduce(add, [F.contains(text, F.lit(t)).cast("int") for t in terms])
+    terms = _constant(terms)
+    return _once(text, lambda t: F.size(F.filter(terms, lambda k: F.contains(t, k))))
 
 
 def any_word(text: Column, words) -> Column:

@@ -50,13 +50,13 @@ EMOJI_NAMES = {
 ASCII_SPECIALS = {
     "œ": "oe", "Œ": "OE", "æ": "ae", "Æ": "AE", "ß": "ss", "€": "EUR", "…": "...", "™": "(tm)",
     "©": "(c)", "®": "(r)", "«": "<<", "»": ">>", "½": "1/2", "¼": "1/4", "¾": "3/4", "þ": "th",
-    "Þ": "Th", "£": "PS",
+    "Þ": "Th", "£": "PS", "—": "--",
 }
 ASCII_LETTERS = {
     "’": "'", "‘": "'", "‚": ",", "“": '"', "”": '"', "„": '"', "–": "-", "‐": "-", "‑": "-",
     "•": "*", "·": "*", "‹": "<", "›": ">", "¿": "?", "¡": "!", "ø": "o", "Ø": "O",
     "đ": "d", "Đ": "D", "ð": "d", "Ð": "D", "ł": "l", "Ł": "L", "ı": "i", "ħ": "h", "Ħ": "H",
-    "×": "x", " ": " ", " ": " ", " ": " ", "　": " ",
+    "×": "x", "\u00a0": " ", "\u202f": " ", "\u2009": " ", "\u3000": " ",
 }
 
 
@@ -150,13 +150,20 @@ def strip_emojis(text: Column) -> Column:
 def to_ascii(text: Column) -> Column:
     """Latin letters and typographic signs in ASCII; what has no ASCII form is dropped.
 
-    Other scripts are dropped too, not transliterated.
+    Other scripts are dropped too, not transliterated. Only the runs of non-ASCII characters
+    are translated, which is several times faster than translating every character.
     """
     letters = ascii_letters()
-    out = F.translate(text, "".join(letters), "".join(letters.values()))
-    for sign, spelling in ASCII_SPECIALS.items():
-        out = F.replace(out, F.lit(sign), F.lit(spelling))
-    return F.regexp_replace(F.replace(out, F.lit("—"), F.lit("--")), r"[^\x00-\x7F]+", "")
+
+    def spell(run):
+        out = F.translate(run, "".join(letters), "".join(letters.values()))
+        for sign, spelling in ASCII_SPECIALS.items():
+            out = F.replace(out, F.lit(sign), F.lit(spelling))
+        return F.regexp_replace(out, r"[^\x00-\x7F]+", "")
+
+    runs = F.regexp_extract_all(text, F.lit(r"[\x00-\x7F]+|[^\x00-\x7F]+"), F.lit(0))
+    return F.array_join(F.transform(runs, lambda r: F.when(F.ascii(r) < 128, r)
+                                    .otherwise(spell(r))), "")
 
 
 def collapse_spaces(text: Column) -> Column:
@@ -181,9 +188,13 @@ def drop_stopwords(text: Column, words) -> Column:
 
 def keep_domain_terms(cleaned: Column, raw: Column, terms=tuple(L.DOMAIN_TERMS)) -> Column:
     """Append domain terms of the raw text that cleaning lost, in sorted order."""
-    lost = [F.when(F.contains(raw, F.lit(t)) & ~F.contains(cleaned, F.lit(t)),
-                   F.lit(t.replace(" ", "_"))) for t in sorted(terms)]
-    return F.when(F.length(cleaned) > 0, F.concat_ws(" ", cleaned, *lost)).otherwise(cleaned)
+    terms = F.split(F.lit("\n".join(sorted(terms))), "\n")
+    # the pair is bound once: the lambda must not repeat the expressions behind it per term
+    pair = F.array(F.struct(raw.alias("raw"), cleaned.alias("cleaned")))
+    return F.get(F.transform(pair, lambda p: F.when(p["cleaned"] == "", "").otherwise(
+        F.array_join(F.concat(F.array(p["cleaned"]), F.transform(
+            F.filter(terms, lambda k: F.contains(p["raw"], k) & ~F.contains(p["cleaned"], k)),
+            lambda k: F.replace(k, F.lit(" "), F.lit("_")))), " "))), F.lit(0))
 
 
 def clean_messages(df: DataFrame, column="text", out=None, options=CleanOptions()) -> DataFrame:
@@ -198,6 +209,10 @@ def clean_messages(df: DataFrame, column="text", out=None, options=CleanOptions(
         text = strip_mentions(text)
     if options.remove_hashtags:
         text = strip_hashtags(text)
+    df = df.withColumn(out, text)
+    # Steps that read the text several times start a new projection: the optimizer keeps a
+    # costly column that is read more than once where it is, so it is computed once.
+    text = F.col(out)
     if options.convert_emojis:
         text = emoji_to_text(text)
     if options.normalize_unicode:
@@ -207,12 +222,11 @@ def clean_messages(df: DataFrame, column="text", out=None, options=CleanOptions(
     text = collapse_spaces(text)
     if options.extra_stopwords:
         text = drop_stopwords(text, options.extra_stopwords)
+    df = df.withColumn(out, text)
     if not options.preserve_domain_terms:
-        return df.withColumn(out, text)
-    # a second projection, so that the cleaned text is computed once and read by every term test
-    return (df.withColumns({out: text, "_raw": lower_text(F.col(column))})
-            .withColumn(out, keep_domain_terms(F.col(out), F.col("_raw"), options.domain_terms))
-            .drop("_raw"))
+        return df
+    return df.withColumn(out, F.when(F.col(out) == "", "").otherwise(keep_domain_terms(
+        F.col(out), lower_text(F.col(column)), options.domain_terms)))
 
 
 def preprocess_text(text: Column, preserve_case=False, remove_emojis=False) -> Column:

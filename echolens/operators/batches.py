@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from echolens.functions import lexicon as L
 
-BLOCK = 1 << 20
+BLOCK = 1 << 12
+GROUP = 1 << 12   # blocks per group of blocks
 
 RESULT_SCHEMA = ("struct<results: array<struct<index: int, sentiment: string, categorie: string, "
                  "score_confiance: double, confidence: double, is_claim: string, "
@@ -31,20 +32,31 @@ def number_rows(df: DataFrame, id_col="msg_id", block=BLOCK, out="position") ->
     """Add the 0-based position in the order of a unique integer id.
 
     Rows are numbered inside blocks of ``block`` consecutive ids, so no task ever holds more
-    than ``block`` rows; the blocks are chained by a running sum over one row per block. With
-    sparse ids choose a larger block.
+    than ``block`` rows; blocks are chained by a running sum of their sizes. With sparse ids
+    choose a larger block.
     """
     blocked = df.withColumn("_block", F.floor(F.col(id_col) / block))
-    before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (blocked.groupBy("_block").agg(F.count("*").alias("_n"))
-                      .select("_block", F.coalesce(F.sum("_n").over(before), F.lit(0))
-                              .alias("_offset")))
+    sizes = blocked.groupBy("_block").agg(F.count("*").alias("_n"))
     inside = Window.partitionBy("_block").orderBy(id_col)
-    return (blocked.join(offsets, "_block")
+    return (blocked.join(_block_offsets(sizes), "_block")
                    .withColumn(out, F.col("_offset") + F.row_number().over(inside) - 1)
                    .drop("_block", "_offset"))
 
 
+def _block_offsets(sizes: DataFrame) -> DataFrame:
+    """``(_block, _offset)``: rows in the blocks before each block. The running sum is taken
+    inside groups of blocks and over the groups, so that a trillion rows still mean tasks of
+    some thousand entries."""
+    sizes = sizes.withColumn("_group", F.floor(F.col("_block") / GROUP))
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    running = lambda w: F.coalesce(F.sum("_n").over(before(w)), F.lit(0))
+    inner = Window.partitionBy("_group").orderBy("_block")
+    groups = (sizes.groupBy("_group").agg(F.sum("_n").alias("_n"))
+                   .select("_group", running(Window.orderBy("_group")).alias("_base")))
+    return (sizes.withColumn("_inner", running(inner)).join(groups, "_group")
+                 .select("_block", (F.col("_base") + F.col("_inner")).alias("_offset")))
+
+
 def make_batches(df: DataFrame, id_col="msg_id", size=50, block=BLOCK) -> DataFrame:
     """Add ``batch_id`` and ``pos``: consecutive batches of ``size`` rows in id order."""
     return (number_rows(df, id_col, block, "_position")

@@ -341,7 +341,7 @@ def calibrate_sentiment(spark, folder):
 
 @query
 def make_batches(spark, folder):
-    return batches.make_batches(feedback(spark, folder), block=4096).select("msg_id", "batch_id",
+    return batches.make_batches(feedback(spark, folder)).select("msg_id", "batch_id",
                                                                             "pos")
 
 

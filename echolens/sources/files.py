@@ -29,7 +29,8 @@ def read_messages_csv(spark: SparkSession, path: str, schema, encoding="UTF-8")
 
 
 def write_messages_csv(df: DataFrame, path: str, encoding="UTF-8") -> None:
-    """Write CSV that ``read_messages_csv`` reads back value by value, blanks included."""
+    """Write CSV that ``read_messages_csv`` reads back value by value, blanks included; only an
+    empty string comes back as null."""
     (df.write.option("header", True).option("escape", '"').option("encoding", encoding)
        .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
        .csv(path))
@@ -37,7 +38,7 @@ def write_messages_csv(df: DataFrame, path: str, encoding="UTF-8") -> None:
 
 def detect_encoding(spark: SparkSession, path: str) -> DataFrame:
     """One row per file ``(path, encoding)``: UTF-8 if every line is valid UTF-8, otherwise
-    windows-1252, which decodes what latin-1 decodes.
+    ISO-8859-1, which decodes any bytes.
 
     Whole files are tested, not a sample, and split over tasks: the text source hands lines over
     as raw bytes. A leading byte-order mark is dropped by the readers, so UTF-8 covers both
@@ -46,13 +47,22 @@ def detect_encoding(spark: SparkSession, path: str) -> DataFrame:
     lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"),
                                          F.is_valid_utf8(F.col("value")).alias("valid"))
     return lines.groupBy("path").agg(
-        F.when(F.bool_and("valid"), "UTF-8").otherwise("windows-1252").alias("encoding"))
+        F.when(F.bool_and("valid"), "UTF-8").otherwise("ISO-8859-1").alias("encoding"))
 
 
 def list_files(spark: SparkSession, path: str) -> DataFrame:
-    """``(path, length, modificationTime)`` of every file below ``path``; contents are not read."""
-    return (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-            .select("path", "length", "modificationTime"))
+    """``(path, length, modificationTime)`` of every file below ``path``; contents are not read.
+
+    The scan leaves empty files out, so the names come from the listing that the source holds on
+    the driver in any case, and a name without metadata has length 0.
+    """
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    names = spark.createDataFrame([(p,) for p in found.inputFiles()], "uri string")
+    # the listing holds URIs: three slashes on local files, escaped characters
+    plain = F.url_decode(F.replace("uri", F.lit("+"), F.lit("%2B")))
+    names = names.select(F.regexp_replace(plain, "^file:/+", "file:/").alias("path"))
+    return (names.join(found.select("path", "length", "modificationTime"), "path", "left")
+                 .withColumn("length", F.coalesce("length", F.lit(0))))
 
 
 def check_files(files: DataFrame, max_bytes=MAX_BYTES) -> DataFrame:

@@ -24,8 +24,22 @@ FEEDBACK_TEMPLATES = [
 ]
 
 
+# a table of fewer splits than this is small: at most that many times maxPartitionBytes
+FEW_SPLITS = 16
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return spread_small(spark.read.parquet(f"{folder}/{name}.parquet"))
+
+
+def spread_small(df: DataFrame) -> DataFrame:
+    """Spread a table of few splits over the cores, most of which would idle otherwise.
+
+    The number of splits bounds what is shuffled; a larger table is read as it is split.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    splits = df.rdd.getNumPartitions()
+    return df.repartition(cores) if splits < min(cores, FEW_SPLITS) else df
 
 
 def feedback_from_events(events: DataFrame) -> DataFrame:

@@ -97,7 +97,7 @@ def ascii_(c):
     from echolens.functions.text import ASCII_SPECIALS, ascii_letters
     m = ascii_letters()
     c = f"translate({c}, {q(''.join(m))}, {q(''.join(m.values()))})"
-    for a, b in {**ASCII_SPECIALS, "—": "--"}.items():
+    for a, b in ASCII_SPECIALS.items():
         c = f"replace({c}, {q(a)}, {q(b)})"
     return rf"regexp_replace({c}, '[^\x00-\x7F]+', '', 'g')"
 

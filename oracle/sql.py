@@ -22,7 +22,7 @@ SELECT doc_id, lang, source, n_chars, md5(text) AS text_md5, length(text)::bigin
 FROM documents"""
 SQL["detect_encoding"] = r"""
 SELECT w AS written, lang, CASE WHEN w = 'UTF-8' OR NOT bool_or(regexp_matches(text, '[^\x00-\x7F]'))
-  THEN 'UTF-8' ELSE 'windows-1252' END AS encoding
+  THEN 'UTF-8' ELSE 'ISO-8859-1' END AS encoding
 FROM documents, (VALUES ('UTF-8'), ('ISO-8859-1')) v(w) GROUP BY w, lang"""
 SQL["export_classified"] = with_(FEEDBACK, body=f"""
 SELECT msg_id, author, text, is_claim, urgence, incident, topics FROM ({rules('feedback')})""")
