@@ -116,12 +116,13 @@ def map_vocabulary_en(df: DataFrame) -> DataFrame:
 def value_counts(df: DataFrame, col: str, out="label") -> DataFrame:
     """``(label, n, pct)``: rows per non-null value; the share counts null rows in the total.
 
-    The total is a running sum over the grouped rows, one per value.
+    The total comes from the grouped rows as a scalar, so that a column with many values is
+    never gathered in one task.
     """
-    everything = Window.partitionBy(F.lit(1))
-    return (df.groupBy(F.col(col).alias(out)).agg(F.count("*").alias("n"))
-              .withColumn("pct", percent(F.col("n"), F.sum("n").over(everything), 2))
-              .where(F.col(out).isNotNull()))
+    g = df.groupBy(F.col(col).alias(out)).agg(F.count("*").alias("n"))
+    total = g.agg(F.sum("n")).scalar()
+    return (g.withColumn("pct", percent(F.col("n"), total, 2))
+             .where(F.col(out).isNotNull()))
 
 
 def _first_present(df: DataFrame, names):

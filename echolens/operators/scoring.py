@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from echolens.functions import lexicon as L
 from echolens.operators.guards import calibrate_sentiment, collapse_stars
+from echolens.sources.shared import write_and_read
 
 # A loader runs once per Python worker task and returns the function that scores one batch:
 # texts -> five logits per text.
@@ -123,10 +124,17 @@ def text_baseline(label: str, text="text", max_features=5000, iterations=30) ->
 
 def train_text_baseline(train: DataFrame, test: DataFrame, label: str, id_col: str, text="text",
                         max_features=5000) -> DataFrame:
-    """Fit on ``train`` and return ``(id, label, prediction)`` for ``test`` as strings."""
-    model = text_baseline(label, text, max_features).fit(train.where(F.col(text).isNotNull()))
+    """Fit on ``train`` and return ``(id, label, prediction)`` for ``test`` as strings.
+
+    The fit passes over its input many times, so both sides are written to the shared folder
+    first; the predictions are written while the fitted model is at hand.
+    """
+    known = F.col(text).isNotNull() & F.col(label).isNotNull()
+    train = write_and_read(train.where(known).select(id_col, text, label), "train")
+    model = text_baseline(label, text, max_features).fit(train)
     names = F.array(*[F.lit(x) for x in model.stages[0].labels])
-    scored = model.transform(test.where(F.col(text).isNotNull()))
-    return scored.select(id_col, F.col(label).cast("string").alias("label"),
-                         F.element_at(names, F.col("prediction").cast("int") + 1)
-                          .alias("prediction"))
+    scored = model.transform(test.where(known).select(id_col, text, label))
+    return write_and_read(scored.select(
+        id_col, F.col(label).cast("string").alias("label"),
+        F.element_at(names, F.col("prediction").cast("int") + 1).alias("prediction")),
+        "predictions")

@@ -56,13 +56,20 @@ def list_files(spark: SparkSession, path: str) -> DataFrame:
     The scan leaves empty files out, so the names come from the listing that the source holds on
     the driver in any case, and a name without metadata has length 0.
     """
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    names = spark.createDataFrame([(p,) for p in found.inputFiles()], "uri string")
+    found = _binary_files(spark, path)
+    return (_names(found).join(found.select("path", "length", "modificationTime"), "path", "left")
+                         .withColumn("length", F.coalesce("length", F.lit(0))))
+
+
+def _binary_files(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+
+
+def _names(found: DataFrame) -> DataFrame:
+    names = found.sparkSession.createDataFrame([(p,) for p in found.inputFiles()], "uri string")
     # the listing holds URIs: three slashes on local files, escaped characters
     plain = F.url_decode(F.replace("uri", F.lit("+"), F.lit("%2B")))
-    names = names.select(F.regexp_replace(plain, "^file:/+", "file:/").alias("path"))
-    return (names.join(found.select("path", "length", "modificationTime"), "path", "left")
-                 .withColumn("length", F.coalesce("length", F.lit(0))))
+    return names.select(F.regexp_replace(plain, "^file:/+", "file:/").alias("path"))
 
 
 def check_files(files: DataFrame, max_bytes=MAX_BYTES) -> DataFrame:
@@ -95,8 +102,10 @@ def append_manifest(files: DataFrame, manifest: str, imported_at: str, source: s
 
 def file_hashes(spark: SparkSession, path: str) -> DataFrame:
     """md5 of each file's bytes, one task-side read per file."""
-    return (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-            .select("path", F.md5("content").alias("md5")))
+    found = _binary_files(spark, path)
+    hashed = found.select("path", F.md5("content").alias("md5"))
+    return (_names(found).join(hashed, "path", "left")
+                         .withColumn("md5", F.coalesce("md5", F.md5(F.lit("")))))
 
 
 def export_classified(df: DataFrame, path: str, format="csv") -> None:

@@ -24,17 +24,27 @@ def read_stream(spark: SparkSession, folder: str, pattern="*", files_per_trigger
     return reader.parquet(folder)
 
 
+MERGE_SESSIONS = "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition"
+
+
 def run_available(stream: DataFrame, name: str, mode="append") -> DataFrame:
     """Process what has arrived, then stop; returns the sink's table.
 
     Sink and state live in the shared folder, so a lost executor or driver resumes there.
+    Sessions are merged on the map side, so a busy author arrives as sessions, not as rows.
     """
-    path = shared_folder(stream.sparkSession, name)
-    query = (stream.writeStream.format("parquet").outputMode(mode)
-             .option("path", f"{path}/out").option("checkpointLocation", f"{path}/state")
-             .trigger(availableNow=True).start())
+    spark = stream.sparkSession
+    path = shared_folder(spark, name)
+    before = spark.conf.get(MERGE_SESSIONS, "false")
+    spark.conf.set(MERGE_SESSIONS, "true")
+    try:
+        query = (stream.writeStream.format("parquet").outputMode(mode)
+                 .option("path", f"{path}/out").option("checkpointLocation", f"{path}/state")
+                 .trigger(availableNow=True).start())
+    finally:
+        spark.conf.set(MERGE_SESSIONS, before)
     query.awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/out")
+    return spark.read.schema(stream.schema).parquet(f"{path}/out")
 
 
 def event_time(df: DataFrame, col="ts") -> DataFrame:
@@ -47,11 +57,20 @@ def stream_classify(messages: DataFrame, classifier: Callable[[DataFrame], DataF
     return classifier(messages)
 
 
-def stream_dedup(messages: DataFrame, text="text", ts="ts", delay="7 days") -> DataFrame:
-    """First arrival of each text within the lateness bound; null texts are dropped."""
-    keyed = event_time(messages, ts).where(F.col(text).isNotNull()) \
-        .withColumn("text_md5", F.md5(text))
-    return keyed.withWatermark(ts, delay).dropDuplicatesWithinWatermark(["text_md5"])
+def stream_dedup(messages: DataFrame, text="text", ts="ts", id_col="msg_id", delay="7 days",
+                 salts=16) -> DataFrame:
+    """First arrival of each text within the lateness bound; null texts are dropped.
+
+    A streaming deduplication has no map-side combining, so a text that makes up much of the
+    stream would meet in one task. It is therefore removed per (text, salt) first, which spreads
+    it over ``salts`` tasks, and the at most ``salts`` survivors per text meet in a second step.
+    """
+    keyed = (event_time(messages, ts).where(F.col(text).isNotNull())
+             .withColumns({"text_md5": F.md5(text),
+                           "_salt": F.pmod(F.xxhash64(id_col), F.lit(salts))})
+             .withWatermark(ts, delay))
+    return (keyed.dropDuplicatesWithinWatermark(["text_md5", "_salt"])
+                 .dropDuplicatesWithinWatermark(["text_md5"]).drop("_salt"))
 
 
 def urgent_claim() -> Column:
@@ -81,11 +100,7 @@ def kpi_windows(classified: DataFrame, ts="ts", delay="1 hour", length="1 day",
 
 def author_sessions(messages: DataFrame, author="author", ts="ts", gap="1 hour",
                     delay="1 hour") -> DataFrame:
-    """Bursts of messages per author, ended by a pause of ``gap``.
-
-    Partial sessions are merged on the map side for batch input; a stream needs
-    ``spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition`` for the same.
-    """
+    """Bursts of messages per author, ended by a pause of ``gap``."""
     df = event_time(messages, ts)
     if df.isStreaming:
         df = df.withWatermark(ts, delay)
