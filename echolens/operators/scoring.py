@@ -4,7 +4,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, CountVectorizer, NGram, RegexTokenizer, StringIndexer, \
     VectorAssembler
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from echolens.functions import lexicon as L
 from echolens.operators.guards import calibrate_sentiment, collapse_stars
-from echolens.sources.shared import write_and_read
+from echolens.sources.shared import shared_folder, write_and_read
 
 # A loader runs once per Python worker task and returns the function that scores one batch:
 # texts -> five logits per text.
@@ -126,15 +126,17 @@ def train_text_baseline(train: DataFrame, test: DataFrame, label: str, id_col: s
                         max_features=5000) -> DataFrame:
     """Fit on ``train`` and return ``(id, label, prediction)`` for ``test`` as strings.
 
-    The fit passes over its input many times, so both sides are written to the shared folder
-    first; the predictions are written while the fitted model is at hand.
+    The fit passes over its input many times, so it is written to the shared folder first. The
+    model is saved there too and loaded again: a freshly fitted one drags its training summary,
+    and with it the session, into the scoring tasks.
     """
     known = F.col(text).isNotNull() & F.col(label).isNotNull()
     train = write_and_read(train.where(known).select(id_col, text, label), "train")
-    model = text_baseline(label, text, max_features).fit(train)
+    path = shared_folder(train.sparkSession, "model")
+    text_baseline(label, text, max_features).fit(train).write().save(path)
+    model = PipelineModel.load(path)
     names = F.array(*[F.lit(x) for x in model.stages[0].labels])
     scored = model.transform(test.where(known).select(id_col, text, label))
-    return write_and_read(scored.select(
-        id_col, F.col(label).cast("string").alias("label"),
-        F.element_at(names, F.col("prediction").cast("int") + 1).alias("prediction")),
-        "predictions")
+    return scored.select(id_col, F.col(label).cast("string").alias("label"),
+                         F.element_at(names, F.col("prediction").cast("int") + 1)
+                          .alias("prediction"))
