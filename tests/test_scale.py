@@ -33,6 +33,13 @@ def test_cutoffs_take_exactly_the_lowest_hashes(spark, prefix):
             assert sorted(r.id for r in got if r.s == s) == sorted(lowest)
 
 
+def test_too_many_strata_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(sampling, "MAX_STRATA", 5)
+    df = spark.range(100).select("id", F.col("id").cast("string").alias("s"))
+    with pytest.raises(Exception, match="more than 5 strata"):
+        sampling.stratified_split(df, "id", "s").collect()
+
+
 def labelled(spark, n, claim, urgency):
     rows = [(i, claim(i), urgency(i), ("neutre", "positif", "negatif")[i % 3])
             for i in range(n)]
