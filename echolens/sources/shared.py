@@ -3,26 +3,29 @@
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new path below the folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only where the session names none, as in local tests, a temporary folder is set.
+    A session on this machine alone (``local[n]``) that names none gets a temporary folder, the same for
+    the whole session; on a cluster a missing setting is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         if current.isDefined():
             base = current.get()
-        else:
+        elif spark.sparkContext.master.startswith(("local[", "local")) and "cluster" not in spark.sparkContext.master:
             base = tempfile.mkdtemp(prefix="echolens-")
-            spark.sparkContext.setCheckpointDir(base)
+            spark.conf.set("spark.checkpoint.dir", base)
+        else:
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return f"{base.rstrip('/')}/echolens/{name}-{uuid.uuid4().hex}"
 
 
-def write_and_read(df, name: str):
+def write_and_read(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and continue from the file: cuts lineage, and later
     passes read only the columns they need."""
     path = shared_folder(df.sparkSession, name)
