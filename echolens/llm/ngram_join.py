@@ -36,8 +36,10 @@ from echolens.llm.components import components
 from echolens.llm.tables import batch_of, written
 from echolens.llm.words import Texts, mix, parts, shingles
 
-BITS = 22
+BITS = 24
+FREQUENT = 24           # a counter up to this never makes a shingle frequent
 SLICES = 64
+FLUSH = 1 << 21
 SALTS = 256
 SINGLES_BELOW = 5       # size classes 2**0..2**4 index frequent tokens one by one
 PART_TOKENS = 8         # tokens of a set per part, at the lower end of its size class
@@ -103,6 +105,10 @@ def _measure(docs: DataFrame, n: int) -> DataFrame:
     out = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("f", pa.int64()), ("hist", pa.binary()),
                      ("slice", pa.int32()), ("counts", pa.binary())])
 
+    def add(held, total):
+        places, counts = np.unique(np.concatenate(held).astype(np.uint32), return_counts=True)
+        total[places] += counts.astype(np.uint32)
+
     def run(batches):
         total, held, size = np.zeros(1 << BITS, np.uint32), [], 0
         for part in parts(batches):
@@ -110,14 +116,14 @@ def _measure(docs: DataFrame, n: int) -> DataFrame:
             for s in sets:
                 held.append(s >> np.uint64(64 - BITS))
                 size += len(s)
-            if size > 1 << BITS:
-                total += np.bincount(np.concatenate(held).astype(np.int64), minlength=1 << BITS).astype(np.uint32)
+            if size > FLUSH:
+                add(held, total)
                 held, size = [], 0
             empty = [None] * len(sets)
             yield batch_of(out, [part.column(0), [len(s) for s in sets], [fingerprint(s) if len(s) else None for s in sets],
                                  [histogram(s) if len(s) else None for s in sets], empty, empty])
         if held:
-            total += np.bincount(np.concatenate(held).astype(np.int64), minlength=1 << BITS).astype(np.uint32)
+            add(held, total)
         for k, piece in enumerate(np.split(total, SLICES)):
             if piece.any():
                 yield batch_of(out, [[None], [None], [None], [None], [k], [zlib.compress(piece.tobytes(), 1)]])
@@ -128,7 +134,7 @@ def _measure(docs: DataFrame, n: int) -> DataFrame:
 def _frequent(sketch: DataFrame, total: int) -> np.ndarray:
     """The bitmap of frequent counters: at most ``SLICES`` rows of fixed size come to the driver."""
     mean = total / (1 << BITS)
-    limit = mean + 10 * math.sqrt(mean) + 10
+    limit = max(FREQUENT, mean + 5 * math.sqrt(mean) + 4)  # above what chance puts into a counter
     width = (1 << BITS) // SLICES
 
     def summed(table: pa.Table) -> np.ndarray:
