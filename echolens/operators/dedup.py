@@ -6,7 +6,7 @@ list is small AQE broadcasts it and no text moves, and when it is large a hot te
 the skew join.
 """
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -23,15 +23,31 @@ def duplicate_groups(df: DataFrame, text="text", id_col="msg_id") -> DataFrame:
 
 
 def flag_duplicates(df: DataFrame, text="text", id_col="msg_id", out="is_dup") -> DataFrame:
-    """Mark the rows that repeat the text of a row with a lower id."""
-    groups = duplicate_groups(df, text, id_col).select(F.col("key").alias("_key"), "first_id")
-    return (df.withColumn("_key", text_key(F.col(text))).join(groups, "_key", "left")
-              .withColumn(out, F.coalesce(F.col("first_id") != F.col(id_col), F.lit(False)))
-              .drop("_key", "first_id"))
+    """Mark all rows of a text but one: one with the lowest id stays, a null id being the lowest.
+
+    Rows that share text and lowest id, such as messages sent again, are numbered among themselves; no
+    other row is ever sorted.
+    """
+    per_id = (df.select(text_key(F.col(text)).alias("_key"), F.col(id_col).alias("_id"))
+                .groupBy("_key", "_id").agg(F.count("*").alias("_n")))
+    groups = (per_id.groupBy("_key").agg(F.sum("_n").alias("_all"),
+                                         F.min(F.struct("_id", "_n")).alias("_first"))
+                    .where(F.col("_all") > 1)
+                    .select("_key", F.col("_first._id").alias("_first"),
+                            (F.col("_first._n") > 1).alias("_tied")))
+    keyed = df.withColumn("_key", text_key(F.col(text)))
+    lowest = F.col("_first").eqNullSafe(F.col(id_col))
+    among = Window.partitionBy("_key").orderBy("_key")
+    clear = (keyed.join(groups, "_key", "left")
+                  .where(F.col("_tied").isNull() | ~F.col("_tied") | ~lowest)
+                  .withColumn(out, F.col("_tied").isNotNull() & ~lowest))
+    tied = (keyed.join(groups.where("_tied"), "_key").where(lowest)
+                 .withColumn(out, F.row_number().over(among) > 1))
+    return clear.unionByName(tied).drop("_key", "_first", "_tied")
 
 
 def dedup_exact(df: DataFrame, text="text", id_col="msg_id") -> DataFrame:
-    """Keep the row with the lowest id per text; a table without the column is unchanged."""
+    """Keep one row per text, one with the lowest id; a table without the column is unchanged."""
     if text not in df.columns:
         return df
     return flag_duplicates(df, text, id_col, "_dup").where(~F.col("_dup")).drop("_dup")

@@ -60,32 +60,37 @@ def classified_targets(df: DataFrame, label="label", prediction="prediction", po
     """Claim precision and share of classified rows against their goals."""
     hit = F.count_if((F.col(label) == positive) & (F.col(prediction) == positive))
     said = F.count_if(F.col(prediction) == positive)
-    share = F.count(prediction) / F.count("*")
-    precision = F.when(said > 0, hit / said).otherwise(0.0)
+    share = F.try_divide(F.count(prediction), F.count("*"))
+    precision = F.coalesce(F.try_divide(hit, said), F.lit(0.0))
     return df.agg(F.round(precision, 4).alias("claim_precision"),
                   (precision > precision_goal).alias("precision_met"),
                   F.round(share, 4).alias("classified_share"),
                   (share > share_goal).alias("share_met"))
 
 
-def pr_roc_points(df: DataFrame, score="score", label="label", steps=100) -> DataFrame:
-    """Precision, recall and false-positive rate at each threshold step that occurs.
+def pr_roc_points(df: DataFrame, score="score", label="label", ranges=100) -> DataFrame:
+    """Precision, recall and false-positive rate at each distinct score as threshold.
 
-    Scores in 0..1 are counted per step first, so the running sums cover at most ``steps + 1``
-    rows whatever the size of the table.
+    Rows are counted per score first. Running sums are taken within ranges of scores in 0..1 and over the
+    ranges, so no task sorts all scores. Rates without rows to divide by are null.
     """
-    step = F.floor(F.col(score) * steps).cast("int")
-    counts = df.groupBy(step.alias("step")).agg(
+    counts = (df.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("threshold")).agg(
         F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("q"))
-    down = Window.orderBy(F.desc("step")).rowsBetween(Window.unboundedPreceding, 0)
+        .withColumn("range", F.floor(F.col("threshold") * ranges)))
+    above = Window.orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.partitionBy(F.lit(1))
-    tp, fp = F.sum("p").over(down), F.sum("q").over(down)
-    pos, neg = F.sum("p").over(everything), F.sum("q").over(everything)
-    return counts.select(F.round(F.col("step") / steps, 4).alias("threshold"),
-                         tp.alias("tp"), fp.alias("fp"),
-                         F.round(tp / (tp + fp), 4).alias("precision"),
-                         F.round(tp / pos, 4).alias("recall"),
-                         F.round(fp / neg, 4).alias("fpr"))
+    sums = (counts.groupBy("range").agg(F.sum("p").alias("rp"), F.sum("q").alias("rq"))
+            .select("range", F.coalesce(F.sum("rp").over(above), F.lit(0)).alias("bp"),
+                    F.coalesce(F.sum("rq").over(above), F.lit(0)).alias("bq"),
+                    F.sum("rp").over(everything).alias("pos"), F.sum("rq").over(everything).alias("neg")))
+    down = (Window.partitionBy("range").orderBy(F.desc("threshold"))
+            .rowsBetween(Window.unboundedPreceding, 0))
+    tp, fp = F.sum("p").over(down) + F.col("bp"), F.sum("q").over(down) + F.col("bq")
+    rate = lambda a, b: F.round(F.try_divide(a, b), 4)
+    return (counts.join(sums, "range").select("threshold", tp.alias("tp"), fp.alias("fp"), "pos", "neg")
+            .select("threshold", "tp", "fp", rate(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"),
+                    rate(F.col("tp"), F.col("pos")).alias("recall"),
+                    rate(F.col("fp"), F.col("neg")).alias("fpr")))
 
 
 def cohen_kappa(annotations: DataFrame, item="item", annotator="annotator", label="label",

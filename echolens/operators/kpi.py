@@ -156,7 +156,7 @@ def satisfaction_measures(df: DataFrame) -> dict:
     pos = F.count_if(s.isin(*L.SATISFACTION_POSITIVE))
     neu = F.count_if(s.isin(*L.SATISFACTION_NEUTRAL))
     neg = F.count_if(s.isin(*L.SATISFACTION_NEGATIVE))
-    return {"satisfaction_index": F.round((pos - neg) / n * 50 + 50, 4),
+    return {"satisfaction_index": F.round(F.try_divide(pos - neg, n) * 50 + 50, 4),
             "positive_count": pos, "neutral_count": neu, "negative_count": neg,
             "positive_pct": percent(pos, n), "neutral_pct": percent(neu, n),
             "negative_pct": percent(neg, n)}

@@ -46,7 +46,7 @@ def quality_score_of(measures: DataFrame, columns) -> Column:
              - F.when(F.col("avg_length") < 10, 20).when(F.col("avg_length") < 20, 10)
                 .otherwise(0)
              + 5 * sum(c in columns for c in RECOMMENDED))
-    return F.round(clamp(score, 0, 100), 4)
+    return F.when(n == 0, 0.0).otherwise(F.round(clamp(score, 0, 100), 4))
 
 
 def quality_score(df: DataFrame, text="text") -> DataFrame:
@@ -134,7 +134,8 @@ def cleaning_stats(flagged: DataFrame, text="text") -> DataFrame:
         total.alias("total_original"), F.count_if("is_null").alias("empty_texts"),
         F.count_if("is_dup").alias("duplicates_removed"), kept.alias("total_cleaned"),
         (total - kept).alias("removed"),
-        F.round((total - kept) * 100.0 / total, 4).alias("reduction_pct"),
+        F.coalesce(F.round(F.try_divide((total - kept) * 100.0, total), 4), F.lit(0.0))
+        .alias("reduction_pct"),
         F.round(F.avg(F.when(first, F.length(text))), 4).alias("avg_length_before"),
         F.round(F.avg(F.when(first, F.length(f"{text}_cleaned"))), 4).alias("avg_length_after"))
 

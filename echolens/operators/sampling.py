@@ -10,8 +10,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PREFIX = 3
-# most (stratum, cut) rows that are ever broadcast; more is an error, not a slow query
-MAX_STRATA = 10_000
 
 
 def hash_key(id_col: str, seed) -> Column:
@@ -26,24 +24,19 @@ def hash_cutoffs(df: DataFrame, id_col: str, stratum: str, quotas: DataFrame, se
     the stratum. ``prefix`` hex digits give 16**prefix buckets per stratum; take 4 or 5 for
     strata of billions of rows.
     """
-    entries = F.count("*").over(Window.partitionBy(F.lit(1)))
-    quotas = quotas.withColumn("quota", F.when(entries > MAX_STRATA, F.raise_error(F.lit(
-        f"more than {MAX_STRATA} strata: choose a label with fewer values")))
-        .otherwise(F.col("quota")))
     rows = (df.select(stratum, hash_key(id_col, seed).alias("_h"))
               .withColumn("_b", F.substring("_h", 1, prefix)))
     before = (Window.partitionBy(stratum).orderBy("_b")
               .rowsBetween(Window.unboundedPreceding, -1))
     edges = (rows.groupBy(stratum, "_b").agg(F.count("*").alias("_n"))
                  .withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-                 .join(F.broadcast(quotas), stratum)
+                 .join(quotas, stratum)
                  .where((F.col("quota") > F.col("_before"))
                         & (F.col("quota") <= F.col("_before") + F.col("_n")))
                  .select(stratum, "_b", "cut", (F.col("quota") - F.col("_before"))
                          .alias("_rank")))
-    # one row per stratum and cut, at most MAX_STRATA
     inside = Window.partitionBy(stratum, "cut").orderBy("_h")
-    return (rows.join(F.broadcast(edges), [stratum, "_b"])
+    return (rows.join(edges, [stratum, "_b"])
                 .withColumn("_r", F.row_number().over(inside)).where("_r = _rank")
                 .select(stratum, "cut", F.col("_h").alias("cutoff")))
 
@@ -52,7 +45,7 @@ def mark_cut(df: DataFrame, id_col: str, stratum: str, cutoffs: DataFrame, cut:
              seed=42) -> DataFrame:
     """Add a flag that is true for the rows inside the named cut of their stratum."""
     limits = cutoffs.where(F.col("cut") == cut).select(stratum, F.col("cutoff").alias("_cutoff"))
-    return (df.join(F.broadcast(limits), stratum, "left")
+    return (df.join(limits, stratum, "left")
               .withColumn(out, F.coalesce(hash_key(id_col, seed) <= F.col("_cutoff"),
                                           F.lit(False)))
               .drop("_cutoff"))

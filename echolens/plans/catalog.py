@@ -316,7 +316,11 @@ def score_batches(spark, folder):
 
 @query
 def collapse_stars(spark, folder):
-    scores = F.slice("embedding", 1, 5).cast("array<double>")
+    """Five logits from the whole vector: the sums of every fifth entry."""
+    entries = F.col("embedding").cast("array<double>")
+    fifth = lambda k: lambda x, i: i % 5 == k
+    scores = F.array(*[F.aggregate(F.filter(entries, fifth(k)), F.lit(0.0), lambda a, x: a + x)
+                       for k in range(5)])
     return (table(spark, folder, "embeddings")
             .select("vec_id", F.inline(F.array(guards.collapse_stars(scores))))
             .withColumn("confidence", F.round("confidence", 6)))
@@ -935,7 +939,8 @@ def classified_targets(spark, folder):
 @query
 def pr_roc_points(spark, folder):
     rows = tier_predictions(spark, folder)
-    return evaluate.pr_roc_points(rows.withColumn("label", (F.col("rules") == "oui").cast("int")))
+    return evaluate.pr_roc_points(rows.withColumns({
+        "label": (F.col("rules") == "oui").cast("int"), "score": F.round("score", 6)}))
 
 
 @query

@@ -228,7 +228,9 @@ SQL["collapse_stars"] = f"""
 SELECT vec_id, {arr(L.STAR_LABELS)}[p] AS label, {arr(L.STAR_SENTIMENTS)}[p] AS sentiment,
   round(1 / list_sum(list_transform(e, lambda x: exp(x - list_max(e)))), 6) AS confidence
 FROM (SELECT vec_id, e, list_position(e, list_max(e)) AS p
-  FROM (SELECT vec_id, embedding[1:5]::double[] AS e FROM embeddings))"""
+  FROM (SELECT vec_id, list_transform(range(0, 5), lambda k:
+    list_sum(list_transform(range(k + 1, len(embedding) + 1, 5), lambda i: embedding[i]::double))) AS e
+    FROM embeddings))"""
 SQL["star_sentiment"] = """
 SELECT event_id, stars, CASE stars WHEN '5 stars' THEN 'POSITIF' WHEN '4 stars' THEN 'POSITIF'
   WHEN '2 stars' THEN 'NEGATIF' WHEN '1 star' THEN 'NEGATIF' ELSE 'NEUTRE' END AS sentiment
@@ -730,13 +732,13 @@ SQL["classified_targets"] = with_(FEEDBACK, PRED, """t AS (
     FILTER (cloud = 'oui') AS p, count(cloud)::double / count(*) AS s FROM pred)""", body="""
 SELECT round(p, 4) AS claim_precision, p > 0.85 AS precision_met, round(s, 4) AS classified_share,
   s > 0.9 AS share_met FROM t""")
-SQL["pr_roc_points"] = with_(FEEDBACK, PRED, """s AS (SELECT DISTINCT floor(score * 100) AS step
+SQL["pr_roc_points"] = with_(FEEDBACK, PRED, """s AS (SELECT DISTINCT round(score, 6) AS step
   FROM pred)""", """p AS (SELECT step,
-  count(*) FILTER (floor(score * 100) >= step AND rules = 'oui') AS tp,
-  count(*) FILTER (floor(score * 100) >= step AND rules = 'non') AS fp,
+  count(*) FILTER (round(score, 6) >= step AND rules = 'oui') AS tp,
+  count(*) FILTER (round(score, 6) >= step AND rules = 'non') AS fp,
   count(*) FILTER (rules = 'oui') AS pos, count(*) FILTER (rules = 'non') AS neg
   FROM s, pred GROUP BY step)""", body="""
-SELECT round(step / 100, 4) AS threshold, tp, fp, round(tp::double / (tp + fp), 4) AS "precision",
+SELECT step AS threshold, tp, fp, round(tp::double / (tp + fp), 4) AS "precision",
   round(tp::double / pos, 4) AS recall, round(fp::double / neg, 4) AS fpr FROM p""")
 SQL["cohen_kappa"] = with_(FEEDBACK, PRED, """l AS (UNPIVOT (SELECT msg_id, rules, local, cloud,
   basic FROM pred) ON rules, local, cloud, basic INTO NAME a VALUE v)""", """

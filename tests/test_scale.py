@@ -33,11 +33,9 @@ def test_cutoffs_take_exactly_the_lowest_hashes(spark, prefix):
             assert sorted(r.id for r in got if r.s == s) == sorted(lowest)
 
 
-def test_too_many_strata_are_refused(spark, monkeypatch):
-    monkeypatch.setattr(sampling, "MAX_STRATA", 5)
+def test_as_many_strata_as_rows(spark):
     df = spark.range(100).select("id", F.col("id").cast("string").alias("s"))
-    with pytest.raises(Exception, match="more than 5 strata"):
-        sampling.stratified_split(df, "id", "s").collect()
+    assert sampling.stratified_split(df, "id", "s").count() == 100
 
 
 def labelled(spark, n, claim, urgency):
@@ -162,3 +160,28 @@ def test_plan_has_no_cartesian_and_prunes(spark):
         plan = df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
         assert "props" not in plan
+
+
+def test_dedup_when_ids_repeat(spark):
+    rows = ([(1, "x"), (1, "x"), (2, "y"), (3, "x"), (None, "z"), (None, "z"), (4, "z"), (5, None), (5, None)]
+            + [(7, "hot")] * 300 + [(8, "hot")] * 300)
+    got = dedup.dedup_exact(spark.createDataFrame(rows, "msg_id bigint, text string")).collect()
+    assert sorted(map(str, ((r.msg_id, r.text) for r in got))) == sorted(map(str, [
+        (1, "x"), (2, "y"), (None, "z"), (5, None), (7, "hot")]))
+
+
+def test_curve_uses_each_distinct_score(spark):
+    rows = [(0.29, 1), (0.57, 0), (0.575, 1), (None, 1), (0.29, 0)]
+    got = evaluate.pr_roc_points(spark.createDataFrame(rows, "score double, label int")).orderBy("threshold").collect()
+    assert [(r.threshold, r.tp, r.fp) for r in got] == [(0.29, 2, 2), (0.57, 1, 1), (0.575, 1, 0)]
+    none = evaluate.pr_roc_points(spark.createDataFrame([(0.5, 0)], "score double, label int")).first()
+    assert none.recall is None and none.fpr == 1.0
+
+
+def test_empty_tables(spark):
+    from echolens.operators import kpi, quality
+    empty = spark.createDataFrame([], "msg_id bigint, text string, sentiment string, label string, prediction string")
+    assert quality.quality_score(empty).first()[0] == 0.0
+    assert "0" in str(quality.validate_structure(empty).first())
+    assert kpi.satisfaction_index(empty).first().positive_count == 0
+    assert evaluate.classified_targets(empty).first().claim_precision == 0.0
