@@ -267,7 +267,8 @@ def read_records(spark: SparkSession, folder: str, captures: DataFrame) -> DataF
                 yield batch_of(out, list(zip(*rows)))
 
     ranges = (captures.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("offset", "length"))).alias("ranges")))
-    return (_archives(spark, folder).join(ranges, "path").select("content", "ranges")
+    # the same join at every size, so that the disk it takes follows the archives
+    return (_archives(spark, folder).join(ranges.hint("merge"), "path").select("content", "ranges")
             .mapInArrow(fetch, "page_id long, payload_bytes long, payload_digest string, record_type string, "
                                "refers_to long, payload binary"))
 
