@@ -11,13 +11,15 @@ Prefixes. All sets are ordered alike: rare tokens first, by hash. If the overlap
 tokens of a set are missing from a partner's. A rare token shared is found through itself. Frequent tokens are dealt to
 parts, and two of them in one part make a combination; in a part of b tokens all but one may be missing before
 a combination is lost. So the prefix goes on until rare tokens plus (b - 1) of each part reach e + 1; then partners share a rare token
-or a combination. Parts depend on the size class of a set, so that combinations stay in proportion to the set; a set near
+or a combination. How far it has to go depends on the partner's size, and is shortest for sets of like size; so a signature
+carries the reach from which on it belongs to the prefix, and two sets only meet where it lies within both of theirs. Parts depend on the size class of a set, so that combinations stay in proportion to the set; a set near
 the border of its class is indexed for the next one too. Sets of under 32 shingles index frequent tokens singly.
 
 Links. Nodes that share a signature are candidates. In large buckets neighbours in a random order are verified
 first, in sub-buckets of bounded size; what links becomes one class. Then every remaining pair of a bucket that lies in different
 classes and whose sizes allow a link is verified: members outside a bucket's most common class meet all others, so a bucket
-of copies costs no square. Verification first bounds the overlap by 64-bin histograms, then counts it exactly.
+of copies costs no square. Pairs are made only where 128 parity bits of each set leave a link possible. Verification
+then bounds the overlap by 64-bin histograms and counts it exactly.
 
 Sets are known by 64-bit fingerprints. Documents without words have no set and link with nothing. Null texts are empty.
 Rows with the same id and text are one document; a null id takes part in links but never names a class.
@@ -44,6 +46,7 @@ SALTS = 256
 SINGLES_BELOW = 5       # size classes 2**0..2**4 index frequent tokens one by one
 PART_TOKENS = 8         # tokens of a set per part, at the lower end of its size class
 LARGE = 16              # buckets from this size on are linked by neighbours first
+FEW = 8                 # large buckets of a node whose neighbours are tried in a round
 SUB_BUCKET = 1000
 ROUNDS = 3
 BROADCAST_ROWS = 200_000
@@ -64,18 +67,29 @@ def histogram(found: np.ndarray) -> bytes:
     return np.minimum(np.bincount((found & np.uint64(63)).astype(np.int64), minlength=64), 255).astype(np.uint8).tobytes()
 
 
-def signatures(found: np.ndarray, frequent: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Prefix signatures of a sorted set; ``frequent`` tells by leading hash bits."""
+def parity(found: np.ndarray) -> np.ndarray:
+    """128 bits as two integers: whether an odd number of tokens falls into each bin."""
+    odd = np.bincount((found >> np.uint64(6) & np.uint64(127)).astype(np.int64), minlength=128) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def signatures(found: np.ndarray, frequent: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Prefix signatures of a sorted set, and the reach from which on each belongs to the prefix.
+
+    ``frequent`` tells by leading hash bits. The reach is one more than the tokens that a partner may lack: at most
+    ``n - needed + 1``, less for a partner of like size.
+    """
     n = len(found)
     want = n - needed(n, num, den) + 1
     common = frequent[(found >> np.uint64(64 - BITS)).astype(np.int64)]
     rare, common = found[~common], found[common]
     if len(rare) >= want:
-        return rare[:want]
-    out, want = [rare], want - len(rare)
+        return rare[:want], np.arange(1, want + 1)
+    out, reach, want = [rare], [np.arange(1, len(rare) + 1)], want - len(rare)
     low, high = needed(n, num, den).bit_length() - 1, (n * den // num).bit_length() - 1
     if low < SINGLES_BELOW:
         out.append(common[:want])
+        reach.append(len(rare) + np.arange(1, len(out[-1]) + 1))
     for level in range(max(low, SINGLES_BELOW), high + 1):
         n_parts = (1 << level) // PART_TOKENS
         part = (mix(common ^ _PAIR[2]) % np.uint64(n_parts)).astype(np.int64)
@@ -85,14 +99,28 @@ def signatures(found: np.ndarray, frequent: np.ndarray, num: int, den: int) -> n
         k = int(np.searchsorted(covered, want)) + 1
         order = np.argsort(part[:k], kind="stable")
         tokens, part = common[:k][order], part[:k][order]
+        since = (len(rare) + 1 + np.concatenate(([0], covered[:k - 1])))[order]  # a token is in as long as less is covered
         step = 1
         while step < len(tokens):
             same = part[step:] == part[:-step]
             if not same.any():
                 break
             out.append(mix(tokens[:-step][same] * _PAIR[0] + tokens[step:][same] * _PAIR[1] + np.uint64(level)))
+            reach.append(since[step:][same])
             step += 1
-    return np.unique(np.concatenate(out))
+    out, reach = np.concatenate(out), np.concatenate(reach)
+    order = np.lexsort((reach, out))
+    out, first = np.unique(out[order], return_index=True)
+    return out, reach[order][first]
+
+
+def within_reach(num: int, den: int) -> str:
+    """Whether a signature lies in both prefixes that two sets of ``na`` and ``nb`` tokens need for each other.
+
+    Partners share at least ``o = num / (num + den) * (na + nb)`` tokens, so the one may lack ``na - o`` of the other's.
+    """
+    need = f"(({num} * (na + nb) + {num + den - 1}) div {num + den})"
+    return f"wa <= na - {need} + 1 and wb <= nb - {need} + 1"
 
 
 def _sets(part, n: int):
@@ -101,9 +129,9 @@ def _sets(part, n: int):
 
 
 def _measure(docs: DataFrame, n: int) -> DataFrame:
-    """Rows of two kinds: ``(id, n, f, hist)`` of documents, and ``(slice, counts)`` of the sketch per task."""
+    """Rows of two kinds: ``(id, n, f, hist, lo, hi)`` of documents, and ``(slice, counts)`` of the sketch per task."""
     out = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("f", pa.int64()), ("hist", pa.binary()),
-                     ("slice", pa.int32()), ("counts", pa.binary())])
+                     ("lo", pa.int64()), ("hi", pa.int64()), ("slice", pa.int32()), ("counts", pa.binary())])
 
     def add(held, total):
         places, counts = np.unique(np.concatenate(held).astype(np.uint32), return_counts=True)
@@ -119,16 +147,17 @@ def _measure(docs: DataFrame, n: int) -> DataFrame:
             if size > FLUSH:
                 add(held, total)
                 held, size = [], 0
-            empty = [None] * len(sets)
+            empty, bits = [None] * len(sets), [parity(s) for s in sets]
             yield batch_of(out, [part.column(0), [len(s) for s in sets], [fingerprint(s) if len(s) else None for s in sets],
-                                 [histogram(s) if len(s) else None for s in sets], empty, empty])
+                                 [histogram(s) if len(s) else None for s in sets],
+                                 [b[0] for b in bits], [b[1] for b in bits], empty, empty])
         if held:
             add(held, total)
         for k, piece in enumerate(np.split(total, SLICES)):
             if piece.any():
-                yield batch_of(out, [[None], [None], [None], [None], [k], [zlib.compress(piece.tobytes(), 1)]])
+                yield batch_of(out, [*[[None]] * 6, [k], [zlib.compress(piece.tobytes(), 1)]])
 
-    return docs.mapInArrow(run, "id long, n long, f long, hist binary, slice int, counts binary")
+    return docs.mapInArrow(run, "id long, n long, f long, hist binary, lo long, hi long, slice int, counts binary")
 
 
 def _frequent(sketch: DataFrame, total: int) -> np.ndarray:
@@ -162,21 +191,21 @@ def _frequent(sketch: DataFrame, total: int) -> np.ndarray:
 
 
 def _index(docs: DataFrame, n: int, num: int, den: int, frequent: np.ndarray) -> DataFrame:
-    out = pa.schema([("sig", pa.int64()), ("f", pa.int64())])
+    out = pa.schema([("sig", pa.int64()), ("f", pa.int64()), ("n", pa.int64()), ("w", pa.int32())])
     packed = zlib.compress(np.packbits(frequent).tobytes())
 
     def run(batches):
         marks = np.unpackbits(np.frombuffer(zlib.decompress(packed), np.uint8)).astype(bool)
         for part in parts(batches):
-            sigs, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+            rows = [(np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3)]
             for s in _sets(part, n):
                 if len(s):
-                    found = signatures(s, marks, num, den)
-                    sigs.append(found)
-                    owners.append(np.full(len(found), fingerprint(s), np.int64))
-            yield batch_of(out, [np.concatenate(sigs).view(np.int64), np.concatenate(owners)])
+                    found, reach = signatures(s, marks, num, den)
+                    rows.append((found, np.full(len(found), fingerprint(s)), np.full(len(found), len(s)), reach))
+            sigs, owners, sizes, reach = (np.concatenate(x) for x in zip(*rows))
+            yield batch_of(out, [sigs.view(np.int64), owners, sizes, reach.astype(np.int32)])
 
-    return docs.mapInArrow(run, "sig long, f long")
+    return docs.mapInArrow(run, "sig long, f long, n long, w int")
 
 
 class _Verifier:
@@ -239,14 +268,21 @@ class _Verifier:
                        .mapInArrow(count, "a long, b long"), "links")
 
 
-def _neighbours(index: DataFrame, seed: int) -> DataFrame:
-    """Pairs of neighbours, in a random order, that differ in class, from buckets of several classes."""
+def _neighbours(index: DataFrame, seed: int, num: int, den: int) -> DataFrame:
+    """Pairs of neighbours, in a random order, that differ in class, from buckets of several classes.
+
+    A node takes part in a few of its large buckets, the same ones as its copies do where they share them. This only
+    saves work: whatever is not linked here meets in the last step.
+    """
     from pyspark.sql import Window
     large = (index.groupBy("sig").agg(F.count("*").alias("size"), F.min("label").alias("x"), F.max("label").alias("y"))
              .where((F.col("size") >= LARGE) & (F.col("x") != F.col("y"))).select("sig", "size"))
     order = Window.partitionBy("sig", "sub").orderBy("draw")
+    few = Window.partitionBy("f").orderBy(F.xxhash64(F.lit(seed), "sig"), "sig")
     draw = F.xxhash64(F.lit(seed), "f", "sig")
-    rows = (index.join(large, "sig").withColumn("draw", draw)
+    alike = within_reach(num, den).replace("na", "n").replace("nb", "n").replace("wa", "w").replace("wb", "w")
+    rows = (index.where(alike).join(large, "sig").withColumn("place", F.row_number().over(few))
+            .where(F.col("place") <= FEW).withColumn("draw", draw)
             .withColumn("sub", F.pmod(F.xxhash64(F.lit(seed), "draw"), F.ceil(F.col("size") / SUB_BUCKET)))
             .withColumn("other", F.lead("f").over(order)).withColumn("its", F.lead("label").over(order))
             .where("other is not null and label != its"))
@@ -258,15 +294,14 @@ def classes(df: DataFrame, n: int = 3, num: int = 90, den: int = 100, id_col: st
     """``(id, n_shingles, component_id)`` of every row: the smallest id of its class of linked documents."""
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"))
     measured = written(_measure(docs, n), "sets")
-    rows = measured.where("slice is null").select("id", "n", "f", "hist")
+    rows = measured.where("slice is null").select("id", "n", "f", "hist", "lo", "hi")
     nodes = written(rows.where("f is not null").groupBy("f")
-                    .agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("hist").alias("hist")), "nodes")
+                    .agg(F.min("id").alias("id"), *[F.first(c).alias(c) for c in ("n", "hist", "lo", "hi")]), "nodes")
     total = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     frequent = _frequent(measured.where("slice is not null").select("slice", "counts"), total)
     index = written(_index(docs, n, num, den, frequent), "index")
     shared = (index.groupBy("sig").agg(F.min("f").alias("x"), F.max("f").alias("y")).where("x != y").select("sig"))
-    index = written(index.join(shared, "sig", "left_semi").distinct()
-                    .join(nodes.select("f", F.col("n").alias("size")), "f"), "buckets")
+    index = written(index.join(shared, "sig", "left_semi").distinct(), "buckets")
 
     verifier = _Verifier(docs, nodes, n, num, den)
     links = labels = None
@@ -278,7 +313,7 @@ def classes(df: DataFrame, n: int = 3, num: int = 90, den: int = 100, id_col: st
                 .withColumn("label", F.coalesce("label", "f")))
 
     for seed in range(ROUNDS):
-        pairs = written(_neighbours(labelled().drop("size"), seed), "neighbours")
+        pairs = written(_neighbours(labelled(), seed, num, den), "neighbours")
         if pairs.isEmpty():
             break
         found = verifier.links(pairs)
@@ -290,11 +325,15 @@ def classes(df: DataFrame, n: int = 3, num: int = 90, den: int = 100, id_col: st
     most = (members.groupBy("sig", "label").agg(F.count("*").alias("k"))
             .groupBy("sig").agg(F.max(F.struct("k", "label")).alias("top"), F.count("*").alias("labels"))
             .where("labels > 1").select("sig", F.col("top.label").alias("top")))
-    mixed = members.join(most, "sig")
-    left = mixed.where("label != top").select("sig", F.col("f").alias("a"), F.col("label").alias("la"), F.col("size").alias("na"))
-    right = mixed.select("sig", F.col("f").alias("b"), F.col("label").alias("lb"), F.col("size").alias("nb"), "top")
+    mixed = members.join(most, "sig").join(nodes.select("f", "lo", "hi"), "f")
+    side = lambda x, y: [F.col(c).alias(d) for c, d in (
+        ("f", x), ("label", f"l{x}"), ("n", f"n{x}"), ("w", f"w{x}"), ("lo", f"lo_{x}"), ("hi", f"hi_{x}"))] + y
+    left = mixed.where("label != top").select("sig", *side("a", []))
+    right = mixed.select("sig", *side("b", ["top"]))
+    # a bin of odd difference holds a token that the two do not share
+    near = f"(bit_count(lo_a ^ lo_b) + bit_count(hi_a ^ hi_b)) * {num + den} <= {den - num} * (na + nb)"
     pairs = (left.join(right, "sig")
-             .where(f"la != lb and (lb = top or a < b) and na * {den} >= nb * {num} and nb * {den} >= na * {num}")
+             .where(f"la != lb and (lb = top or a < b) and {within_reach(num, den)} and {near}")
              .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     found = verifier.links(pairs)
     links = found if links is None else links.unionByName(found)
