@@ -42,7 +42,7 @@ BITS = 24
 FREQUENT = 24           # a counter up to this never makes a shingle frequent
 SLICES = 64
 FLUSH = 1 << 21
-SALTS = 256
+FAN_IN = 128            # pieces of the sketch summed at a time
 SINGLES_BELOW = 5       # size classes 2**0..2**4 index frequent tokens one by one
 PART_TOKENS = 8         # tokens of a set per part, at the lower end of its size class
 LARGE = 16              # buckets from this size on are linked by neighbours first
@@ -67,6 +67,15 @@ def histogram(found: np.ndarray) -> bytes:
     return np.minimum(np.bincount((found & np.uint64(63)).astype(np.int64), minlength=64), 255).astype(np.uint8).tobytes()
 
 
+def pack(counts: np.ndarray) -> bytes:
+    """Counters byte by byte: all lowest bytes, then the next ones, which are mostly zeros."""
+    return zlib.compress(counts.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+
+
+def unpack(packed: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(packed), np.uint8).reshape(8, -1).T.copy().view("<u8").ravel()
+
+
 def parity(found: np.ndarray) -> np.ndarray:
     """128 bits as two integers: whether an odd number of tokens falls into each bin."""
     odd = np.bincount((found >> np.uint64(6) & np.uint64(127)).astype(np.int64), minlength=128) & 1
@@ -114,12 +123,17 @@ def signatures(found: np.ndarray, frequent: np.ndarray, num: int, den: int) -> t
     return out, reach[order][first]
 
 
+def needed_overlap(num: int, den: int, na: str, nb: str) -> str:
+    """Partners share at least ``num / (num + den) * (na + nb)`` tokens."""
+    return f"(({num} * ({na} + {nb}) + {num + den - 1}) div {num + den})"
+
+
 def within_reach(num: int, den: int) -> str:
     """Whether a signature lies in both prefixes that two sets of ``na`` and ``nb`` tokens need for each other.
 
-    Partners share at least ``o = num / (num + den) * (na + nb)`` tokens, so the one may lack ``na - o`` of the other's.
+    If they must share ``o`` tokens, the one may lack ``na - o`` of the other's.
     """
-    need = f"(({num} * (na + nb) + {num + den - 1}) div {num + den})"
+    need = needed_overlap(num, den, "na", "nb")
     return f"wa <= na - {need} + 1 and wb <= nb - {need} + 1"
 
 
@@ -155,7 +169,7 @@ def _measure(docs: DataFrame, n: int) -> DataFrame:
             add(held, total)
         for k, piece in enumerate(np.split(total, SLICES)):
             if piece.any():
-                yield batch_of(out, [*[[None]] * 6, [k], [zlib.compress(piece.tobytes(), 1)]])
+                yield batch_of(out, [*[[None]] * 6, [k], [pack(piece)]])
 
     return docs.mapInArrow(run, "id long, n long, f long, hist binary, lo long, hi long, slice int, counts binary")
 
@@ -169,21 +183,24 @@ def _frequent(sketch: DataFrame, total: int) -> np.ndarray:
     def summed(table: pa.Table) -> np.ndarray:
         out = np.zeros(width, np.uint64)
         for piece in table.column("counts").to_pylist():
-            x = zlib.decompress(piece)
-            out += np.frombuffer(x, np.uint32 if len(x) == 4 * width else np.uint64)
+            out += unpack(piece)
         return out
 
     def partial(table: pa.Table) -> pa.Table:
         return pa.table({"slice": table.column("slice")[:1],
-                         "counts": pa.array([zlib.compress(summed(table).tobytes(), 1)], pa.binary())})
+                         "counts": pa.array([pack(summed(table))], pa.binary())})
 
     def marked(table: pa.Table) -> pa.Table:
         return pa.table({"slice": table.column("slice")[:1],
                          "counts": pa.array([np.packbits(summed(table) > limit).tobytes()], pa.binary())})
 
     ddl = "slice int, counts binary"
-    rows = (sketch.withColumn("salt", F.pmod(F.xxhash64("counts"), F.lit(SALTS)))
-            .groupBy("slice", "salt").applyInArrow(partial, ddl).groupBy("slice").applyInArrow(marked, ddl).collect())
+    pieces = -(-sketch.count() // SLICES)
+    while pieces > FAN_IN:  # a tree of sums, each over a bounded number of pieces
+        pieces = -(-pieces // FAN_IN)
+        sketch = (sketch.withColumn("salt", F.pmod(F.xxhash64("counts"), F.lit(pieces)))
+                  .groupBy("slice", "salt").applyInArrow(partial, ddl))
+    rows = sketch.groupBy("slice").applyInArrow(marked, ddl).collect()
     out = np.zeros(1 << BITS, bool)
     for k, bits in rows:
         out[k * width:(k + 1) * width] = np.unpackbits(np.frombuffer(bits, np.uint8)).astype(bool)
@@ -251,7 +268,8 @@ class _Verifier:
                         if len(s) and fingerprint(s) == f]  # an id may have several texts
                 yield batch_of(out, [[k[0] for k in kept], [k[1] for k in kept]])
 
-        sets = written(texts.mapInArrow(tokens, "f long, tokens binary").dropDuplicates(["f"]), "tokens")
+        # not written: both sides of the join read the one shuffle by f
+        sets = texts.mapInArrow(tokens, "f long, tokens binary").dropDuplicates(["f"])
         side = lambda x: sets.select(F.col("f").alias(x), F.col("tokens").alias(f"t_{x}"))
 
         def count(batches):
@@ -268,20 +286,33 @@ class _Verifier:
                        .mapInArrow(count, "a long, b long"), "links")
 
 
-def _neighbours(index: DataFrame, seed: int, num: int, den: int) -> DataFrame:
-    """Pairs of neighbours, in a random order, that differ in class, from buckets of several classes.
+def reachable(index: DataFrame, num: int, den: int) -> DataFrame:
+    """Signatures of several sets, without the rows whose reach excludes even the bucket's smallest set."""
+    shared = (index.groupBy("sig").agg(F.min("f").alias("x"), F.max("f").alias("y"), F.min("n").alias("low"))
+              .where("x != y").select("sig", "low"))
+    need = needed_overlap(num, den, "n", "low")
+    return index.join(shared, "sig").where(f"w <= n - {need} + 1").select("sig", "f", "n", "w").distinct()
+
+
+def _large(index: DataFrame, num: int, den: int) -> DataFrame:
+    """Rows of large buckets that meet sets of their own size, with the size of the bucket."""
+    sizes = index.groupBy("sig").agg(F.count("*").alias("size")).where(F.col("size") >= LARGE)
+    return index.where(f"w <= n - {needed_overlap(num, den, 'n', 'n')} + 1").join(sizes, "sig").select("sig", "f", "size")
+
+
+def _neighbours(large: DataFrame, seed: int) -> DataFrame:
+    """Pairs of neighbours, in a random order, that differ in class, from large buckets of several classes.
 
     A node takes part in a few of its large buckets, the same ones as its copies do where they share them. This only
     saves work: whatever is not linked here meets in the last step.
     """
     from pyspark.sql import Window
-    large = (index.groupBy("sig").agg(F.count("*").alias("size"), F.min("label").alias("x"), F.max("label").alias("y"))
-             .where((F.col("size") >= LARGE) & (F.col("x") != F.col("y"))).select("sig", "size"))
+    several = (large.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y"))
+               .where("x != y").select("sig"))
     order = Window.partitionBy("sig", "sub").orderBy("draw")
     few = Window.partitionBy("f").orderBy(F.xxhash64(F.lit(seed), "sig"), "sig")
     draw = F.xxhash64(F.lit(seed), "f", "sig")
-    alike = within_reach(num, den).replace("na", "n").replace("nb", "n").replace("wa", "w").replace("wb", "w")
-    rows = (index.where(alike).join(large, "sig").withColumn("place", F.row_number().over(few))
+    rows = (large.join(several, "sig", "left_semi").withColumn("place", F.row_number().over(few))
             .where(F.col("place") <= FEW).withColumn("draw", draw)
             .withColumn("sub", F.pmod(F.xxhash64(F.lit(seed), "draw"), F.ceil(F.col("size") / SUB_BUCKET)))
             .withColumn("other", F.lead("f").over(order)).withColumn("its", F.lead("label").over(order))
@@ -300,20 +331,20 @@ def classes(df: DataFrame, n: int = 3, num: int = 90, den: int = 100, id_col: st
     total = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     frequent = _frequent(measured.where("slice is not null").select("slice", "counts"), total)
     index = written(_index(docs, n, num, den, frequent), "index")
-    shared = (index.groupBy("sig").agg(F.min("f").alias("x"), F.max("f").alias("y")).where("x != y").select("sig"))
-    index = written(index.join(shared, "sig", "left_semi").distinct(), "buckets")
+    index = written(reachable(index, num, den), "buckets")
+    large = written(_large(index, num, den), "large")
 
     verifier = _Verifier(docs, nodes, n, num, den)
     links = labels = None
 
-    def labelled():
+    def labelled(rows):
         if labels is None:
-            return index.withColumn("label", F.col("f"))
-        return (index.join(labels.withColumnRenamed("node", "f"), "f", "left")
+            return rows.withColumn("label", F.col("f"))
+        return (rows.join(labels.withColumnRenamed("node", "f"), "f", "left")
                 .withColumn("label", F.coalesce("label", "f")))
 
     for seed in range(ROUNDS):
-        pairs = written(_neighbours(labelled(), seed, num, den), "neighbours")
+        pairs = written(_neighbours(labelled(large), seed), "neighbours")
         if pairs.isEmpty():
             break
         found = verifier.links(pairs)
@@ -321,7 +352,7 @@ def classes(df: DataFrame, n: int = 3, num: int = 90, den: int = 100, id_col: st
         labels = components(links)
 
     # all pairs of different classes: the members outside a bucket's most common class meet all others
-    members = written(labelled(), "members")
+    members = written(labelled(index), "members")
     most = (members.groupBy("sig", "label").agg(F.count("*").alias("k"))
             .groupBy("sig").agg(F.max(F.struct("k", "label")).alias("top"), F.count("*").alias("labels"))
             .where("labels > 1").select("sig", F.col("top.label").alias("top")))
