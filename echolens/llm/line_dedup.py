@@ -1,26 +1,38 @@
-"""Line deduplication over content-defined chunks of lines.
-
-Each line is hashed. A rolling hash over ``WINDOW`` consecutive line hashes decides after which lines a chunk
-ends: where its value is 0 modulo ``MODULUS``. A boundary depends on the lines just before it only, so
-lines put in or taken out move no boundary further on. A document's end closes its last chunk. A chunk of at
-least ``MIN_LINES`` lines that occurs before, in a document with a smaller id or earlier in the same one,
-is removed with its lines.
-
-Chunks meet by hash first, which needs no text in the shuffle. Only chunks whose hash repeats are then
-compared by their bytes: one is removed only if its text equals that of the first occurrence. Both steps
-combine on the map side, so a chunk with very many copies is gathered nowhere.
-
-A chunk without any letter or digit is never removed. The other lines of a document stay in order; one that
-loses all its lines gets the empty text. Null texts stay null, empty ones empty. A null id comes before
-all others. Rows with the same id and text are treated alike, as one document.
+"""Line deduplication: repeated passages of lines, wherever they stand.
+
+``dedup_passages``, used by the queries, has no boundaries. Lines without any letter or digit belong to the line
+before them; such a unit and the next line form a window, and so does a unit of several lines. A window that
+occurs before, in a document with a smaller id or earlier in the same one, is removed with its units. So a passage
+of at least two lines goes whole, whatever stands around it, and each line text stays at least once. Where a
+window overlaps its own first occurrence, as in a line said three times, it stays. Lines without letter or digit
+at the start of a text stay, unless nothing else is left: such a text becomes empty.
+
+``dedup_lines`` works on content-defined chunks, and finds only repeats that hold whole chunks. Each line is hashed.
+A rolling hash over ``WINDOW`` consecutive line hashes decides after which lines a chunk ends: where its value is 0
+modulo ``MODULUS``. A boundary depends on the lines just before it only, so lines put in or taken out move no
+boundary further on. A document's end closes its last chunk. A chunk of at least ``MIN_LINES`` lines that occurs
+before is removed with its lines. A chunk without any letter or digit is never removed.
+
+Windows and chunks meet by a 64-bit hash first, which needs no text in the shuffle. Only those whose hash repeats are
+then compared, chunks by their bytes, windows by their SHA-256, since each line lies in two of them: one is removed
+only if it equals its first occurrence. Both steps combine on the map side, so a text with very many copies is
+gathered nowhere.
+
+The other lines of a document stay in order; one that loses all its lines gets the empty text. Null texts stay
+null, empty ones empty. A null id comes before all others. Rows with the same id and text are treated alike, as
+one document.
 """
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WINDOW = 2
 MODULUS = 2
 MIN_LINES = 2
+CONTENT = r"[\p{L}\p{N}]"
+UNIT_BREAK = r"\n(?=[^\n\p{L}\p{N}]*+[\p{L}\p{N}])"
 
 
 def chunk_ends(line_hashes: Column) -> Column:
@@ -51,7 +63,7 @@ def n_lines(text: Column) -> Column:
 
 def removable(chunk: Column) -> Column:
     """Long enough, and not of blanks and signs only."""
-    return (n_lines(chunk) >= MIN_LINES) & chunk.rlike(r"[\p{L}\p{N}]")
+    return (n_lines(chunk) >= MIN_LINES) & chunk.rlike(CONTENT)
 
 
 def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -66,17 +78,74 @@ def removals(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     slim = (docs.select("_key", F.posexplode(F.transform(
         "_chunks", lambda c: F.when(removable(c), F.xxhash64(c)))).alias("place", "h"))
         .where(F.col("h").isNotNull()))
+    return _repeats(docs, slim, lambda place: F.get("_chunks", place))
+
+
+def _repeats(docs: DataFrame, slim: DataFrame, text_at: Callable[[Column], Column], overlap: int = 0) -> DataFrame:
+    """``(_key, _places)``: the places whose text occurs before, but not ``overlap`` places before in the same
+    document. ``slim`` holds ``(_key, place, h)``."""
     repeated = slim.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
     suspects = (slim.join(repeated, "h", "left_semi").groupBy("_key")
                 .agg(F.collect_set("place").alias("_suspects")))
-    texts = (docs.join(suspects, "_key").select("_key", F.explode("_suspects").alias("place"), "_chunks")
-             .select("_key", "place", F.get("_chunks", F.col("place")).alias("chunk")))
+    texts = (docs.join(suspects, "_key").select("_key", F.explode("_suspects").alias("place"), *docs.columns[1:])
+             .select("_key", "place", text_at(F.col("place")).alias("chunk")))
     first = texts.groupBy("chunk").agg(F.min(F.struct("_key.id", "place", "_key.h")).alias("first"))
+    at = lambda place: F.struct("_key.id", place.alias("place"), "_key.h").eqNullSafe(F.col("first"))
     return (texts.join(first, "chunk")
-            .where(~(F.struct("_key.id", "place", "_key.h").eqNullSafe(F.col("first"))))
+            .where(~at(F.col("place")) & ~at(F.col("place") - overlap))
             .groupBy("_key").agg(F.collect_set("place").alias("_places")))
 
 
+def with_units(df: DataFrame, text_col: str) -> DataFrame:
+    """Adds ``_units array<string>``: each line with the lines without letter or digit behind it."""
+    return df.withColumn("_units", F.split(F.col(text_col), UNIT_BREAK, -1))
+
+
+def _next_line(i: Column) -> Column:
+    return F.substring_index(F.get("_units", i + 1), "\n", 1)
+
+
+def passage_removals(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(_key struct<id, h>, _places array<int>)``: the windows to remove from each document, 2 i for unit i and
+    the line behind it, 2 i + 1 for unit i alone."""
+    docs = with_units(_keyed(df, id_col, text_col).select("_key", F.col(text_col).cast("string").alias("text")),
+                      "text").select("_key", "_units")
+
+    def hashes(unit: Column, i: Column) -> Column:
+        solid = (i > 0) | unit.rlike(CONTENT)
+        return F.array(F.when(solid & (i < F.size("_units") - 1), F.xxhash64(unit, _next_line(i))),
+                       F.when(solid & unit.contains("\n"), F.xxhash64(unit)))
+    slim = (docs.select("_key", F.posexplode(F.flatten(F.transform("_units", hashes))).alias("place", "h"))
+            .where(F.col("h").isNotNull()))
+
+    def text_at(place: Column) -> Column:
+        i = F.shiftright(place, 1)
+        unit = F.get("_units", i)
+        window = F.when(place % 2 == 1, unit).otherwise(F.concat(unit, F.lit("\n"), _next_line(i)))
+        return F.unhex(F.sha2(window.cast("binary"), 256))
+    return _repeats(docs, slim, text_at, overlap=2)
+
+
+def dedup_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """All columns of ``df``, the text without repeated passages, and ``_removed_chunks`` (stretches of units),
+    ``_removed_lines`` (long), which say how much went."""
+    joined = _keyed(df, id_col, text_col).join(passage_removals(df, id_col, text_col), "_key", "left")
+    gone = F.array_sort(F.array_distinct(F.flatten(F.transform("_places", lambda p: F.when(
+        p % 2 == 1, F.array(F.shiftright(p, 1))).otherwise(F.array(F.shiftright(p, 1), F.shiftright(p, 1) + 1))))))
+    changed = F.col("_places").isNotNull()
+    kept = F.array_except(F.sequence(F.lit(0), F.size("_units") - 1), "_gone")
+    left = F.array_join(F.transform(kept, lambda i: F.get("_units", i)), "\n")
+    return (with_units(joined, text_col).withColumn("_gone", gone)
+            .withColumn("_left", F.when(changed, left))
+            .withColumn("_left", F.when(F.col("_left").rlike(CONTENT), F.col("_left")).otherwise(""))
+            .withColumn("_removed_chunks", F.when(changed, F.size(F.filter(
+                "_gone", lambda g, i: (i == 0) | (F.get("_gone", i - 1) < g - 1)))).otherwise(0).cast("long"))
+            .withColumn("_removed_lines", F.when(changed, n_lines(F.col(text_col)) - F.when(
+                F.col("_left") == "", 0).otherwise(n_lines(F.col("_left")))).otherwise(0).cast("long"))
+            .withColumn(text_col, F.when(changed, F.col("_left")).otherwise(F.col(text_col)))
+            .drop("_key", "_places", "_units", "_gone", "_left"))
+
+
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of ``df``, the text without repeated chunks, and ``_removed_chunks``,
     ``_removed_lines`` (long), which say how much went."""

@@ -43,7 +43,7 @@ def op6_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
 
 def op7_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = read(spark, folder, "documents").select("doc_id", "text")
-    return line_dedup.dedup_lines(docs).select(
+    return line_dedup.dedup_passages(docs).select(
         "doc_id", F.col("_removed_chunks").alias("n_removed_chunks"), F.col("_removed_lines").alias("n_removed_lines"),
         F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 

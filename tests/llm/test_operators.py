@@ -282,6 +282,72 @@ def test_line_dedup(spark, odd, empty):
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
+def brute_passages(rows):
+    """Windows by dictionary; also counts nothing but what the docstring says."""
+    content = re.compile(r"[^\W_]")
+    docs, first, gone = {}, {}, {}
+    for key in {(i, t) for i, t in rows if t is not None}:
+        units = []
+        for line in key[1].split("\n"):
+            if units and not content.search(line):
+                units[-1] += "\n" + line
+            else:
+                units.append(line)
+        docs[key] = units
+    for (i, t), units in docs.items():
+        tie = xxhash.xxh64_intdigest(t.encode(), 42)
+        tie -= (1 << 64) if tie >= 1 << 63 else 0
+        for k, u in enumerate(units):
+            if k or content.search(u):
+                windows = [(2 * k, u + "\n" + units[k + 1].split("\n")[0])] if k + 1 < len(units) else []
+                for place, w in windows + [(2 * k + 1, u)] * ("\n" in u):
+                    first.setdefault(w, []).append(((i is not None, i or 0, place, tie), (i, t), place))
+    for found in first.values():
+        _, key0, place0 = min(found, key=lambda x: x[0])
+        for _, key, place in found:
+            if (key, place) != (key0, place0) and (key, place) != (key0, place0 + 2):
+                gone.setdefault(key, set()).update([place // 2] if place % 2 else [place // 2, place // 2 + 1])
+    out = []
+    for i, t in rows:
+        out_of = gone.get((i, t), set())
+        if not out_of:
+            out.append((i, t, 0, 0))
+            continue
+        text = "\n".join(u for k, u in enumerate(docs[i, t]) if k not in out_of)
+        text = text if content.search(text) else ""
+        n = t.count("\n") + 1 - (text.count("\n") + 1 if text else 0)
+        out.append((i, text, sum(k - 1 not in out_of for k in out_of), n))
+    return out
+
+
+def test_passages(spark, odd, empty):
+    for df in docs_of(spark, odd).values():
+        got = line_dedup.dedup_passages(df)
+        assert got.columns == [*df.columns, "_removed_chunks", "_removed_lines"]
+        same(got.select("doc_id", "text", "_removed_chunks", "_removed_lines").collect(), brute_passages(rows_of(df)))
+    assert line_dedup.dedup_passages(empty).count() == 0
+    rows = [(0, "x\nx\nx"), (1, "\n\nhead a\n\n--\n\n\ntail b"), (2, "\n\nhead a\n\n--\n\n\ntail b"), (3, "own\nx\nx\nown too"),
+            (4, "y\n\nz"), (5, "new\ny\n\nz\n\n\nlast")]
+    got = line_dedup.dedup_passages(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id: r.text for r in got.collect()} == {
+        0: "x\nx\nx", 1: rows[1][1], 2: "", 3: "own\nown too", 4: "y\n\nz", 5: "new\nlast"}
+
+
+def test_planted_passages(spark):
+    """Passages of 2 to 6 lines in different surroundings: the first stays, the others go whole."""
+    rng, n = random.Random(9), iter(range(10 ** 6))
+    own = lambda: [f"own {next(n)}" for _ in range(rng.randint(1, 6))]
+    planted = [[f"passage {p} line {k}" for k in range(size)] for p, size in enumerate([2, 3, 4, 5, 6] * 8)]
+    rows, expected = [], []
+    for p in planted * 3:
+        a, b = own(), own()
+        i = len(rows)
+        rows.append((i, "\n".join(a + p + b)))
+        expected.append((i, "\n".join(a + (p if i < len(planted) else []) + b)))
+    got = line_dedup.dedup_passages(spark.createDataFrame(rows, "doc_id long, text string"))
+    same(got.select("doc_id", "text").collect(), expected)
+
+
 def brute_quality(text):
     words, lines, seen, dup = WORD.findall(text or ""), (text or "").split("\n"), set(), 0
     for x in lines:
