@@ -133,8 +133,10 @@ class ByteBpe:
             stop = min(start + BLOCK, end)
             words = self.pattern.findall(text, start, stop)
             if stop < end:
-                # what touches the end of the block may go on behind it
+                # what touches the end of the block may go on behind it, and an apostrophe before it begin 're, 've or 'll
                 stop -= len(words.pop())
+                if words and words[-1] == "'":
+                    stop -= len(words.pop())
                 if not words:
                     stop = self.pattern.match(text, start, end).end()
                     yield from self._long_word(text, start, stop)

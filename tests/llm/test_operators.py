@@ -78,6 +78,18 @@ def test_bpe(spark, odd, empty):
     assert bpe.round_trip(empty, file).count() == 0
 
 
+def test_bpe_contractions_at_the_end_of_a_block():
+    from tokenizers import Tokenizer
+    file = tokenizer_file("byte_bpe_50k.json")
+    known, coder = Tokenizer.from_file(file), bpe.coder(file)
+    for mark in ("they're we've he'll", "we've '' 'r", "he'll!!'re  'll", "'ve   x'll"):
+        for back in range(len(mark) + 2):
+            text = "word " * (bpe.BLOCK // 5) + "x" * (bpe.BLOCK % 5)
+            text = text[:bpe.BLOCK - back] + mark + " and more" * 3
+            got = [i for ids in coder.encode(text) for i in ids]
+            assert got == known.encode(text, add_special_tokens=False).ids, (mark, back)
+
+
 def test_bpe_stream_is_bounded_and_stable():
     coder = bpe.coder(tokenizer_file("byte_bpe_50k.json"))
     rng = random.Random(1)
