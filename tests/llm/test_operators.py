@@ -389,6 +389,17 @@ def test_quality_rules(spark, odd, empty):
     assert quality_rules.apply_rules(odd, labels.where("false")).where("kept = base_failed").count() == 0
 
 
+def test_quality_rules_find_toxic(spark):
+    folder = "/root/testdata/sf0.1"
+    labels = read(spark, folder, "labels")
+    got = (quality_rules.apply_rules(read(spark, folder, "documents"), labels).where("not base_failed")
+           .join(labels.where("quality = 1"), "doc_id").groupBy("toxic", "kept").count().collect())
+    n = {(r.toxic, r.kept): r["count"] for r in got}
+    print(n)
+    assert n.get((1, False), 0) > 0.8 * (n.get((1, False), 0) + n.get((1, True), 0)), n
+    assert n.get((0, False), 0) < 0.01 * n[0, True], n
+
+
 def brute_windows(rows, n=50):
     first, out = {}, []
     data = [(-(1 << 63) if i is None else i, (t or "").encode(), i) for i, t in rows]
