@@ -3,8 +3,8 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echolens.llm import (bpe, chat, decontaminate, line_dedup, ngram_join, quality_rules, sharding, suffix_dedup,
-                          token_counts, warc)
+from echolens.llm import (bpe, chat, decontaminate, fill_middle, line_dedup, ngram_join, quality_rules, sharding,
+                          suffix_dedup, token_counts, warc)
 from echolens.llm.tables import read
 
 N_SHARDS = 24
@@ -61,9 +61,16 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.count_tokens(read(spark, folder, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
 
+def op12_fill_middle(spark: SparkSession, folder: str) -> DataFrame:
+    sha = lambda c: F.sha2(F.col(c).cast("binary"), 256).alias(f"{c}_sha256")
+    return (fill_middle.transform(read(spark, folder, "documents"))
+            .withColumn("restored", fill_middle.restored(F.col("form"), F.col("output")))
+            .select("doc_id", "n", "form", "prefix_chars", "middle_chars", sha("output"), sha("restored")))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_chat_format, op2_bpe_round_trip, op3_sharding, op4_warc, op5_ngram_jaccard_join, op6_decontaminate,
-    op7_line_dedup, op8_quality_rules, op9_suffix_dedup, op10_token_counts)}
+    op7_line_dedup, op8_quality_rules, op9_suffix_dedup, op10_token_counts, op12_fill_middle)}
 
 _WORDS = (r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
           r"'[^\x20\x09-\x0D]+')")
@@ -108,4 +115,20 @@ SQL = {
         SELECT sd.id AS doc_id, si.id AS item_id, any_value(q.n) AS n_shingles, count(*) AS n_shared
         FROM sd JOIN si USING (k, g) JOIN q ON q.id = si.id GROUP BY 1, 2
         HAVING 10 * count(*) >= 8 * any_value(q.n)""",
+    "op12_fill_middle": r"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h
+                   FROM documents),
+        t AS (SELECT *, regexp_extract_all(text, '[A-Za-z]+|[^A-Za-z]') AS u,
+                     list_transform([1, 9, 17, 25], lambda i: ('0x' || substr(h, i, 8))::BIGINT) AS r FROM d),
+        c AS (SELECT *, len(u) AS n, least(r[1] % (len(u) + 1), r[2] % (len(u) + 1)) AS a,
+                     greatest(r[1] % (len(u) + 1), r[2] % (len(u) + 1)) AS b,
+                     CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>')
+                          OR r[3] % 100 >= 90 THEN 'plain' WHEN r[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM t),
+        p AS (SELECT *, array_to_string(u[1:a], '') AS p, array_to_string(u[a + 1:b], '') AS m,
+                     array_to_string(u[b + 1:], '') AS s FROM c)
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars,
+               CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+                      ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256
+        FROM p""",
 }
