@@ -3,8 +3,8 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echolens.llm import (bpe, chat, decontaminate, fill_middle, line_dedup, ngram_join, quality_rules, sharding,
-                          suffix_dedup, token_counts, warc)
+from echolens.llm import (bpe, chat, decontaminate, fill_middle, license_scan, line_dedup, ngram_join, quality_rules,
+                          sharding, suffix_dedup, token_counts, warc)
 from echolens.llm.tables import read
 
 N_SHARDS = 24
@@ -68,12 +68,21 @@ def op12_fill_middle(spark: SparkSession, folder: str) -> DataFrame:
             .select("doc_id", "n", "form", "prefix_chars", "middle_chars", sha("output"), sha("restored")))
 
 
+def op13_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return license_scan.scan(read(spark, folder, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_chat_format, op2_bpe_round_trip, op3_sharding, op4_warc, op5_ngram_jaccard_join, op6_decontaminate,
-    op7_line_dedup, op8_quality_rules, op9_suffix_dedup, op10_token_counts, op12_fill_middle)}
+    op7_line_dedup, op8_quality_rules, op9_suffix_dedup, op10_token_counts, op12_fill_middle,
+    op13_license_scan)}
 
 _WORDS = (r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
           r"'[^\x20\x09-\x0D]+')")
+_TEMPLATES = ", ".join(
+    f"({k}, '{label}', {gram}, {least}, string_split('{text}', ' '))" for k, (label, gram, least, text) in enumerate(
+        [(label, 2, 100, text) for label, text in license_scan.PHRASES]
+        + [(label, 3, least, text) for label, least, text in license_scan.NOTICES]))
 
 SQL = {
     "op4_warc": r"""
@@ -131,4 +140,33 @@ SQL = {
                sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
                       ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256
         FROM p""",
+    "op13_license_scan": rf"""
+        WITH t(k, label, gram, least, tw) AS (VALUES {_TEMPLATES}),
+        tg AS (SELECT *, unnest(range(1, len(tw) - gram + 2)) AS p FROM t),
+        tq AS (SELECT k, label, gram, least, len(tw) AS n, p, array_to_string(tw[p:p + gram - 1], ' ') AS g FROM tg),
+        d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''),
+                  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+              FROM documents),
+        dg AS (SELECT r, unnest(w) AS a, unnest(w[2:]) AS b, unnest(w[3:]) AS c, unnest(range(1, len(w) + 1)) AS i FROM d),
+        v AS (SELECT r, k, label, gram, least, n, i - p AS diagonal, p FROM tq JOIN (
+                  SELECT r, i, 2 AS gram, a || ' ' || b AS g FROM dg UNION ALL
+                  SELECT r, i, 3, a || ' ' || b || ' ' || c FROM dg) USING (gram, g)),
+        diagonals AS (SELECT DISTINCT r, k, gram, diagonal FROM v),
+        starts AS (SELECT *, CASE WHEN gram = 3 AND diagonal - lag(diagonal) OVER (PARTITION BY r, k ORDER BY diagonal) <= 4
+                         THEN 0 ELSE 1 END AS start FROM diagonals),
+        s AS (SELECT r, k, diagonal, sum(start) OVER (PARTITION BY r, k ORDER BY diagonal
+                         ROWS UNBOUNDED PRECEDING) AS span FROM starts),
+        c AS (SELECT r, k, any_value(label) AS label, any_value(gram) AS gram, any_value(least) AS least,
+                     any_value(n) AS n, min(diagonal + p) - 1 AS a, max(diagonal + p + gram - 1) - 1 AS b,
+                     list(DISTINCT p) AS ps FROM v JOIN s USING (r, k, diagonal) GROUP BY r, k, span),
+        x AS (SELECT r, label, gram, least, a, len(list_distinct(flatten(list_transform(ps,
+                     lambda p: range(p, p + gram))))) / n AS score FROM c WHERE b - a < 2 * n),
+        y AS (SELECT r, count(*) FILTER (gram = 2) AS n_base, min(a) FILTER (gram = 2) AS first_word,
+                     max(a) FILTER (gram = 2) AS last_word,
+                     string_agg(DISTINCT label, ',' ORDER BY label) FILTER (gram = 2) AS base_labels,
+                     string_agg(DISTINCT label, ',' ORDER BY label) FILTER (100 * score >= least) AS labels,
+                     max(score) AS score FROM x WHERE gram = 3 OR score = 1 GROUP BY r)
+        SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+               coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0) AS score
+        FROM d LEFT JOIN y USING (r)""",
 }
