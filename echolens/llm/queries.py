@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from echolens.llm import (bpe, chat, decontaminate, fill_middle, license_scan, line_dedup, ngram_join, quality_rules,
-                          sharding, suffix_dedup, token_counts, warc)
+                          sharding, suffix_dedup, token_counts, warc, whitening)
 from echolens.llm.tables import read
 
 N_SHARDS = 24
@@ -61,6 +61,10 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.count_tokens(read(spark, folder, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
 
+def op11_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(read(spark, folder, "embeddings"))
+
+
 def op12_fill_middle(spark: SparkSession, folder: str) -> DataFrame:
     sha = lambda c: F.sha2(F.col(c).cast("binary"), 256).alias(f"{c}_sha256")
     return (fill_middle.transform(read(spark, folder, "documents"))
@@ -74,8 +78,8 @@ def op13_license_scan(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_chat_format, op2_bpe_round_trip, op3_sharding, op4_warc, op5_ngram_jaccard_join, op6_decontaminate,
-    op7_line_dedup, op8_quality_rules, op9_suffix_dedup, op10_token_counts, op12_fill_middle,
-    op13_license_scan)}
+    op7_line_dedup, op8_quality_rules, op9_suffix_dedup, op10_token_counts, op11_embedding_whitening,
+    op12_fill_middle, op13_license_scan)}
 
 _WORDS = (r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
           r"'[^\x20\x09-\x0D]+')")
