@@ -992,21 +992,20 @@ def stream_dedup(spark, folder):
 @query
 def stream_kpi_windows(spark, folder):
     stream = fallback.fallback_cloud(message_stream(spark, folder))
-    return _wall(streams.run_available(streams.kpi_windows(stream), "windows"),
-                 "window_start", "window_end")
+    return _wall(streams.kpi_window_table(stream, "windows"), "window_start", "window_end")
 
 
 @query
 def stream_kpi_sliding(spark, folder):
     stream = fallback.fallback_cloud(message_stream(spark, folder))
-    return _wall(streams.run_available(streams.kpi_windows(
-        stream, length="6 hours", slide="2 hours"), "sliding"), "window_start", "window_end")
+    return _wall(streams.kpi_window_table(stream, "sliding", length="6 hours", slide="2 hours"),
+                 "window_start", "window_end")
 
 
 @query
 def stream_sessions(spark, folder):
-    return _wall(streams.run_available(streams.author_sessions(message_stream(spark, folder)),
-                                       "sessions"), "session_start", "session_end")
+    return _wall(streams.author_session_table(message_stream(spark, folder), "sessions"),
+                 "session_start", "session_end")
 
 
 @query
@@ -1018,6 +1017,6 @@ def stream_alerts(spark, folder):
 @query
 def stream_alert_windows(spark, folder):
     stream = fallback.fallback_cloud(message_stream(spark, folder))
-    windows = streams.alert_windows(streams.kpi_windows(stream, length="1 hour"), 3)
-    return _wall(streams.run_available(windows, "alert-windows"), "window_start",
-                 "window_end").select("window_start", "n", "urgent")
+    windows = streams.kpi_window_table(stream, "alert-windows", length="1 hour")
+    return _wall(streams.alert_windows(windows, 3), "window_start", "window_end").select(
+        "window_start", "n", "urgent")

@@ -778,33 +778,31 @@ u AS (SELECT model, 'accuracy' AS metric, round(accuracy, 4) AS value FROM m UNI
 SELECT *, row_number() OVER (PARTITION BY metric ORDER BY value DESC, model) = 1 AS is_best
 FROM u""")
 
-# --- streams: closed windows only, one hour behind the latest event ----------------------
+# --- streams -----------------------------------------------------------------------------
 SQL["stream_classify"] = with_(FEEDBACK, body=f"""
 SELECT msg_id, {LABELS} FROM ({fallback_cloud('feedback')})""")
 SQL["stream_dedup"] = with_(FEEDBACK, body="""
 SELECT DISTINCT md5(text) AS text_md5 FROM feedback WHERE text IS NOT NULL""")
-MARK = "(SELECT max(ts) - INTERVAL 1 HOUR FROM events)"
 COUNTS = """count(*) AS n, count(*) FILTER (is_claim = 'oui') AS claims,
   count(*) FILTER (sentiment = 'negatif') AS negative,
   count(*) FILTER (is_claim = 'oui' AND urgence = 'haute') AS urgent"""
 SQL["stream_kpi_windows"] = with_(FEEDBACK, CLS, body=f"""
 SELECT date_trunc('day', ts) AS window_start, date_trunc('day', ts) + INTERVAL 1 DAY
-  AS window_end, {COUNTS} FROM cls GROUP BY 1, 2 HAVING window_end <= {MARK}""")
+  AS window_end, {COUNTS} FROM cls GROUP BY 1, 2""")
 SQL["stream_kpi_sliding"] = with_(FEEDBACK, CLS, """w AS (SELECT *,
   time_bucket(INTERVAL 2 HOUR, ts, TIMESTAMP '1970-01-01') - back * INTERVAL 2 HOUR AS s
   FROM cls, (VALUES (0), (1), (2)) b(back))""", body=f"""
-SELECT s AS window_start, s + INTERVAL 6 HOUR AS window_end, {COUNTS} FROM w GROUP BY 1, 2
-HAVING window_end <= {MARK}""")
+SELECT s AS window_start, s + INTERVAL 6 HOUR AS window_end, {COUNTS} FROM w GROUP BY 1, 2""")
 SQL["stream_sessions"] = with_(FEEDBACK, """g AS (SELECT author, ts,
-  CASE WHEN ts < lag(ts) OVER (PARTITION BY author ORDER BY ts) + INTERVAL 1 HOUR THEN 0 ELSE 1 END
+  CASE WHEN ts <= lag(ts) OVER (PARTITION BY author ORDER BY ts) + INTERVAL 1 HOUR THEN 0 ELSE 1 END
     AS first FROM feedback)""", """
 n AS (SELECT *, sum(first) OVER (PARTITION BY author ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k
   FROM g)""", body=f"""
 SELECT author, min(ts) AS session_start, max(ts) + INTERVAL 1 HOUR AS session_end, count(*) AS n
-FROM n GROUP BY author, k HAVING session_end <= {MARK}""")
+FROM n GROUP BY author, k""")
 SQL["stream_alerts"] = with_(FEEDBACK, CLS, body="""
 SELECT msg_id, author, incident FROM cls WHERE is_claim = 'oui' AND urgence = 'haute'""")
 SQL["stream_alert_windows"] = with_(FEEDBACK, CLS, body=f"""
 SELECT date_trunc('hour', ts) AS window_start, count(*) AS n,
   count(*) FILTER (is_claim = 'oui' AND urgence = 'haute') AS urgent FROM cls GROUP BY 1
-HAVING urgent >= 3 AND window_start + INTERVAL 1 HOUR <= {MARK}""")
+HAVING urgent >= 3""")
