@@ -1,54 +1,68 @@
 """Exact, repeatable samples and splits.
 
-Rows are ranked by md5(seed, id) within a stratum. A rank is never computed by sorting a
-stratum in one task: hash prefixes cut it into even buckets, bucket counts tell in which bucket
-a quota ends, and only that bucket is sorted. What remains is one threshold per stratum, and
-choosing the rows is a map-side comparison.
+Rows are ranked by md5(seed, id) within a stratum; a null label is a stratum of its own. A rank is never computed by
+sorting a stratum in one task. The table is read once for a narrow table of labels and hashes. On that, a histogram by
+hash prefix tells in which bucket a quota ends, and only that bucket is refined, level by level, until it is
+small enough to be ranked; how many digits a level adds follows from the rows still inside. What remains is one
+threshold per stratum, and choosing the rows is a comparison while the table is read a second time.
+Rows with equal ids have equal hashes and stay or go together.
 """
 
+from math import ceil, log
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PREFIX = 3
+from echolens.sources.shared import write_and_read
+
+HASH_DIGITS = 32
+LEVEL_DIGITS = 3   # most digits a level adds, for 4096 buckets in one window
+LEAST = 4096       # rows that are ranked without another level
 
 
 def hash_key(id_col: str, seed) -> Column:
-    return F.md5(F.concat(F.lit(f"{seed}|"), F.col(id_col).cast("string")))
+    return F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
+
+
+def hash_keys(df: DataFrame, id_col: str, *columns: str, seed=42) -> DataFrame:
+    """``(columns, _h)`` of all rows, written once."""
+    return write_and_read(df.select(*columns, hash_key(id_col, seed).alias("_h")), "keys")
 
 
-def hash_cutoffs(df: DataFrame, id_col: str, stratum: str, quotas: DataFrame, seed=42,
-                 prefix=PREFIX) -> DataFrame:
-    """``(stratum, cut, cutoff)``: the hash of the quota-th row of each stratum.
+def hash_cutoffs(keys: DataFrame, stratum: str, quotas: DataFrame, least=LEAST) -> DataFrame:
+    """``(stratum, cut, cutoff)``: the hash of the quota-th row of each stratum of ``hash_keys``.
 
-    ``quotas(stratum, cut, quota)`` holds one row per label and cut, with quotas no larger than
-    the stratum. ``prefix`` hex digits give 16**prefix buckets per stratum; take 4 or 5 for
-    strata of billions of rows.
+    ``quotas(stratum, cut, quota)`` holds one row per label and cut, with quotas no larger than the stratum.
+    A level's histogram has a row per bucket of the quotas' own buckets, at most 4096 per label and cut.
     """
-    rows = (df.select(stratum, hash_key(id_col, seed).alias("_h"))
-              .withColumn("_b", F.substring("_h", 1, prefix)))
-    before = (Window.partitionBy(stratum).orderBy("_b")
-              .rowsBetween(Window.unboundedPreceding, -1))
-    edges = (rows.groupBy(stratum, "_b").agg(F.count("*").alias("_n"))
-                 .withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-                 .join(quotas, stratum)
-                 .where((F.col("quota") > F.col("_before"))
-                        & (F.col("quota") <= F.col("_before") + F.col("_n")))
-                 .select(stratum, "_b", "cut", (F.col("quota") - F.col("_before"))
-                         .alias("_rank")))
-    inside = Window.partitionBy(stratum, "cut").orderBy("_h")
-    return (rows.join(edges, [stratum, "_b"])
-                .withColumn("_r", F.row_number().over(inside)).where("_r = _rank")
-                .select(stratum, "cut", F.col("_h").alias("cutoff")))
-
-
-def mark_cut(df: DataFrame, id_col: str, stratum: str, cutoffs: DataFrame, cut: str, out: str,
-             seed=42) -> DataFrame:
-    """Add a flag that is true for the rows inside the named cut of their stratum."""
-    limits = cutoffs.where(F.col("cut") == cut).select(stratum, F.col("cutoff").alias("_cutoff"))
-    return (df.join(limits, stratum, "left")
-              .withColumn(out, F.coalesce(hash_key(id_col, seed) <= F.col("_cutoff"),
-                                          F.lit(False)))
-              .drop("_cutoff"))
+    edges = quotas.where("quota > 0").select(F.col(stratum).alias("_s"), "cut", F.lit("").alias("_prefix"),
+                                             F.col("quota").alias("_rank"))
+    inside, digits = keys.groupBy(stratum).count().agg(F.max("count")).first()[0] or 0, 0
+    while digits < HASH_DIGITS:
+        more = min(LEVEL_DIGITS, ceil(log(inside / least, 16))) if inside > least else HASH_DIGITS
+        rows = keys.join(edges, keys[stratum].eqNullSafe(edges["_s"])
+                         & (F.substring("_h", 1, digits) == F.col("_prefix")))
+        digits = min(digits + more, HASH_DIGITS)
+        before = Window.partitionBy("_s", "cut").orderBy("_next").rowsBetween(Window.unboundedPreceding, -1)
+        buckets = (rows.groupBy("_s", "cut", "_rank", F.substring("_h", 1, digits).alias("_next"))
+                   .agg(F.count("*").alias("_n"))
+                   .withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))))
+        edges = write_and_read(
+            buckets.where((F.col("_rank") > F.col("_before")) & (F.col("_rank") <= F.col("_before") + F.col("_n")))
+            .select("_s", "cut", F.col("_next").alias("_prefix"), (F.col("_rank") - F.col("_before")).alias("_rank"),
+                    "_n"), "edges")
+        inside = edges.agg(F.max("_n")).first()[0] or 0
+    return edges.select(F.col("_s").alias(stratum), "cut", F.col("_prefix").alias("cutoff"))
+
+
+def mark_cuts(df: DataFrame, id_col: str, stratum: str, cutoffs: DataFrame, cuts: dict[str, str], seed=42) -> DataFrame:
+    """Add a flag for each cut in ``cuts``, which names its column: true for the rows inside it."""
+    limits = cutoffs.groupBy(F.col(stratum).alias("_s")).agg(*[
+        F.max(F.when(F.col("cut") == cut, F.col("cutoff"))).alias(f"_limit_{cut}") for cut in cuts])
+    return (df.join(limits, df[stratum].eqNullSafe(limits["_s"]), "left")
+              .withColumns({out: F.coalesce(hash_key(id_col, seed) <= F.col(f"_limit_{cut}"), F.lit(False))
+                            for cut, out in cuts.items()})
+              .drop("_s", *[f"_limit_{cut}" for cut in cuts]))
 
 
 def _sizes(df: DataFrame, stratum: str) -> DataFrame:
@@ -75,7 +89,8 @@ def mark_priority(df: DataFrame, id_col="msg_id", ratio=0.20, seed=42) -> DataFr
                                  .otherwise(0)).over(everything)
     n = F.col("n")
     half = F.least(F.greatest(F.floor(n / 2), F.lit(50)), n)
-    quotas = (_sizes(tagged, "stratum")
+    keys = hash_keys(tagged, id_col, "stratum", seed=seed)
+    quotas = (_sizes(keys, "stratum")
               .withColumn("first", F.when(F.col("stratum") == "urgent", n)
                                     .when(F.col("stratum") == "medium", half).otherwise(0))
               .withColumn("taken", F.sum("first").over(everything))
@@ -86,8 +101,8 @@ def mark_priority(df: DataFrame, id_col="msg_id", ratio=0.20, seed=42) -> DataFr
                        .when(F.col("stratum") == "low",
                              F.when(F.col("others") == 0, F.least(n, F.lit(100))).otherwise(0))
                        .otherwise(F.col("first")).alias("quota")))
-    cutoffs = hash_cutoffs(tagged, id_col, "stratum", quotas, seed)
-    return mark_cut(tagged, id_col, "stratum", cutoffs, "sample", "in_sample", seed)
+    cutoffs = hash_cutoffs(keys, "stratum", quotas)
+    return mark_cuts(tagged, id_col, "stratum", cutoffs, {"sample": "in_sample"}, seed)
 
 
 def sample_priority(df: DataFrame, id_col="msg_id", ratio=0.20, seed=42) -> DataFrame:
@@ -97,15 +112,17 @@ def sample_priority(df: DataFrame, id_col="msg_id", ratio=0.20, seed=42) -> Data
 def mark_diverse(df: DataFrame, id_col="msg_id", ratio=0.20, minimum=100, seed=42) -> DataFrame:
     """Add ``stratum`` and ``in_sample``: ``max(minimum, ratio * n)`` rows: claims first, then equal shares per sentiment, then any.
 
-    Ties are cut by hash, so the result is the same on every run.
+    Ties are cut by hash, so the result is the same on every run. Rows without a sentiment are one more kind, with
+    a null ``stratum``.
     """
     tagged = df.withColumn("stratum", F.when(F.col("is_claim") == "oui", "claim")
                            .otherwise(F.concat(F.lit("s:"), F.col("sentiment"))))
+    keys = hash_keys(tagged, id_col, "stratum", "sentiment", seed=seed)
     everything = Window.partitionBy(F.lit(1))
     # the share counts every sentiment present, claims included
-    kinds = df.agg(F.count_distinct("sentiment").alias("kinds"))
+    kinds = keys.groupBy("sentiment").count().agg(F.count("*").alias("kinds"))
     n, size = F.col("n"), F.col("size")
-    sizes = (_sizes(tagged, "stratum")
+    sizes = (_sizes(keys, "stratum")
              .withColumn("size", F.greatest(F.lit(minimum), F.floor(F.col("total")
                                                                     * F.lit(ratio))))
              .withColumn("claims", F.sum(F.when(F.col("stratum") == "claim", n).otherwise(0))
@@ -115,20 +132,20 @@ def mark_diverse(df: DataFrame, id_col="msg_id", ratio=0.20, minimum=100, seed=4
                               .otherwise(F.least(n, share)))
                   .withColumn("missing", size - F.sum("quota").over(everything)))
     quotas = sizes.select("stratum", F.lit("sample").alias("cut"), "quota")
-    marked = mark_cut(tagged, id_col, "stratum",
-                      hash_cutoffs(tagged, id_col, "stratum", quotas, seed), "sample", "_in",
-                      seed)
+    cutoffs = hash_cutoffs(keys, "stratum", quotas)
     # fill from what is left, as one stratum
-    rest = marked.where(~F.col("_in")).withColumn("fill", F.lit("fill"))
+    limits = cutoffs.select(F.col("stratum").alias("_s"), F.col("cutoff").alias("_limit"))
+    rest = (keys.join(limits, keys["stratum"].eqNullSafe(limits["_s"]), "left")
+            .where(F.col("_limit").isNull() | (F.col("_h") > F.col("_limit")))
+            .select(F.lit("fill").alias("fill"), "_h"))
     fill_quota = (sizes.agg(F.max("missing").alias("missing"),
                             F.sum(n - F.col("quota")).alias("left"))
                        .select(F.lit("fill").alias("fill"), F.lit("fill").alias("cut"),
                                F.least("missing", "left").alias("quota")))
-    fill = hash_cutoffs(rest, id_col, "fill", fill_quota, seed)
-    return (mark_cut(marked.withColumn("fill", F.lit("fill")), id_col, "fill", fill, "fill",
-                     "_fill", seed)
-            .withColumn("in_sample", F.col("_in") | F.col("_fill"))
-            .drop("_in", "_fill", "fill"))
+    fill = hash_cutoffs(rest, "fill", fill_quota).agg(F.max("cutoff")).scalar()
+    filled = F.coalesce(hash_key(id_col, seed) <= fill, F.lit(False))
+    return (mark_cuts(tagged, id_col, "stratum", cutoffs, {"sample": "_in"}, seed)
+            .withColumn("in_sample", F.col("_in") | filled).drop("_in"))
 
 
 def sample_diverse(df: DataFrame, id_col="msg_id", ratio=0.20, minimum=100, seed=42) -> DataFrame:
@@ -137,16 +154,15 @@ def sample_diverse(df: DataFrame, id_col="msg_id", ratio=0.20, minimum=100, seed
 
 def stratified_split(df: DataFrame, id_col: str, label: str, train=0.70, validation=0.15,
                      seed=42) -> DataFrame:
-    """Add ``split``: exact shares of every label, by hash order."""
-    sizes = df.groupBy(label).agg(F.count("*").alias("n"))
+    """Add ``split``: exact shares of every label, by hash order; a null label is a label."""
+    keys = hash_keys(df, id_col, label, seed=seed)
     share = lambda s: F.round(F.col("n") * F.lit(s)).cast("bigint")
-    quotas = sizes.select(label, F.inline(F.array(
+    quotas = keys.groupBy(label).agg(F.count("*").alias("n")).select(label, F.inline(F.array(
         F.struct(F.lit("train").alias("cut"), share(train).alias("quota")),
         F.struct(F.lit("validation").alias("cut"),
                  share(train + validation).alias("quota")))))
-    cutoffs = hash_cutoffs(df, id_col, label, quotas, seed)
-    marked = mark_cut(df, id_col, label, cutoffs, "train", "_train", seed)
-    marked = mark_cut(marked, id_col, label, cutoffs, "validation", "_validation", seed)
+    marked = mark_cuts(df, id_col, label, hash_cutoffs(keys, label, quotas),
+                       {"train": "_train", "validation": "_validation"}, seed)
     return (marked.withColumn("split", F.when(F.col("_train"), "train")
                               .when(F.col("_validation"), "validation").otherwise("test"))
                   .drop("_train", "_validation"))

@@ -363,7 +363,7 @@ SQL["sample_priority"] = with_(FEEDBACK, f"r AS ({rules('feedback')})", priority
 SQL["sample_diverse"] = with_(FEEDBACK, CLS, """s AS (SELECT msg_id, md5('42|' || msg_id) AS h,
     CASE WHEN is_claim = 'oui' THEN 'claim' ELSE 's:' || sentiment END AS stratum FROM cls)""", """
 p AS (SELECT count(*) AS n, greatest(100, floor(count(*) * 0.2::double)) AS size,
-  count(*) FILTER (is_claim = 'oui') AS claims, count(DISTINCT sentiment) AS kinds FROM cls)""", """
+  count(*) FILTER (is_claim = 'oui') AS claims, count(DISTINCT coalesce(sentiment, '')) AS kinds FROM cls)""", """
 a AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY h) AS r FROM s)""", """
 b AS (SELECT *, CASE WHEN stratum = 'claim' THEN r <= size
   ELSE r <= floor(greatest(size - claims, 0) / kinds) END AS chosen FROM a, p)""", """

@@ -19,15 +19,15 @@ def test_positions_over_many_blocks(spark):
     assert {r.msg_id: r.position for r in got} == {i: p for p, i in enumerate(sorted(ids))}
 
 
-@pytest.mark.parametrize("prefix", [1, 3])
-def test_cutoffs_take_exactly_the_lowest_hashes(spark, prefix):
+@pytest.mark.parametrize("least", [1, 40, 4096])
+def test_cutoffs_take_exactly_the_lowest_hashes(spark, least):
     data = [(i, "hot" if i % 10 else "cold") for i in range(3000)]
     df = spark.createDataFrame(data, "id bigint, s string")
     quotas = spark.createDataFrame([("hot", "a", 777), ("hot", "b", 2700), ("cold", "a", 1),
                                     ("cold", "b", 0)], "s string, cut string, quota bigint")
-    cutoffs = sampling.hash_cutoffs(df, "id", "s", quotas, prefix=prefix)
+    cutoffs = sampling.hash_cutoffs(sampling.hash_keys(df, "id", "s"), "s", quotas, least=least)
     for cut, want in (("a", {"hot": 777, "cold": 1}), ("b", {"hot": 2700, "cold": 0})):
-        got = sampling.mark_cut(df, "id", "s", cutoffs, cut, "x").where("x").collect()
+        got = sampling.mark_cuts(df, "id", "s", cutoffs, {cut: "x"}).where("x").collect()
         for s, n in want.items():
             lowest = sorted((i for i, k in data if k == s), key=md5)[:n]
             assert sorted(r.id for r in got if r.s == s) == sorted(lowest)
@@ -38,6 +38,34 @@ def test_as_many_strata_as_rows(spark):
     assert sampling.stratified_split(df, "id", "s").count() == 100
 
 
+def test_split_of_null_labels_and_ids(spark):
+    rows = [(i, None if i < 100 else "x") for i in range(120)]
+    got = sampling.stratified_split(spark.createDataFrame(rows, "id bigint, s string"), "id", "s")
+    n = {(r.s, r.split): r["count"] for r in got.groupBy("s", "split").count().collect()}
+    assert n == {(None, "train"): 70, (None, "validation"): 15, (None, "test"): 15, ("x", "train"): 14,
+                 ("x", "validation"): 3, ("x", "test"): 3}
+    rows = [(None, "x")] * 9000 + [(7, "x")] * 6000 + [(i, "y") for i in range(9)]  # few hashes, many rows
+    got = sampling.stratified_split(spark.createDataFrame(rows, "id bigint, s string"), "id", "s")
+    assert got.count() == 15009 and got.select("s", "id", "split").distinct().count() == 11
+
+
+def test_sampling_reads_the_table_twice(spark, tmp_path):
+    labelled(spark, 500, lambda i: "non", lambda i: "basse").write.parquet(f"{tmp_path}/t")
+    df = spark.read.parquet(f"{tmp_path}/t")
+    for make in (sampling.mark_diverse, sampling.mark_priority,
+                 lambda d: sampling.stratified_split(d, "msg_id", "sentiment")):
+        out = make(df)  # the narrow table is one read, what is left in the plan the other
+        plan = out._sc._jvm.PythonSQLUtils.explainString(out._jdf.queryExecution(), "formatted")
+        assert plan.count(f"InMemoryFileIndex [file:{tmp_path}/t]") == 1
+
+
+def test_diverse_sample_of_null_sentiments(spark):
+    rows = [(i, "non", "basse", None if i % 2 else "positif") for i in range(1000)]
+    df = spark.createDataFrame(rows, "msg_id bigint, is_claim string, urgence string, sentiment string")
+    got = sampling.sample_diverse(df).groupBy("sentiment").count().collect()
+    assert {r.sentiment: r["count"] for r in got} == {None: 100, "positif": 100}
+
+
 def labelled(spark, n, claim, urgency):
     rows = [(i, claim(i), urgency(i), ("neutre", "positif", "negatif")[i % 3])
             for i in range(n)]
