@@ -1,18 +1,22 @@
 """Putting the tiers together: overlay, backfill, confidence, result cache, report."""
 
+import hashlib
 import time
+from collections.abc import Callable
 from functools import reduce
 from operator import add
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from echolens.functions.text import clean_messages
+from echolens.sources.shared import write_and_read
 
 OVERLAY = {"topics": "categorie", "incident": "incident", "confidence": "score_confiance",
            "is_claim": "is_claim"}
 REQUIRED = {"sentiment": "neutre", "is_claim": "non", "urgence": "faible", "topics": "autre",
             "incident": "autre", "confidence": 0.5}
+CACHE_BUCKETS = 64
 TEMPORARY = ("preliminary", "mistral_", "bert_confidence")
 
 
@@ -68,34 +72,81 @@ def cache_key(text, model: str, version="v2"):
     return F.md5(F.concat(F.lit(f"{model}:{version}:"), F.coalesce(text, F.lit(""))))
 
 
-def split_by_cache(df: DataFrame, cache: DataFrame, model: str, text="text"):
-    """``(hits, misses)`` per distinct key.
+def open_cache(spark: SparkSession, path: str, values: str, buckets=CACHE_BUCKETS) -> str:
+    """Name of the cache table at ``path``, which is made if there is none; ``values`` are its columns besides key and run.
 
-    A text is looked up and scored once however often it occurs: keys are grouped, with map-side
-    combining, before they meet the cache.
+    The table is bucketed by key, so it is joined and grouped without being shuffled, and outlives the session:
+    any later one opens the same path with the same number of buckets.
     """
+    name = "cache_" + hashlib.md5(path.encode()).hexdigest()
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} (key STRING, {values}, run BIGINT) USING parquet "
+              f"CLUSTERED BY (key) SORTED BY (key) INTO {buckets} BUCKETS LOCATION '{path}'")
+    spark.sql(f"REFRESH TABLE {name}")
+    return name
+
+
+def cache_buckets(spark: SparkSession, cache: str) -> int:
+    return int(spark.sql(f"DESCRIBE EXTENDED {cache}").where("col_name = 'Num Buckets'").first().data_type)
+
+
+def cache_entries(spark: SparkSession, cache: str) -> DataFrame:
+    """One row per key; of entries that two runs have added, the later one."""
+    rows = spark.table(cache)
+    values = [c for c in rows.columns if c not in ("key", "run")]
+    return (rows.groupBy("key").agg(F.max_by(F.struct(*values), "run").alias("_entry"))
+                .select("key", "_entry.*"))
+
+
+def look_up(df: DataFrame, cache: str, model: str, text="text") -> DataFrame:
+    """``(key, n, text, hit, values)``: a row per distinct key, with what the cache holds for it.
+
+    A text is looked up once however often it occurs: keys are grouped, with map-side combining, before they
+    meet the cache bucket by bucket. Only the wanted keys are shuffled, to as many partitions as there are
+    buckets, whatever the session's number.
+    """
+    spark = df.sparkSession
     wanted = (df.select(cache_key(F.col(text), model).alias("key"), F.col(text).alias("text"))
-                .groupBy("key").agg(F.count("*").alias("n"), F.first("text").alias("text")))
-    return wanted.join(cache, "key"), wanted.join(cache.select("key"), "key", "left_anti")
+                .groupBy("key").agg(F.count("*").alias("n"), F.first("text").alias("text"))
+                .repartition(cache_buckets(spark, cache), "key"))
+    known = cache_entries(spark, cache).withColumn("_hit", F.lit(True))
+    values = [c for c in known.columns if c not in ("key", "_hit")]
+    return (wanted.join(known.hint("merge"), "key", "left")
+                  .select("key", "n", "text", F.coalesce("_hit", F.lit(False)).alias("hit"), *values))
 
 
-def cache_statistics(hits: DataFrame, misses: DataFrame) -> DataFrame:
+def append_cache(results: DataFrame, cache: str, run: int) -> None:
+    """Add new ``(key, values)`` rows, a file a bucket."""
+    spark = results.sparkSession
+    table = spark.table(cache)
+    (results.withColumn("run", F.lit(run).cast("bigint")).select(table.columns)
+            .repartition(cache_buckets(spark, cache), "key").write.insertInto(cache))
+    spark.catalog.refreshTable(cache)
+
+
+def score_with_cache(df: DataFrame, cache: str, model: str, scorer: Callable[[DataFrame], DataFrame], run: int,
+                     text="text") -> DataFrame:
+    """``(key, n, hit, values)`` of every distinct text: from the cache, else from ``scorer``, whose results
+    join the cache. ``scorer`` turns rows ``(key, text)`` into ``(key, values)``.
+
+    The look-up is written once, so that the table may grow while its result is in use.
+    """
+    found = write_and_read(look_up(df, cache, model, text), "lookup")
+    values = [c for c in found.columns if c not in ("key", "n", "text", "hit")]
+    new = write_and_read(scorer(found.where("not hit").select("key", "text")).select("key", *values), "scored")
+    append_cache(new, cache, run)
+    missed = found.where("not hit").select("key", "n", "hit").join(new, "key")
+    return found.where("hit").select("key", "n", "hit", *values).unionByName(missed)
+
+
+def cache_statistics(found: DataFrame) -> DataFrame:
     """Rows served and not served by the cache, and the hit rate in percent."""
-    both = (hits.select(F.col("n").alias("hits"), F.lit(0).cast("bigint").alias("misses"))
-            .unionByName(misses.select(F.lit(0).cast("bigint").alias("hits"),
-                                       F.col("n").alias("misses"))))
-    s = both.agg(F.coalesce(F.sum("hits"), F.lit(0)).alias("hits"),
-                 F.coalesce(F.sum("misses"), F.lit(0)).alias("misses"))
+    served = lambda hit: F.coalesce(F.sum(F.when(F.col("hit") == hit, F.col("n"))), F.lit(0))
+    s = found.agg(served(True).alias("hits"), served(False).alias("misses"))
     lookups = F.col("hits") + F.col("misses")
     return s.select("hits", "misses", F.when(lookups > 0, F.round(
         F.col("hits") * 100.0 / lookups, 4)).otherwise(0.0).alias("hit_rate"))
 
 
-def append_cache(results: DataFrame, path: str) -> None:
-    """Add new ``(key, ...)`` rows to the cache table."""
-    results.write.mode("append").parquet(path)
-
-
 def classification_report(df: DataFrame) -> DataFrame:
     """One row: totals, shares, distinct counts, confidence range and label maps.
 

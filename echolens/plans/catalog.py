@@ -532,21 +532,30 @@ def result_cache(spark, folder):
     """A first run filled the cache with the messages before 2024-01-16; the second run takes
     all messages, scores what is missing once per text, and appends it."""
     messages = feedback(spark, folder)
-    path = shared_folder(spark, "cache")
+    cache = merge.open_cache(spark, shared_folder(spark, "cache"), "sentiment STRING, confidence DOUBLE")
 
     def score(texts):
         return classify.term_sentiment(texts, "text").select(
             "key", "sentiment", F.col("bert_confidence").alias("confidence"))
-    nothing = spark.createDataFrame([], "key string, sentiment string, confidence double")
-    _, first = merge.split_by_cache(messages.where("ts < '2024-01-16'"), nothing, "bert")
-    merge.append_cache(score(first), path)
-    cache = spark.read.schema(nothing.schema).parquet(path)
-    hits, misses = merge.split_by_cache(messages, cache, "bert")
-    stats = merge.cache_statistics(hits, misses).collect()[0].asDict()   # one row
-    merge.append_cache(score(misses), path)
-    after = spark.read.schema(nothing.schema).parquet(path)
-    return after.agg(F.count("*").alias("entries")).select(
-        "entries", *[F.lit(v).alias(k) for k, v in stats.items()])
+    merge.score_with_cache(messages.where("ts < '2024-01-16'"), cache, "bert", score, run=1)
+    found = merge.score_with_cache(messages, cache, "bert", score, run=2)
+    entries = merge.cache_entries(spark, cache).agg(F.count("*").alias("entries"))
+    return merge.cache_statistics(found).withColumn("entries", entries.scalar())
+
+
+@query
+def cached_sentiment(spark, folder):
+    """Sentiment of every message, most of it from the cache that a first run has filled."""
+    messages = feedback(spark, folder)
+    cache = merge.open_cache(spark, shared_folder(spark, "cache"), "sentiment STRING, confidence DOUBLE")
+
+    def score(texts):
+        return classify.term_sentiment(texts, "text").select(
+            "key", "sentiment", F.col("bert_confidence").alias("confidence"))
+    merge.score_with_cache(messages.where("ts < '2024-01-16'"), cache, "bert", score, run=1)
+    found = merge.score_with_cache(messages, cache, "bert", score, run=2)
+    return (messages.select("msg_id", merge.cache_key(F.col("text"), "bert").alias("key"))
+            .join(found, "key").select("msg_id", "hit", "sentiment", F.round("confidence", 6).alias("confidence")))
 
 
 @query

@@ -433,6 +433,14 @@ SELECT count(DISTINCT key) AS entries, count(*) FILTER (key IN (SELECT key FROM
   round(count(*) FILTER (key IN (SELECT key FROM e)) * 100.0::double / count(*), 4) AS hit_rate
 FROM k""")
 
+SQL["cached_sentiment"] = with_(FEEDBACK, f"""m0 AS (SELECT *, CASE WHEN p > n THEN 'positif' WHEN n > p THEN 'negatif'
+    ELSE 'neutre' END AS sentiment, CASE WHEN pc = '' THEN 0.0::double WHEN p <> n THEN 0.6::double
+    ELSE 0.5::double END AS model_conf
+  FROM (SELECT *, {cnt('pc', L.SCORED_POSITIVE)} AS p, {cnt('pc', L.SCORED_NEGATIVE)} AS n
+    FROM (SELECT *, {preprocess("coalesce(text, '')")} AS pc FROM feedback)))""",
+    f"c AS ({calibrated('m0', 'text', 'sentiment', 'model_conf')})", body="""
+SELECT msg_id, coalesce(text, '') IN (SELECT coalesce(text, '') FROM feedback WHERE ts < '2024-01-16') AS hit,
+  sentiment, round(model_conf, 6) AS confidence FROM c""")
 
 def counts_json(c):
     return (f"(SELECT '{{' || string_agg('\"' || {c} || '\":' || n, ',' ORDER BY {c}) || '}}' "

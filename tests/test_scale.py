@@ -149,15 +149,67 @@ def test_kappa(spark):
     assert r.kappa == round((po - pe) / (1 - pe), 4) and not r.accepted
 
 
-def test_cache_counts_and_scores_each_text_once(spark):
-    df = spark.createDataFrame([(i, "same" if i % 2 else f"x{i}") for i in range(100)],
+def cache_of(spark, path):
+    return merge.open_cache(spark, path, "sentiment STRING", buckets=8)
+
+
+def score(rows):
+    return rows.select("key", F.concat(F.lit("of "), F.coalesce("text", F.lit("null"))).alias("sentiment"))
+
+
+def test_cache_counts_and_scores_each_text_once(spark, tmp_path):
+    df = spark.createDataFrame([(i, "same" if i % 2 else f"x{i}") for i in range(100)] + [(100, None), (101, "")],
                                "msg_id bigint, text string")
-    key = lambda t: hashlib.md5(f"m:v2:{t}".encode()).hexdigest()
-    cache = spark.createDataFrame([(key("same"), "neutre")], "key string, sentiment string")
-    hits, misses = merge.split_by_cache(df, cache, "m")
-    s = merge.cache_statistics(hits, misses).first()
-    assert (s.hits, s.misses, s.hit_rate) == (50, 50, 50.0)
-    assert hits.count() == 1 and misses.count() == 50
+    cache = cache_of(spark, f"{tmp_path}/c")
+    first = merge.score_with_cache(df.where("msg_id < 2"), cache, "m", score, run=1)
+    assert [tuple(r) for r in merge.cache_statistics(first).collect()] == [(0, 2, 0.0)]
+    found = merge.score_with_cache(df, cache, "m", score, run=2)
+    s = merge.cache_statistics(found).first()
+    assert (s.hits, s.misses, s.hit_rate) == (51, 51, 50.0)
+    assert {r.sentiment: (r.n, r.hit) for r in found.where("n > 1 or hit").collect()} == {
+        "of same": (50, True), "of x0": (1, True), "of null": (2, False)} | {
+        r.sentiment: (2, False) for r in found.where("sentiment = 'of '").collect()}
+    assert spark.table(cache).where("run = 2").count() == 50 and merge.cache_entries(spark, cache).count() == 52
+    again = merge.score_with_cache(df, cache, "m", score, run=3)
+    assert merge.cache_statistics(again).first().misses == 0 and spark.table(cache).where("run = 3").isEmpty()
+    assert merge.score_with_cache(df, cache, "other", score, run=4).where("hit").isEmpty()
+
+
+def test_cache_outlives_a_session_and_keeps_the_later_entry(spark, tmp_path):
+    rows = lambda v: spark.createDataFrame([(f"k{i}", v) for i in range(20)], "key string, sentiment string")
+    cache = cache_of(spark, f"{tmp_path}/c")
+    merge.append_cache(rows("old"), cache, run=1)
+    merge.append_cache(rows("new").where("key > 'k15'"), cache, run=2)
+    spark.sql(f"DROP TABLE {cache}")  # as a new session, which knows the path only
+    assert cache_of(spark, f"{tmp_path}/c") == cache
+    got = {r.key: r.sentiment for r in merge.cache_entries(spark, cache).collect()}
+    assert len(got) == 20 and all(v == ("new" if k > "k15" else "old") for k, v in got.items())
+
+
+@pytest.mark.parametrize("partitions", ["3", "8", "40"])
+def test_cache_is_not_shuffled(spark, tmp_path, partitions):
+    cache = cache_of(spark, f"{tmp_path}/c")
+    df = spark.createDataFrame([(i, f"x{i % 70}") for i in range(200)], "msg_id bigint, text string")
+    merge.score_with_cache(df, cache, "m", score, run=1)
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        found = merge.look_up(df, cache, "m")
+        assert found.where("hit").count() == 70
+        found.collect()
+        plan = found._sc._jvm.PythonSQLUtils.explainString(found._jdf.queryExecution(), "simple")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    tree = plan.split("== Initial Plan ==")[0].split("\n")
+    at = next(k for k, line in enumerate(tree) if "FileScan parquet" in line)
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    above, least = [], depth(tree[at])
+    for line in reversed(tree[:at]):
+        if depth(line) < least:
+            least = depth(line)
+            above.append(line)
+    assert any("SortMergeJoin" in line for line in above)
+    assert not any("Exchange" in line for line in above), plan
+    assert "Bucketed: true" in plan
 
 
 def test_confidence_mean(spark):
