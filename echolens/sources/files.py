@@ -1,6 +1,6 @@
 """File sources and sinks: messages in, classified tables and reports out."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -13,19 +13,72 @@ MAX_BYTES = 500 * 1024 * 1024
 LARGE_BYTES = 10 * 1024 * 1024
 
 
+def csv_lines(spark: SparkSession, path: str, encoding="UTF-8") -> DataFrame:
+    """``(path, block, line, value, quotes)``: the lines of all files as their splits hold them. ``line`` rises
+    within a block; blocks are told by their first byte."""
+    value = F.col("value") if encoding.upper() in ("UTF-8", "US-ASCII") else F.decode(
+        F.col("value").cast("binary"), encoding)
+    return (spark.read.option("lineSep", "\n").text(path)
+            .select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"),
+                    F.monotonically_increasing_id().alias("line"), value.alias("value"))
+            .withColumn("quotes", F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))))
+
+
+def _numbered(lines: DataFrame) -> DataFrame:
+    """Adds ``before``: the quotes of the block's earlier lines."""
+    earlier = Window.partitionBy("path", "block").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
+    return lines.withColumn("before", F.coalesce(F.sum("quotes").over(earlier), F.lit(0)))
+
+
+def csv_blocks(lines: DataFrame) -> DataFrame:
+    """``(path, block, inside, records)``: whether a block begins inside quotes (1) or not (0), and how many records
+    begin in the blocks before it. One row per split from here on."""
+    even = F.col("before") % 2 == 0
+    found = (_numbered(lines.drop("value")).groupBy("path", "block")
+             .agg(F.sum("quotes").alias("quotes"), F.count_if(even).alias("even"), F.count_if(~even).alias("odd")))
+    earlier = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    begun = F.when(F.col("inside") == 0, F.col("even")).otherwise(F.col("odd"))
+    return (found.withColumn("inside", F.coalesce(F.sum("quotes").over(earlier), F.lit(0)) % 2)
+            .withColumn("records", F.coalesce(F.sum(begun).over(earlier), F.lit(0)))
+            .select("path", "block", "inside", "records"))
+
+
+def csv_records(spark: SparkSession, path: str, encoding="UTF-8") -> DataFrame:
+    """``(path, record, value)``: the records of all files, numbered from 1 within a file.
+
+    A quoted field may hold line breaks, so a line begins a record only if the quotes before it are even. The first
+    pass sums quotes by block, which tells for each block, by sums over the blocks before it, where it
+    begins; the second one numbers the records block by block. Only the lines of records over several lines
+    are gathered.
+    """
+    lines = csv_lines(spark, path, encoding)
+    blocks = csv_blocks(lines).withColumnsRenamed({"path": "_path", "block": "_block"})
+    so_far = Window.partitionBy("path", "block").orderBy("line")
+    begins = (F.col("inside") + F.col("before")) % 2 == 0
+    numbered = (_numbered(lines).join(blocks, (F.col("path") == F.col("_path")) & (F.col("block") == F.col("_block")))
+                .withColumn("begins", begins)
+                .withColumn("record", F.col("records") + F.sum(F.col("begins").cast("int")).over(so_far)))
+    whole = F.col("begins") & (F.col("quotes") % 2 == 0)
+    one = numbered.where(whole).select("path", "record", "value")
+    several = (numbered.where(~whole).groupBy("path", "record")
+               .agg(F.array_sort(F.collect_list(F.struct("block", "line", "value"))).alias("parts"))
+               .select("path", "record", F.array_join(F.transform("parts", lambda p: p["value"]), "\n").alias("value")))
+    return one.unionByName(several).withColumn("value", F.regexp_replace("value", "\r\\z", ""))
+
+
 def read_messages_csv(spark: SparkSession, path: str, schema, encoding="UTF-8") -> DataFrame:
     """Read CSV with a header. Rows with too many fields are skipped, short rows are kept with
     nulls, quoted fields may hold line breaks and doubled quotes.
 
-    A file with quoted line breaks is one split, so ship large inputs as many files.
+    One large file is read by as many tasks as it has splits. Quotes must be balanced within a record, as in every
+    file that doubles the quotes inside a field, and the encoding must hold ASCII characters as single bytes.
     """
     if isinstance(schema, str):
         schema = StructType.fromDDL(schema)
     wide = StructType(schema.fields + [StructField(OVERFLOW, StringType())])
-    rows = (spark.read.schema(wide).option("header", True).option("multiLine", True)
-            .option("escape", '"').option("encoding", encoding).option("enforceSchema", True)
-            .csv(path))
-    return rows.where(F.col(OVERFLOW).isNull()).drop(OVERFLOW)
+    row = F.from_csv(F.col("value"), wide.toDDL(), {"escape": '"', "multiLine": "true"})
+    return (csv_records(spark, path, encoding).where("record > 1 and value != ''").select(row.alias("row"))
+            .where(F.col(f"row.{OVERFLOW}").isNull()).select(*[F.col("row")[f.name].alias(f.name) for f in schema.fields]))
 
 
 def write_messages_csv(df: DataFrame, path: str, encoding="UTF-8") -> None:

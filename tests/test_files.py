@@ -1,3 +1,6 @@
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from echolens.sources import files
@@ -14,6 +17,51 @@ def test_csv_rows(spark, tmp_path):
                                        (4, None, "é")]
 
 
+def plain_csv(spark, path):
+    """As the source reads a file whole."""
+    wide = SCHEMA + ", _overflow string"
+    return (spark.read.schema(wide).option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+            .where("_overflow is null").drop("_overflow"))
+
+
+def odd_csv(n, seed=1):
+    rng, lines = random.Random(seed), ["msg_id,author,text"]
+    for i in range(n):
+        field = "".join(rng.choice(["a", "é", " ", ",", '""', "\n", "\n\n", "line\n", "\\"]) for _ in range(rng.randint(0, 30)))
+        lines.append(rng.choice([f'{i},bob,"{field}"', f'{i},"{field}","{field}"', f"{i},ann,plain", f"{i},short", "",
+                                 f"{i},a,b,too,many", f'{i},"","q""uote"']))
+    return "\n".join(lines) + rng.choice(["", "\n"])
+
+
+@pytest.mark.parametrize("split", ["60b", "500b", "3k", "1m"])
+def test_one_file_by_several_tasks(spark, tmp_path, split):
+    (tmp_path / "a.csv").write_text(odd_csv(400), encoding="utf-8")
+    (tmp_path / "b.csv").write_text(odd_csv(90, 2), encoding="utf-8")
+    (tmp_path / "c.csv").write_text("msg_id,author,text", encoding="utf-8")
+    (tmp_path / "d.csv").write_text('msg_id,author,text\n1,x,"' + "long\n" * 700 + '"\n2,y,z', encoding="utf-8")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    expected = sorted(map(str, plain_csv(spark, str(tmp_path)).collect()))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    spark.conf.set("spark.sql.files.openCostInBytes", "1b")
+    try:
+        got = sorted(map(str, files.read_messages_csv(spark, str(tmp_path), SCHEMA).collect()))
+        tasks = files.csv_lines(spark, str(tmp_path / "a.csv")).rdd.getNumPartitions()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+    assert got == expected and len(got) > 300
+    assert tasks > 4 or split == "1m"
+
+
+def test_line_ends_of_two_bytes(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes(b'msg_id,author,text\r\n1,a,"x\r\ny"\r\n\r\n2,b,\xe9\r\n')
+    got = files.read_messages_csv(spark, str(tmp_path), SCHEMA, "ISO-8859-1").orderBy("msg_id").collect()
+    assert [tuple(r) for r in got] == [(1, "a", "x\r\ny"), (2, "b", "é")]
+    (tmp_path / "e").mkdir()
+    (tmp_path / "e" / "empty.csv").write_bytes(b"")
+    assert files.read_messages_csv(spark, str(tmp_path / "e"), SCHEMA).count() == 0
+
+
 def test_encodings(spark, tmp_path):
     (tmp_path / "utf8.csv").write_bytes("msg_id,author,text\n1,a,été\n".encode())
     (tmp_path / "bom.csv").write_bytes("msg_id,author,text\n1,a,été\n".encode("utf-8-sig"))
