@@ -50,7 +50,7 @@ def op7_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return (quality_rules.apply_rules(read(spark, folder, "documents"), read(spark, folder, "labels"))
-            .select("doc_id", *quality_rules.BASE, "base_failed", "kept", "score"))
+            .select("doc_id", *quality_rules.BASE, "base_failed", "kept", "score", "word_score"))
 
 
 def op9_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:

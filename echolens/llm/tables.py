@@ -1,11 +1,17 @@
 """Reading the given tables, and small helpers that every operator of this subpackage shares."""
 
+import zlib
+
+import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 from echolens.sources.shared import write_and_read
 
-__all__ = ["read", "written", "batch_of", "TwoAgeCache"]
+__all__ = ["read", "written", "batch_of", "tree_sum", "TwoAgeCache"]
+
+SLOTS = 256  # groups of partial sums in the first step
 
 
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -22,6 +28,34 @@ def batch_of(schema: pa.Schema, columns: list) -> pa.RecordBatch:
         [pa.array(c, type=f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
+def tree_sum(rows: DataFrame, measure, dtype) -> np.ndarray | None:
+    """Sum of the arrays of one shape that ``measure`` makes of an iterator over Arrow batches; None without rows.
+
+    Tasks yield one packed partial sum each. These meet by groups of tasks first, then in one task, so that one
+    array reaches the driver.
+    """
+    out = pa.schema([("slot", pa.int32()), ("part", pa.binary())])
+
+    def added(parts):
+        total = None
+        for part in parts:
+            total = part if total is None else total + part
+        if total is not None:
+            yield batch_of(out, [[TaskContext.get().partitionId() % SLOTS],
+                                 [zlib.compress(total.astype(dtype).tobytes(), 1)]])
+
+    def first(batches):
+        yield from added(measure(b for b in batches if b.num_rows))
+
+    def again(batches):
+        yield from added(np.frombuffer(zlib.decompress(p.as_py()), dtype) for b in batches for p in b.column(1))
+
+    schema = "slot int, part binary"
+    sums = (rows.mapInArrow(first, schema).repartition("slot").mapInArrow(again, schema)
+            .repartition(1).mapInArrow(again, schema).collect())
+    return np.frombuffer(zlib.decompress(sums[0].part), dtype) if sums else None
+
+
 class TwoAgeCache(dict):
     """``cache[key]`` computes and remembers ``make(key)`` within a fixed number of entries.
 

@@ -20,18 +20,16 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from echolens.llm.tables import batch_of, written
+from echolens.llm.tables import batch_of, tree_sum, written
 
 SCALE = 256
 COMPONENTS = 4
 NODES = 8            # of the quadrature on the half circle
 SPARE = 4            # columns beyond the expected number of eigenvalues
 ROUNDS = 40
-SLOTS = 256          # groups of partial sums in the first step
 EPS = float(np.finfo(float).eps)
 
 
@@ -50,35 +48,12 @@ def matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def tree_sum(rows: DataFrame, measure, dtype) -> np.ndarray | None:
-    """Sum of ``measure(batch)``, arrays of one shape, over all batches; None without rows. Partial sums meet by groups
-    of tasks first, then in one task, so that one array reaches the driver."""
-    out = pa.schema([("slot", pa.int32()), ("part", pa.binary())])
-
-    def added(parts):
-        total = None
-        for part in parts:
-            total = part if total is None else total + part
-        if total is not None:
-            yield batch_of(out, [[TaskContext.get().partitionId() % SLOTS], [total.astype(dtype).tobytes()]])
-
-    def first(batches):
-        yield from added(measure(b) for b in batches if b.num_rows)
-
-    def again(batches):
-        yield from added(np.frombuffer(p.as_py(), dtype) for b in batches for p in b.column(1))
-
-    schema = "slot int, part binary"
-    sums = (rows.mapInArrow(first, schema).repartition("slot").mapInArrow(again, schema)
-            .repartition(1).mapInArrow(again, schema).collect())
-    return np.frombuffer(sums[0].part, dtype) if sums else None
-
-
 def exact_sums(fitted: DataFrame) -> tuple[int, list[int]]:
     """Number of vectors and exact sum of each dimension, which are added up in halves of 32 bits."""
-    def measure(batch):
-        x = matrix(batch.column(0))
-        return np.concatenate(([len(x)], (x >> 32).sum(0), (x & 0xFFFFFFFF).sum(0)))
+    def measure(batches):
+        for batch in batches:
+            x = matrix(batch.column(0))
+            yield np.concatenate(([len(x)], (x >> 32).sum(0), (x & 0xFFFFFFFF).sum(0)))
 
     total = tree_sum(fitted, measure, np.int64)
     if total is None:
@@ -89,10 +64,11 @@ def exact_sums(fitted: DataFrame) -> tuple[int, list[int]]:
 
 def covariance(fitted: DataFrame, n: int, mean: np.ndarray, project: np.ndarray | None = None) -> np.ndarray:
     """Of the vectors, or of what ``project`` makes of the centred ones."""
-    def measure(batch):
-        y = matrix(batch.column(0)) - mean
-        y = y if project is None else y @ project
-        return np.concatenate((y.sum(0), (y.T @ y).ravel()))
+    def measure(batches):
+        for batch in batches:
+            y = matrix(batch.column(0)) - mean
+            y = y if project is None else y @ project
+            yield np.concatenate((y.sum(0), (y.T @ y).ravel()))
 
     total = tree_sum(fitted, measure, np.float64) / n
     k = len(mean) if project is None else project.shape[1]

@@ -3,8 +3,10 @@
 import base64
 import hashlib
 import json
+import math
 import random
 import re
+from collections import Counter
 
 import pytest
 import xxhash
@@ -16,6 +18,7 @@ from echolens.llm import (bpe, chat, decontaminate, line_dedup, ngram_join, qual
 from echolens.llm.components import components
 from echolens.llm.queries import QUERIES, tokenizer_file
 from echolens.llm.tables import read
+from echolens.llm.words import Texts
 from tests.conftest import FOLDER
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -389,17 +392,91 @@ def test_quality_rules(spark, odd, empty):
     assert quality_rules.apply_rules(odd, labels.where("false")).where("kept = base_failed").count() == 0
 
 
-def test_quality_rules_find_toxic(spark):
+def toxic_verdicts(spark, fitted_on, judged):
+    """Counts by ``(toxic, kept)`` of documents labelled good that pass the base rules."""
     folder = "/root/testdata/sf0.1"
     labels = read(spark, folder, "labels")
-    got = (quality_rules.apply_rules(read(spark, folder, "documents"), labels).where("not base_failed")
-           .join(labels.where("quality = 1"), "doc_id").groupBy("toxic", "kept").count().collect())
+    got = (quality_rules.apply_rules(read(spark, folder, "documents"), labels.where(fitted_on)).where("not base_failed")
+           .join(labels.where("quality = 1").where(judged), "doc_id").groupBy("toxic", "kept").count().collect())
     n = {(r.toxic, r.kept): r["count"] for r in got}
     print(n)
+    return n
+
+
+def test_quality_rules_find_toxic(spark):
+    n = toxic_verdicts(spark, "true", "true")
     assert n.get((1, False), 0) > 0.8 * (n.get((1, False), 0) + n.get((1, True), 0)), n
     assert n.get((0, False), 0) < 0.01 * n[0, True], n
 
 
+def test_quality_rules_on_labels_not_fitted_on(spark):
+    n = toxic_verdicts(spark, "doc_id % 2 = 0", "doc_id % 2 = 1")  # measured: 148 of 190 toxic ones go, 6 of 1,475 others
+    assert n.get((1, False), 0) > 0.75 * (n.get((1, False), 0) + n.get((1, True), 0)), n
+    assert n.get((0, False), 0) < 0.01 * n[0, True], n
+
+
+def brute_scores(words, ratios):
+    """Mean and word score by plain loops; the bins come from the operator."""
+    found = quality_rules.all_bins(words).tolist()
+    pairs = [ratios[b] for b in found if b < quality_rules.BINS]
+    single = sorted(ratios[b] for b in found if b >= quality_rules.BINS)
+    lowest = single[:len(single) // 100 + 1]
+    return sum(pairs) / len(pairs) if pairs else 0.0, sum(lowest) / len(lowest) if lowest else 0.0
+
+
+def brute_logs(counts):
+    b, w = quality_rules.BINS, quality_rules.WORD_BINS
+    sums = [sum(n for k, n in counts.items() if (k >= b) == single) for single in (False, True)]
+    return lambda k: math.log((counts[k] + 0.5) / (sums[k >= b] + 0.5 * (w if k >= b else b)))
+
+
+def test_quality_verdicts(spark):
+    labels, docs = read(spark, FOLDER, "labels"), read(spark, FOLDER, "documents")
+    trusted = {r.doc_id for r in labels.collect() if r.quality == 1 and not r.toxic}
+    half = {r.doc_id: r.half for r in docs.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(2)).alias("half")).collect()}
+    words = {i: Texts([(t or "").encode()]).words(0) for i, t in rows_of(docs)}
+    failed = {i: quality_rules.fails(w) for i, w in words.items()}
+    counts = [Counter(), Counter(), Counter()]
+    for i, w in words.items():
+        found = quality_rules.all_bins(w).tolist()
+        counts[2].update(found)
+        if i in trusted:
+            counts[half[i]].update(found)
+    raw = brute_logs(counts[2])
+
+    class Ratios(dict):
+        def __init__(self, target):
+            self.target = brute_logs(target)
+
+        def __missing__(self, k):
+            self[k] = self.target(k) - raw(k)
+            return self[k]
+
+    other = [Ratios(counts[1]), Ratios(counts[0])]
+    held_out = [brute_scores(words[i], other[half[i]]) for i in words if i in trusted and not failed[i]]
+
+    def low(scores):
+        steps = sorted(math.floor(s * 1024) for s in scores)
+        return steps[int(0.005 * len(steps))] / 1024
+    mean_least, word_least = low([m for m, _ in held_out]) - 0.05, low([w for _, w in held_out])
+    ratios = Ratios(counts[0] + counts[1])
+    got = {r.doc_id: r for r in quality_rules.apply_rules(docs, labels).collect()}
+    for i, w in words.items():
+        mean, word = brute_scores(w, ratios)
+        assert abs(got[i].score - mean) < 1e-9 and abs(got[i].word_score - word) < 1e-9
+        assert got[i].kept == (not failed[i] and mean >= mean_least and word >= word_least), i
+
+
+def test_trusted_sample(spark):
+    rows = [(i, 1, 0) for i in range(500)] + [(1, 0, 0), (2, 1, 1), (3, None, 0), (4, 1, None), (None, 1, 0)] + [(7, 1, 0)] * 90
+    labels = spark.createDataFrame(rows, "doc_id long, quality int, toxic int")
+    everyone = {r._id for r in quality_rules.trusted_ids(labels, 1000).collect()}
+    assert everyone == set(range(500)) - {1, 2, 3}
+    few = [r._id for r in quality_rules.trusted_ids(labels, 200).collect()]
+    assert len(set(few)) == len(few) == 200 and set(few) <= everyone
+    assert quality_rules.trusted_ids(labels.where("false"), 10).count() == 0
+
+
 def brute_windows(rows, n=50):
     first, out = {}, []
     data = [(-(1 << 63) if i is None else i, (t or "").encode(), i) for i, t in rows]
