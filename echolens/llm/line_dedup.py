@@ -126,24 +126,34 @@ def passage_removals(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return _repeats(docs, slim, text_at, overlap=2)
 
 
-def dedup_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of ``df``, the text without repeated passages, and ``_removed_chunks`` (stretches of units),
-    ``_removed_lines`` (long), which say how much went."""
-    joined = _keyed(df, id_col, text_col).join(passage_removals(df, id_col, text_col), "_key", "left")
+def cut_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(row struct of all columns of df, text, removed_chunks, removed_lines long)``: the rows, what is left of each text,
+    and how many stretches of units and lines went. The rows are packed, so no name of theirs can clash."""
+    packed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(id_col).alias("id"),
+                       F.col(text_col).cast("string").alias("text"))
+    joined = _keyed(packed, "id", "text").join(passage_removals(packed, "id", "text"), "_key", "left")
     gone = F.array_sort(F.array_distinct(F.flatten(F.transform("_places", lambda p: F.when(
         p % 2 == 1, F.array(F.shiftright(p, 1))).otherwise(F.array(F.shiftright(p, 1), F.shiftright(p, 1) + 1))))))
     changed = F.col("_places").isNotNull()
     kept = F.array_except(F.sequence(F.lit(0), F.size("_units") - 1), "_gone")
     left = F.array_join(F.transform(kept, lambda i: F.get("_units", i)), "\n")
-    return (with_units(joined, text_col).withColumn("_gone", gone)
+    return (with_units(joined, "text").withColumn("_gone", gone)
             .withColumn("_left", F.when(changed, left))
             .withColumn("_left", F.when(F.col("_left").rlike(CONTENT), F.col("_left")).otherwise(""))
-            .withColumn("_removed_chunks", F.when(changed, F.size(F.filter(
-                "_gone", lambda g, i: (i == 0) | (F.get("_gone", i - 1) < g - 1)))).otherwise(0).cast("long"))
-            .withColumn("_removed_lines", F.when(changed, n_lines(F.col(text_col)) - F.when(
-                F.col("_left") == "", 0).otherwise(n_lines(F.col("_left")))).otherwise(0).cast("long"))
-            .withColumn(text_col, F.when(changed, F.col("_left")).otherwise(F.col(text_col)))
-            .drop("_key", "_places", "_units", "_gone", "_left"))
+            .select("row", F.when(changed, F.col("_left")).otherwise(F.col("text")).alias("text"),
+                    F.when(changed, F.size(F.filter("_gone", lambda g, i: (i == 0) | (F.get("_gone", i - 1) < g - 1))))
+                    .otherwise(0).cast("long").alias("removed_chunks"),
+                    F.when(changed, n_lines(F.col("text")) - F.when(F.col("_left") == "", 0).otherwise(
+                        n_lines(F.col("_left")))).otherwise(0).cast("long").alias("removed_lines")))
+
+
+def dedup_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """All columns of ``df``, the text without repeated passages, and ``_removed_chunks`` (stretches of units),
+    ``_removed_lines`` (long), which say how much went and stand for columns of ``df`` so named."""
+    counts = {"_removed_chunks": F.col("removed_chunks"), "_removed_lines": F.col("removed_lines")}
+    cut = cut_passages(df, id_col, text_col)
+    return cut.select(*[(F.col("text") if c == text_col else F.col("row")[c]).alias(c) for c in df.columns if c not in counts],
+                      *[v.alias(c) for c, v in counts.items()])
 
 
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

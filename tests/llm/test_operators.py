@@ -348,6 +348,20 @@ def test_passages(spark, odd, empty):
         0: "x\nx\nx", 1: rows[1][1], 2: "", 3: "own\nown too", 4: "y\n\nz", 5: "new\nlast"}
 
 
+def test_passages_with_clashing_columns(spark, odd):
+    names = ["_key", "_places", "_units", "_gone", "_left", "_removed_lines", "_removed_chunks", "row", "id", "removed_lines"]
+    plain_docs = odd.select("doc_id", "text")
+    clashing = plain_docs.withColumns({c: F.lit(f"own {c}") for c in names})
+    got = line_dedup.dedup_passages(clashing)
+    expected = line_dedup.dedup_passages(plain_docs)
+    same(got.select(expected.columns).collect(), [tuple(r) for r in expected.collect()])
+    kept = [c for c in names if not c.startswith("_removed")]
+    assert got.select(kept).distinct().collect() == [tuple(f"own {c}" for c in kept)]
+    left = corpus_pipeline.lines(spark, clashing, FOLDER)
+    assert left.columns == clashing.columns and left.select(names).distinct().collect() == [tuple(f"own {c}" for c in names)]
+    same(left.select("doc_id", "text").collect(), [tuple(r) for r in corpus_pipeline.lines(spark, plain_docs, FOLDER).collect()])
+
+
 def test_planted_passages(spark):
     """Passages of 2 to 6 lines in different surroundings: the first stays, the others go whole."""
     rng, n = random.Random(9), iter(range(10 ** 6))
