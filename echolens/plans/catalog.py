@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from echolens.functions import lexicon as L
 from echolens.functions import text as T
-from echolens.operators import (batches, charts, dedup, evaluate, fallback, guards, kpi, merge,
-                                quality, sampling, scored, scoring)
+from echolens.operators import (batches, charts, dedup, evaluate, fallback, guards, kpi, language,
+                                merge, quality, sampling, scored, scoring)
 from echolens.operators import rules as R
 from echolens.plans import classify
 from echolens.sources import files
 from echolens.sources.replies import defective_replies
-from echolens.sources.shared import shared_folder
+from echolens.sources.shared import shared_folder, write_and_read
 from echolens.sources.tables import feedback, feedback_from_events, table
 from echolens.streaming import streams
 
@@ -161,7 +161,7 @@ _over_texts("strip_special", T.strip_special)
 _over_texts("strip_punct", T.strip_punctuation)
 _over_texts("drop_stopwords", lambda c: T.drop_stopwords(F.lower(c), ["le", "la", "the", "ok"]))
 _over_texts("preprocess_text", T.preprocess_text)
-_over_texts("detect_language", T.detect_language)
+_over_texts("detect_language_words", T.detect_language)
 
 
 @query
@@ -190,12 +190,29 @@ def clean_dataset(spark, folder):
 
 
 @query
-def language_accuracy(spark, folder):
+def language_accuracy_words(spark, folder):
     docs = table(spark, folder, "documents")
     return (docs.select("lang", T.detect_language(F.col("text")).alias("found"))
                 .groupBy("lang", "found").agg(F.count("*").alias("n")))
 
 
+@query
+def detect_language(spark, folder):
+    """Every given text by a model of the labelled documents."""
+    model = write_and_read(language.fit_language_model(table(spark, folder, "documents")), "languages")
+    return language.detect_language(all_texts(spark, folder), model, out="out").select("kind", "id", "out")
+
+
+@query
+def language_accuracy(spark, folder):
+    """All documents by a model of one half of them; the other half is held out."""
+    docs = table(spark, folder, "documents").withColumn("held_out", F.md5(
+        F.concat(F.lit("fold|"), F.col("doc_id").cast("string"))) >= "8")
+    model = write_and_read(language.fit_language_model(docs.where("not held_out")), "languages")
+    return (language.detect_language(docs, model, out="found")
+            .groupBy("held_out", "lang", "found").agg(F.count("*").alias("n")))
+
+
 @query
 def flatten_struct(spark, folder):
     nested = feedback(spark, folder).select("msg_id", F.struct(

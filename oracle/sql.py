@@ -103,10 +103,44 @@ LANG = (f"(SELECT *, CASE WHEN greatest(n_fr, n_en, n_de, n_es) = 0 THEN 'unknow
         f"WHEN n_en >= n_de AND n_en >= n_es THEN 'en' WHEN n_de >= n_es THEN 'de' "
         f"ELSE 'es' END AS found FROM (SELECT *, {HITS} FROM (SELECT *, "
         r"regexp_extract_all(lower(coalesce(text, '')), '\p{L}+') AS ws FROM SRC)))")
-SQL["detect_language"] = with_(ALL_TEXTS, body="SELECT kind, id, found AS out FROM "
+SQL["detect_language_words"] = with_(ALL_TEXTS, body="SELECT kind, id, found AS out FROM "
                                + LANG.replace("SRC", "texts"))
-SQL["language_accuracy"] = ("SELECT lang, found, count(*) AS n FROM "
+SQL["language_accuracy_words"] = ("SELECT lang, found, count(*) AS n FROM "
                             + LANG.replace("SRC", "documents") + " GROUP BY lang, found")
+
+
+def trigrams(src, out):
+    """CTEs ``<out>(r, bin)`` of the trigrams of ``<src>(r, text)``."""
+    return rf"""{out}_c AS (SELECT r, list_transform(string_split(' ' || t || ' ', ''), lambda c: unicode(c)) AS c FROM (
+    SELECT r, trim(regexp_replace(lower(text), '([^\p{{L}}]|[\x{{10000}}-\x{{10FFFF}}])+', ' ', 'g')) AS t FROM {src})
+  WHERE t <> ''),
+{out}_u AS (SELECT r, unnest(c) AS a, unnest(c[2:]) AS b, unnest(c[3:]) AS c FROM {out}_c),
+{out} AS (SELECT r, (a * 961 + b * 31 + c) % 8192 AS bin FROM {out}_u WHERE c IS NOT NULL)"""
+
+
+def by_language(fitted):
+    """CTEs ``w(lang, bin, w)``: the model of ``docs(r, lang, text)`` where ``fitted`` holds; ``dt`` are all trigrams."""
+    return (trigrams("docs", "dt") + f""",
+cn AS (SELECT lang, bin, count(*) AS n FROM dt JOIN docs USING (r) WHERE {fitted} AND lang IS NOT NULL GROUP BY lang, bin),
+tot AS (SELECT lang, sum(n) AS total FROM cn GROUP BY lang),
+w AS (SELECT lang, bin, round(ln((coalesce(n, 0) + 0.5::double) / (total + 0.5::double * 8192)) * 1000)::int AS w
+  FROM tot CROSS JOIN (SELECT unnest(range(0, 8192)) AS bin) LEFT JOIN cn USING (lang, bin))""")
+
+
+def found_language(src):
+    return (f"(SELECT r, arg_max(lang, (s, lang)) AS found FROM (SELECT r, lang, sum(w) AS s FROM {src} JOIN w "
+            "USING (bin) GROUP BY r, lang) GROUP BY r)")
+
+
+SQL["language_accuracy"] = with_(
+    "docs AS (SELECT row_number() OVER () AS r, lang, text, md5('fold|' || doc_id) >= '8' AS held_out FROM documents)",
+    by_language("NOT held_out"), body=f"""
+SELECT held_out, lang, coalesce(found, 'unknown') AS found, count(*) AS n FROM docs LEFT JOIN {found_language('dt')} USING (r)
+GROUP BY ALL""")
+SQL["detect_language"] = with_(
+    ALL_TEXTS, "docs AS (SELECT row_number() OVER () AS r, lang, text FROM documents)", by_language("true"),
+    "every AS (SELECT row_number() OVER () AS r, * FROM texts)", trigrams("every", "et"), body=f"""
+SELECT kind, id, coalesce(found, 'unknown') AS out FROM every LEFT JOIN {found_language('et')} USING (r)""")
 LOST = ", ".join(f"CASE WHEN contains(raw, {q(t)}) AND NOT contains(c, {q(t)}) THEN "
                  f"{q(t.replace(' ', '_'))} END" for t in sorted(L.DOMAIN_TERMS))
 SQL["keep_domain_terms"] = with_(ALL_TEXTS, body=f"""
