@@ -7,6 +7,7 @@ from echolens.functions import lexicon as L
 
 BLOCK = 1 << 12
 GROUP = 1 << 12   # blocks per group of blocks
+HASH_BLOCKS = 1 << 20   # for rows without an id, behind all blocks of ids
 
 RESULT_SCHEMA = ("struct<results: array<struct<index: int, sentiment: string, categorie: string, "
                  "score_confiance: double, confidence: double, is_claim: string, "
@@ -29,15 +30,18 @@ PROMPT = (
 
 
 def number_rows(df: DataFrame, id_col="msg_id", block=BLOCK, out="position") -> DataFrame:
-    """Add the 0-based position in the order of a unique integer id.
+    """Add the 0-based position in the order of a unique integer id; rows without an id come last, in the order of
+    a hash of their columns.
 
     Rows are numbered inside blocks of ``block`` consecutive ids, so no task ever holds more
     than ``block`` rows; blocks are chained by a running sum of their sizes. With sparse ids
-    choose a larger block.
+    choose a larger block. Rows without an id are dealt to ``HASH_BLOCKS`` blocks by the hash.
     """
-    blocked = df.withColumn("_block", F.floor(F.col(id_col) / block))
+    hashed = F.xxhash64(*[f.name for f in df.schema if f.dataType.typeName() not in ("map", "variant")])
+    blocked = df.withColumn("_block", F.coalesce(
+        F.floor(F.col(id_col) / block), F.lit(1 << 52) + F.pmod(hashed, F.lit(HASH_BLOCKS))))
     sizes = blocked.groupBy("_block").agg(F.count("*").alias("_n"))
-    inside = Window.partitionBy("_block").orderBy(id_col)
+    inside = Window.partitionBy("_block").orderBy(id_col, hashed)
     return (blocked.join(_block_offsets(sizes), "_block")
                    .withColumn(out, F.col("_offset") + F.row_number().over(inside) - 1)
                    .drop("_block", "_offset"))

@@ -28,29 +28,38 @@ def flag_duplicates(df: DataFrame, text="text", id_col="msg_id", out="is_dup") -
     Rows that share text and lowest id, such as messages sent again, are numbered among themselves; no
     other row is ever sorted.
     """
-    per_id = (df.select(text_key(F.col(text)).alias("_key"), F.col(id_col).alias("_id"))
-                .groupBy("_key", "_id").agg(F.count("*").alias("_n")))
-    groups = (per_id.groupBy("_key").agg(F.sum("_n").alias("_all"),
-                                         F.min(F.struct("_id", "_n")).alias("_first"))
+    key, first, is_tied = (_unused(df, c) for c in ("_key", "_first", "_tied"))
+    per_id = (df.select(text_key(F.col(text)).alias(key), F.col(id_col).alias("_id"))
+                .groupBy(key, "_id").agg(F.count("*").alias("_n")))
+    groups = (per_id.groupBy(key).agg(F.sum("_n").alias("_all"),
+                                      F.min(F.struct("_id", "_n")).alias("_least"))
                     .where(F.col("_all") > 1)
-                    .select("_key", F.col("_first._id").alias("_first"),
-                            (F.col("_first._n") > 1).alias("_tied")))
-    keyed = df.withColumn("_key", text_key(F.col(text)))
-    lowest = F.col("_first").eqNullSafe(F.col(id_col))
-    among = Window.partitionBy("_key").orderBy("_key")
-    clear = (keyed.join(groups, "_key", "left")
-                  .where(F.col("_tied").isNull() | ~F.col("_tied") | ~lowest)
-                  .withColumn(out, F.col("_tied").isNotNull() & ~lowest))
-    tied = (keyed.join(groups.where("_tied"), "_key").where(lowest)
+                    .select(key, F.col("_least._id").alias(first),
+                            (F.col("_least._n") > 1).alias(is_tied)))
+    keyed = df.withColumn(key, text_key(F.col(text)))
+    lowest = F.col(first).eqNullSafe(F.col(id_col))
+    among = Window.partitionBy(key).orderBy(key)
+    clear = (keyed.join(groups, key, "left")
+                  .where(F.col(is_tied).isNull() | ~F.col(is_tied) | ~lowest)
+                  .withColumn(out, F.col(is_tied).isNotNull() & ~lowest))
+    tied = (keyed.join(groups.where(is_tied), key).where(lowest)
                  .withColumn(out, F.row_number().over(among) > 1))
-    return clear.unionByName(tied).drop("_key", "_first", "_tied")
+    return clear.unionByName(tied).drop(key, first, is_tied)
+
+
+def _unused(df: DataFrame, name: str) -> str:
+    """A column name that the table doesn't have."""
+    while name in df.columns:
+        name += "_"
+    return name
 
 
 def dedup_exact(df: DataFrame, text="text", id_col="msg_id") -> DataFrame:
     """Keep one row per text, one with the lowest id; a table without the column is unchanged."""
     if text not in df.columns:
         return df
-    return flag_duplicates(df, text, id_col, "_dup").where(~F.col("_dup")).drop("_dup")
+    flag = _unused(df, "_dup")
+    return flag_duplicates(df, text, id_col, flag).where(~F.col(flag)).drop(flag)
 
 
 def duplicate_count(df: DataFrame, text="text") -> DataFrame:

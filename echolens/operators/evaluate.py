@@ -4,6 +4,8 @@ then computed on the counts."""
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from echolens.sources.shared import write_and_read
+
 
 def accuracy_by_target(df: DataFrame, pairs) -> DataFrame:
     """``(target, n, accuracy)`` for a dict target -> (label column, prediction column)."""
@@ -144,34 +146,47 @@ def fairness_gap(df: DataFrame, max_gap=0.25, max_variance=0.05, **columns) -> D
         (F.var_pop("positive_rate") <= max_variance).alias("variance_ok"))
 
 
-def latency_summary(df: DataFrame, col: str, max_mean=850.0, max_p95=1500.0) -> DataFrame:
-    """Mean and the value at 0-based rank ``int(0.95 n) - 1``, exactly, with the limits.
+def value_at_rank(values: DataFrame, rank: int, least=4096, ways=64) -> float | None:
+    """Value at a 0-based rank of rows given as distinct values and counts ``(v, c)``.
 
-    Equal values are counted first. The distinct values are cut into ranges whose counts tell
-    where the rank falls, and only that range is ordered.
+    Splitters are quantiles of the distinct values still in question, so each range between them holds about
+    as many, wherever outliers lie. Counts per range tell which one holds the rank, and only that one is narrowed
+    on, until it is small enough to be ordered.
     """
-    ranges = 4096
-    values = (df.groupBy(F.col(col).cast("double").alias("v")).agg(F.count(col).alias("c"))
-                .where("c > 0"))
-    span = values.agg(F.struct(
-        F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("c").alias("n"),
-        (F.sum(F.col("v") * F.col("c")) / F.sum("c")).alias("mean"))).scalar()
-    s = lambda field: F.col(f"_s.{field}")
-    bucket = F.when(s("hi") > s("lo"), F.least(
-        F.width_bucket(F.col("v"), s("lo"), s("hi"), F.lit(ranges)), F.lit(ranges))).otherwise(1)
-    rank = F.greatest(F.lit(0), F.floor(s("n") * F.lit(0.95)) - 1)
-    placed = values.withColumn("_s", span).select("v", "c", "_s", bucket.alias("b"))
-    before = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    edge = (placed.groupBy("b", "_s").agg(F.sum("c").alias("size"))
-                  .withColumn("skip", F.coalesce(F.sum("size").over(before), F.lit(0)))
-                  .where((rank >= F.col("skip")) & (rank < F.col("skip") + F.col("size"))))
-    upto = Window.partitionBy("b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    hit = (placed.join(F.broadcast(edge.select("b", "skip")), "b")   # one row
-                 .withColumn("seen", F.col("skip") + F.sum("c").over(upto))
-                 .where(F.col("seen") > rank))
-    return hit.agg(F.min("v").alias("p95"), F.max("_s").alias("_s")).select(
-        s("n").alias("n"), F.round(s("mean"), 4).alias("mean"), F.round("p95", 4).alias("p95"),
-        ((s("mean") <= max_mean) & (F.col("p95") <= max_p95)).alias("within"))
+    low = high = None
+    while True:
+        inside = values
+        if low is not None:
+            inside = inside.where(F.col("v") > low)
+        if high is not None:
+            inside = inside.where(F.col("v") <= high)
+        n, splitters = inside.agg(F.count("*"), F.percentile_approx(
+            "v", [k / ways for k in range(1, ways)], 100 * ways)).first()
+        if not n:
+            return None
+        if n <= least:
+            upto = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)  # at most ``least`` rows
+            return inside.withColumn("seen", F.sum("c").over(upto)).where(F.col("seen") > rank).agg(F.min("v")).first()[0]
+        splitters = sorted(set(splitters))
+        below = F.size(F.filter(F.array(*map(F.lit, splitters)), lambda s: s < F.col("v")))
+        sizes = dict(inside.groupBy(below).agg(F.sum("c")).collect())  # a row per range
+        at = 0
+        while rank >= sizes.get(at, 0):
+            rank -= sizes.get(at, 0)
+            at += 1
+        low, high = (splitters[at - 1] if at else low), (splitters[at] if at < len(splitters) else high)
+
+
+def latency_summary(df: DataFrame, col: str, max_mean=850.0, max_p95=1500.0) -> DataFrame:
+    """Mean and the value at 0-based rank ``int(0.95 n) - 1``, exactly, with the limits. Equal values are counted first."""
+    values = write_and_read(df.where(F.col(col).isNotNull()).groupBy(F.col(col).cast("double").alias("v"))
+                            .agg(F.count("*").alias("c")), "values")
+    total = values.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"),
+                       (F.sum(F.col("v") * F.col("c")) / F.sum("c")).alias("mean"))
+    n = total.first().n
+    p95 = F.lit(value_at_rank(values, max(0, int(n * 0.95) - 1))).cast("double")
+    return total.select("n", F.round("mean", 4).alias("mean"), F.round(p95, 4).alias("p95"),
+                        ((F.col("mean") <= max_mean) & (p95 <= max_p95)).alias("within"))
 
 
 def compare_models(df: DataFrame, predictions, label="label", positive="oui") -> DataFrame:

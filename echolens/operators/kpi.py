@@ -4,12 +4,12 @@ Percentages use all rows as denominator. Indicators that share a table share one
 partial results are combined per task and a few rows reach the last step.
 """
 
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from echolens.functions import lexicon as L
 from echolens.functions.match import any_term, clamp, first_label, translate_values
+from echolens.sources.shared import write_and_read
 
 
 def clean_value(col: Column) -> Column:
@@ -208,20 +208,23 @@ def theme_column(df: DataFrame):
     return _first_present(df, ["Thème principal", "category", "incident", "theme"])
 
 
+def _top(label, n, among=None) -> Column:
+    """Label of the largest count, the smallest one of several; combined on the map side, nothing is sorted."""
+    counts = label.isNotNull() if among is None else label.isNotNull() & among
+    return F.min_by(label, F.when(counts, F.struct(-n, label)))
+
+
 def _distribution(df: DataFrame, col: str, confidence=None) -> DataFrame:
-    everything = Window.partitionBy(F.lit(1))
-    known = F.col("label").isNotNull()
     g = df.groupBy(F.col(f"`{col}`").cast("string").alias("label")).agg(
         F.count("*").alias("n"),
         *([F.sum(confidence).alias("_s"), F.count(confidence).alias("_c")] if confidence else []))
-    by_size = everything.orderBy(F.col("label").isNull(), F.desc("n"), "label")
-    out = g.withColumns({
-        "pct": percent(F.col("n"), F.sum("n").over(everything)),
-        "kinds": F.count("label").over(everything),
-        "top": F.first("label").over(by_size),
-        **({"avg_confidence": F.round(F.sum("_s").over(everything)
-                                      / F.sum("_c").over(everything), 4)} if confidence else {})})
-    return out.where(known).drop("_s", "_c")
+    whole = g.agg(F.struct(
+        F.sum("n").alias("total"), F.count("label").alias("kinds"), _top(F.col("label"), F.col("n")).alias("top"),
+        *([(F.sum("_s") / F.sum("_c")).alias("confidence")] if confidence else []))).scalar()
+    out = g.where(F.col("label").isNotNull()).withColumn("_whole", whole)
+    return out.select("label", "n", percent(F.col("n"), F.col("_whole.total")).alias("pct"),
+                      F.col("_whole.kinds").alias("kinds"), F.col("_whole.top").alias("top"),
+                      *([F.round("_whole.confidence", 4).alias("avg_confidence")] if confidence else []))
 
 
 def thematic_distribution(df: DataFrame) -> DataFrame:
@@ -236,8 +239,6 @@ def incident_distribution(df: DataFrame) -> DataFrame:
     if "incident_responsable" in df.columns:
         parts.append(("responsable", "incident_responsable"))
     names = [c for _, c in parts]
-    everything = Window.partitionBy(F.lit(1))
-    per_kind = Window.partitionBy("kind")
     confidence = "incident_confidence" if "incident_confidence" in df.columns else None
     sums = [F.count("*").alias("n")] + ([F.sum(confidence).alias("_s"),
                                          F.count(confidence).alias("_c")] if confidence else [])
@@ -246,17 +247,17 @@ def incident_distribution(df: DataFrame) -> DataFrame:
     full = 2 ** len(names) - 1
     kind = first_label([(k, F.col("gid") == full - 2 ** (len(names) - 1 - i))
                         for i, (k, _) in enumerate(parts)], F.lit("total"))
-    g = g.withColumns({
-        "kind": kind, "label": F.coalesce(*[F.col(f"`{c}`") for c in names]),
-        "_total": F.sum(F.when(F.col("gid") == full, F.col("n"))).over(everything),
-        "avg_confidence": F.round(F.sum(F.when(F.col("gid") == full, F.col("_s") / F.col("_c")))
-                                  .over(everything), 4) if confidence else F.lit(None)})
-    order = per_kind.orderBy(F.desc("n"), "label")
-    return (g.where((F.col("kind") != "total") & F.col("label").isNotNull())
-             .select("kind", "label", "n", percent(F.col("n"), F.col("_total")).alias("pct"),
-                     (F.row_number().over(order) == 1).alias("is_top"),
-                     F.when(F.col("kind") == "incident", F.col("avg_confidence"))
-                      .alias("avg_confidence")))
+    g = g.withColumns({"kind": kind, "label": F.coalesce(*[F.col(f"`{c}`") for c in names])})
+    whole = F.col("gid") == full
+    totals = g.agg(F.struct(
+        F.max(F.when(whole, F.col("n"))).alias("total"),
+        (F.max(F.when(whole, F.col("_s") / F.col("_c"))) if confidence else F.lit(None).cast("double")).alias("confidence"),
+        *[_top(F.col("label"), F.col("n"), F.col("kind") == k).alias(k) for k, _ in parts])).scalar()
+    top = first_label([(F.col(f"_all.{k}"), F.col("kind") == k) for k, _ in parts], F.lit(None))
+    return (g.where((F.col("kind") != "total") & F.col("label").isNotNull()).withColumn("_all", totals)
+             .select("kind", "label", "n", percent(F.col("n"), F.col("_all.total")).alias("pct"),
+                     (F.col("label") == top).alias("is_top"),
+                     F.when(F.col("kind") == "incident", F.round("_all.confidence", 4)).alias("avg_confidence")))
 
 
 def claims_enriched(df: DataFrame, col="réclamations",
@@ -388,28 +389,25 @@ def group_kpi_stats(df: DataFrame, dimensions) -> DataFrame:
         F.struct(F.lit(name).alias("dimension"), F.col(f"`{label}`").cast("string")
                  .alias("label"), F.col(f"`{conf}`").cast("double").alias("confidence"))
         for name, (label, conf) in dimensions.items()])))
-    per = Window.partitionBy("dimension")
-    return (long.groupBy("dimension", "label").agg(F.count("*").alias("count"),
-                                                   F.avg("confidence").alias("avg"))
-                .select("dimension", "label", "count",
-                        F.round(F.col("count") * 100.0 / F.sum("count").over(per), 2)
-                         .alias("percentage"),
-                        F.round("avg", 2).alias("avg_confidence"))
-                .where(F.col("label").isNotNull()))
+    g = long.groupBy("dimension", "label").agg(F.count("*").alias("count"), F.avg("confidence").alias("avg"))
+    total = (g.agg(F.sum("count")).scalar() / len(dimensions))  # every row has a label, or none, in each
+    return (g.select("dimension", "label", "count",
+                     F.round(F.col("count") * 100.0 / total, 2).alias("percentage"),
+                     F.round("avg", 2).alias("avg_confidence"))
+             .where(F.col("label").isNotNull()))
 
 
 def flat_kpis(df: DataFrame, theme="topics", top=5) -> DataFrame:
     """Total, percent per sentiment, percent urgent and the five most frequent themes, long."""
-    g = (df.groupingSets([[], [theme]], theme)
-           .agg(F.grouping_id().alias("gid"), F.count("*").alias("n"),
-                *[F.count_if(F.col("sentiment") == s).alias(s) for s in L.SENTIMENTS],
-                F.count_if(F.col("urgence") == "haute").alias("urgent")))
-    order = Window.partitionBy("gid").orderBy(F.col(theme).isNull(), F.desc("n"), theme)
-    ranked = g.withColumn("rank", F.row_number().over(order))
+    g = write_and_read(
+        df.groupingSets([[], [theme]], theme)
+          .agg(F.grouping_id().alias("gid"), F.count("*").alias("n"),
+               *[F.count_if(F.col("sentiment") == s).alias(s) for s in L.SENTIMENTS],
+               F.count_if(F.col("urgence") == "haute").alias("urgent")), "themes")
+    most = g.where((F.col("gid") == 0) & F.col(theme).isNotNull()).orderBy(F.desc("n"), theme).limit(top)
     pct = lambda c: F.round(F.col(c) * 100.0 / F.col("n"), 4)
     row = lambda item, v: F.struct(item.alias("item"), v.cast("double").alias("value"))
-    return (ranked.where((F.col("gid") == 1) | ((F.col("rank") <= top)
-                                                & F.col(theme).isNotNull()))
+    return (g.where("gid = 1").unionByName(most)
             .select(F.inline(F.when(F.col("gid") == 1, F.array(
                 row(F.lit("total"), F.col("n")), row(F.lit("pct_negatif"), pct("negatif")),
                 row(F.lit("pct_neutre"), pct("neutre")),
@@ -443,9 +441,10 @@ def dataset_statistics(df: DataFrame, labels, split="split", text="text",
                                               "avg_text_length", "unique_authors")])))
     long = df.select(split, F.inline(F.array(*[
         F.struct(F.lit(c).alias("measure"), F.col(c).alias("label")) for c in labels])))
-    per = Window.partitionBy(split, "measure")
-    counts = (long.groupBy(split, "measure", "label").agg(n.alias("n"))
-                  .withColumn("pct", F.round(F.col("n") * 100.0 / F.sum("n").over(per), 4)))
+    counts = write_and_read(long.groupBy(split, "measure", "label").agg(n.alias("n")), "labels")
+    sizes = counts.groupBy(F.col(split).alias("_of"), F.col("measure").alias("_by")).agg(F.sum("n").alias("_total"))
+    counts = (counts.join(sizes, F.col(split).eqNullSafe(F.col("_of")) & (F.col("measure") == F.col("_by")))
+                    .withColumn("pct", F.round(F.col("n") * 100.0 / F.col("_total"), 4)))
     shares = counts.select(split, F.inline(F.array(
         F.struct(F.concat("measure", F.lit("_count")).alias("measure"), F.col("label"),
                  F.col("n").cast("double").alias("value")),

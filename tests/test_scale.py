@@ -129,6 +129,41 @@ def test_dedup_with_a_hot_text(spark):
     assert dedup.dedup_exact(df, "missing").count() == 3002
 
 
+def test_dedup_keeps_columns_of_any_name(spark):
+    names = ["_key", "_first", "_tied", "_dup", "_id", "_n"]
+    df = spark.createDataFrame([(1, "x"), (1, "x"), (2, "x"), (3, "y")], "msg_id bigint, text string")
+    got = dedup.dedup_exact(df.withColumns({c: F.lit(f"own {c}") for c in names}))
+    assert got.columns == ["msg_id", "text", *names] and got.count() == 2
+    assert got.select(names).distinct().collect() == [tuple(f"own {c}" for c in names)]
+
+
+def test_positions_of_rows_without_id(spark):
+    df = spark.createDataFrame([(None, "a"), (None, "b"), (3, "c"), (None, None), (1, "d")], "msg_id bigint, text string")
+    got = batches.make_batches(df, size=2).collect()
+    assert sorted((r.batch_id, r.pos) for r in got) == [(0, 0), (0, 1), (1, 0), (1, 1), (2, 0)]
+    assert [r.text for r in sorted(got, key=lambda r: (r.batch_id, r.pos))][:2] == ["d", "c"]
+
+
+def test_rank_among_outliers_and_many_values(spark):
+    values = [(float(i % 5000) / 7, 1 + i % 3) for i in range(5000)] + [(1e12, 1), (-1e300, 2), (float("inf"), 1)]
+    df = spark.createDataFrame(values, "v double, c bigint").groupBy("v").agg(F.sum("c").alias("c"))
+    flat = sorted(v for v, c in values for _ in range(c))
+    for rank in (0, 1, 2, 3, 777, len(flat) // 2, len(flat) - 3, len(flat) - 1):
+        assert evaluate.value_at_rank(df, rank, least=50, ways=8) == flat[rank]
+    assert evaluate.value_at_rank(df.where("false"), 0) is None
+
+
+def test_many_labels(spark):
+    from echolens.operators import kpi
+    df = spark.range(100_000).select(F.concat(F.lit("t"), F.col("id") % 99_000).alias("theme"), F.lit(0.5).alias("theme_confidence"))
+    out = kpi.thematic_distribution(df)
+    assert [tuple(r) for r in out.agg(F.count("*"), F.max("kinds"), F.max("top"), F.sum("n")).collect()] == [(99_000, 99_000, "t0", 100_000)]
+    stats = kpi.group_kpi_stats(df, {"theme": ("theme", "theme_confidence")})
+    for frame in (out, stats):
+        plan = frame._sc._jvm.PythonSQLUtils.explainString(frame._jdf.queryExecution(), "formatted")
+        assert "Window" not in plan
+
+
 @pytest.mark.parametrize("values", [
     [float(i % 17) for i in range(1000)], [1.0] * 40 + [5000.0], [3.25], [0.1, 0.2, 0.3, 0.4, 0.5],
     [float(i) ** 3 for i in range(333)]])
