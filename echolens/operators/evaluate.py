@@ -99,15 +99,17 @@ def cohen_kappa(annotations: DataFrame, item="item", annotator="annotator", labe
                 threshold=0.7) -> DataFrame:
     """Agreement of each pair of annotators beyond chance, from long-form annotations.
 
-    The self join meets on the item, which holds one row per annotator.
+    An item's annotations, one per annotator, meet once; their pairs are counted by labels on the map side, and
+    from there on rows are numbers of label pairs.
     """
-    a, b = annotations.alias("a"), annotations.alias("b")
-    pairs = (a.join(b, (F.col(f"a.{item}") == F.col(f"b.{item}"))
-                    & (F.col(f"a.{annotator}") < F.col(f"b.{annotator}")))
-              .groupBy(F.col(f"a.{annotator}").alias("first"),
-                       F.col(f"b.{annotator}").alias("second"),
-                       F.col(f"a.{label}").alias("la"), F.col(f"b.{label}").alias("lb"))
-              .agg(F.count("*").alias("n")))
+    given = annotations.where(F.col(item).isNotNull() & F.col(annotator).isNotNull()).select(
+        F.col(item).alias("item"), F.struct(F.col(annotator).alias("by"), F.col(label).alias("label")).alias("x"))
+    sets = given.groupBy("item").agg(F.array_sort(F.collect_list("x")).alias("xs"))
+    later = lambda x, i: F.transform(F.filter(F.slice("xs", i + 2, F.size("xs")), lambda y: y["by"] > x["by"]),
+                                     lambda y: F.struct(x["by"].alias("first"), y["by"].alias("second"),
+                                                        x["label"].alias("la"), y["label"].alias("lb")))
+    pairs = write_and_read(sets.select(F.inline(F.flatten(F.transform("xs", later))))
+                           .groupBy("first", "second", "la", "lb").agg(F.count("*").alias("n")), "pairs")
     per = ["first", "second"]
     side = lambda c: pairs.groupBy(*per, F.col(c).alias("l")).agg(F.sum("n").alias(f"n_{c}"))
     observed = pairs.groupBy(*per).agg(

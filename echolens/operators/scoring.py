@@ -32,7 +32,7 @@ def term_scorer() -> Callable[[pd.Series], np.ndarray]:
 
 
 def score_logits(loader: ScorerLoader):
-    """Pandas UDF text -> logits. A batch that fails yields nulls, which read as neutral."""
+    """Pandas UDF text -> logits. A batch that fails yields nulls; a loader that fails ends the job."""
     @F.pandas_udf("array<double>")
     def udf(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         score = loader()
@@ -46,7 +46,8 @@ def score_logits(loader: ScorerLoader):
 
 def score_batches(df: DataFrame, text="text", loader: ScorerLoader = term_scorer,
                   calibrate=True) -> DataFrame:
-    """Add ``sentiment, sentiment_detail, sentiment_confidence`` from a five-class scorer.
+    """Add ``sentiment, sentiment_detail, sentiment_confidence`` from a five-class scorer, and ``scorer_failed``: rows of
+    a batch that the scorer failed on read as neutral and can be counted.
 
     Only the scorer runs in Python; softmax, the step from five classes to three and the
     calibration are column expressions. The batch size is
@@ -57,6 +58,7 @@ def score_batches(df: DataFrame, text="text", loader: ScorerLoader = term_scorer
     failed = F.col("_logits").isNull()
     neutral = lambda value, default: F.when(failed, default).otherwise(value)
     out = stars.withColumns({
+        "scorer_failed": failed,
         "sentiment": neutral(F.col("_s.sentiment"), "neutre"),
         "sentiment_detail": neutral(F.col("_s.label"), "neutre"),
         "sentiment_confidence": neutral(F.col("_s.confidence"), 0.5)})

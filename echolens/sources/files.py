@@ -1,6 +1,6 @@
 """File sources and sinks: messages in, classified tables and reports out."""
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -13,14 +13,23 @@ MAX_BYTES = 500 * 1024 * 1024
 LARGE_BYTES = 10 * 1024 * 1024
 
 
+def decoded(value: Column, encoding: str) -> Column:
+    """Text of raw bytes; Windows-1252 is ISO-8859-1 with signs in place of most control characters."""
+    if encoding.upper() in ("UTF-8", "US-ASCII"):
+        return value
+    if encoding.lower() not in ("windows-1252", "cp1252"):
+        return F.decode(value.cast("binary"), encoding)
+    signs = {chr(b): bytes([b]).decode("cp1252", "ignore") for b in range(0x80, 0xA0)}
+    signs = {control: sign for control, sign in signs.items() if sign}
+    return F.translate(F.decode(value.cast("binary"), "ISO-8859-1"), "".join(signs), "".join(signs.values()))
+
+
 def csv_lines(spark: SparkSession, path: str, encoding="UTF-8") -> DataFrame:
     """``(path, block, line, value, quotes)``: the lines of all files as their splits hold them. ``line`` rises
     within a block; blocks are told by their first byte."""
-    value = F.col("value") if encoding.upper() in ("UTF-8", "US-ASCII") else F.decode(
-        F.col("value").cast("binary"), encoding)
     return (spark.read.option("lineSep", "\n").text(path)
             .select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"),
-                    F.monotonically_increasing_id().alias("line"), value.alias("value"))
+                    F.monotonically_increasing_id().alias("line"), decoded(F.col("value"), encoding).alias("value"))
             .withColumn("quotes", F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))))
 
 
@@ -90,17 +99,20 @@ def write_messages_csv(df: DataFrame, path: str, encoding="UTF-8") -> None:
 
 
 def detect_encoding(spark: SparkSession, path: str) -> DataFrame:
-    """One row per file ``(path, encoding)``: UTF-8 if every line is valid UTF-8, otherwise
-    ISO-8859-1, which decodes any bytes.
+    """One row per file ``(path, encoding)``: UTF-8 if every line is valid UTF-8, else windows-1252 if a line that
+    is not holds a byte from 80 to 9F, which in ISO-8859-1 is a control character, else ISO-8859-1.
 
     Whole files are tested, not a sample, and split over tasks: the text source hands lines over
     as raw bytes. A leading byte-order mark is dropped by the readers, so UTF-8 covers both
     spellings.
     """
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"),
-                                         F.is_valid_utf8(F.col("value")).alias("valid"))
+    valid = F.is_valid_utf8(F.col("value"))
+    signs = F.when(~valid, F.hex(F.col("value").cast("binary")).rlike("^(?:..)*?[89]"))
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), valid.alias("valid"),
+                                         signs.alias("signs"))
     return lines.groupBy("path").agg(
-        F.when(F.bool_and("valid"), "UTF-8").otherwise("ISO-8859-1").alias("encoding"))
+        F.when(F.bool_and("valid"), "UTF-8").when(F.bool_or("signs"), "windows-1252")
+         .otherwise("ISO-8859-1").alias("encoding"))
 
 
 def list_files(spark: SparkSession, path: str) -> DataFrame:

@@ -66,9 +66,13 @@ def test_encodings(spark, tmp_path):
     (tmp_path / "utf8.csv").write_bytes("msg_id,author,text\n1,a,été\n".encode())
     (tmp_path / "bom.csv").write_bytes("msg_id,author,text\n1,a,été\n".encode("utf-8-sig"))
     (tmp_path / "latin.csv").write_bytes("msg_id,author,text\n1,a,été\n".encode("latin-1"))
+    (tmp_path / "windows.csv").write_bytes("msg_id,author,text\n1,a,été\n2,b,l’œuvre à 5 €\n".encode("cp1252"))
     found = {r.path.rsplit("/", 1)[1]: r.encoding
              for r in files.detect_encoding(spark, str(tmp_path)).collect()}
-    assert found == {"utf8.csv": "UTF-8", "bom.csv": "UTF-8", "latin.csv": "ISO-8859-1"}
+    assert found == {"utf8.csv": "UTF-8", "bom.csv": "UTF-8", "latin.csv": "ISO-8859-1",
+                     "windows.csv": "windows-1252"}
+    windows = files.read_messages_csv(spark, str(tmp_path / "windows.csv"), SCHEMA, "windows-1252").orderBy("msg_id")
+    assert [r.text for r in windows.collect()] == ["été", "l’œuvre à 5 €"]
     for name, encoding in found.items():
         r = files.read_messages_csv(spark, str(tmp_path / name), SCHEMA, encoding).first()
         assert tuple(r) == (1, "a", "été")

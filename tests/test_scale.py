@@ -184,6 +184,21 @@ def test_kappa(spark):
     assert r.kappa == round((po - pe) / (1 - pe), 4) and not r.accepted
 
 
+def test_kappa_of_many_annotators(spark):
+    import random
+    rng = random.Random(6)
+    rows = [(i, f"a{k}", rng.choice(["x", "y", None])) for i in range(60) for k in range(5) if rng.random() < 0.8]
+    got = evaluate.cohen_kappa(spark.createDataFrame(rows + [(None, "a0", "x"), (1, None, "x")],
+                                                     "item int, annotator string, label string")).collect()
+    assert len(got) == 10
+    by = {(i, a): v for i, a, v in rows}
+    for r in got:
+        both = [(by[i, r.first], by[i, r.second]) for i in range(60) if (i, r.first) in by and (i, r.second) in by]
+        same = sum(a is not None and a == b for a, b in both) / len(both)
+        chance = sum((sum(a == v for a, _ in both) / len(both)) * (sum(b == v for _, b in both) / len(both)) for v in "xy")
+        assert (r["items"], r.observed) == (len(both), round(same, 4)) and abs(r.kappa - (same - chance) / (1 - chance)) < 1e-4
+
+
 def cache_of(spark, path):
     return merge.open_cache(spark, path, "sentiment STRING", buckets=8)
 
@@ -265,6 +280,8 @@ def test_scorer_failure_is_neutral(spark):
     df = spark.createDataFrame([("panne",), ("merci",)], "text string")
     got = score_batches(df, loader=broken).select("sentiment", "sentiment_confidence").collect()
     assert [tuple(r) for r in got] == [("neutre", 0.5)] * 2
+    assert score_batches(df, loader=broken).where("scorer_failed").count() == 2
+    assert score_batches(df).where("scorer_failed").count() == 0
 
 
 def test_plan_has_no_cartesian_and_prunes(spark):
