@@ -127,9 +127,9 @@ def passage_removals(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def cut_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(row struct of all columns of df, text, removed_chunks, removed_lines long)``: the rows, what is left of each text,
-    and how many stretches of units and lines went. The rows are packed, so no name of theirs can clash."""
-    packed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(id_col).alias("id"),
+    """``(row struct of the other columns of df, text, removed_chunks, removed_lines long)``: what is left of each text, and
+    how many stretches of units and lines went. The other columns are packed, so no name of theirs can clash."""
+    packed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns if c != text_col]).alias("row"), F.col(id_col).alias("id"),
                        F.col(text_col).cast("string").alias("text"))
     joined = _keyed(packed, "id", "text").join(passage_removals(packed, "id", "text"), "_key", "left")
     gone = F.array_sort(F.array_distinct(F.flatten(F.transform("_places", lambda p: F.when(
