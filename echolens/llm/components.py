@@ -33,3 +33,15 @@ def components(edges: DataFrame) -> DataFrame:
                        .distinct(), "edges")
         if left.isEmpty():
             return labels
+
+
+def extended(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """``(node, label)`` after further links ``(a, b)``, which are carried over to the labels known so far."""
+    if labels is None:
+        return components(links)
+    to = lambda end: labels.select(F.col("node").alias(end), F.col("label").alias(f"{end}_to"))
+    higher = components(links.join(to("a"), "a", "left").join(to("b"), "b", "left")
+                        .select(F.coalesce("a_to", "a").alias("a"), F.coalesce("b_to", "b").alias("b")))
+    onward = higher.select(F.col("node").alias("label"), F.col("label").alias("further"))
+    known = labels.join(onward, "label", "left").select("node", F.coalesce("further", "label").alias("label"))
+    return written(known.unionAll(higher.join(labels.select("node"), "node", "left_anti").select("node", "label")), "labels")

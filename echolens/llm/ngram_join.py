@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from echolens.llm.components import components
+from echolens.llm.components import extended
 from echolens.llm.tables import batch_of, written
 from echolens.llm.words import Texts, mix, parts, shingles
 
@@ -335,7 +335,7 @@ def classes(df: DataFrame, n: int = 3, num: int = 90, den: int = 100, id_col: st
     large = written(_large(index, num, den), "large")
 
     verifier = _Verifier(docs, nodes, n, num, den)
-    links = labels = None
+    labels = None
 
     def labelled(rows):
         if labels is None:
@@ -347,9 +347,7 @@ def classes(df: DataFrame, n: int = 3, num: int = 90, den: int = 100, id_col: st
         pairs = written(_neighbours(labelled(large), seed), "neighbours")
         if pairs.isEmpty():
             break
-        found = verifier.links(pairs)
-        links = found if links is None else links.unionByName(found)
-        labels = components(links)
+        labels = extended(labels, verifier.links(pairs))
 
     # all pairs of different classes: the members outside a bucket's most common class meet all others
     members = written(labelled(index), "members")
@@ -366,9 +364,7 @@ def classes(df: DataFrame, n: int = 3, num: int = 90, den: int = 100, id_col: st
     pairs = (left.join(right, "sig")
              .where(f"la != lb and (lb = top or a < b) and {within_reach(num, den)} and {near}")
              .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    found = verifier.links(pairs)
-    links = found if links is None else links.unionByName(found)
-    labels = components(links)
+    labels = extended(labels, verifier.links(pairs))
 
     named = (rows.join(labels.withColumnRenamed("node", "f"), "f", "left")
              .select("id", "n", F.coalesce("label", "f").alias("label")))

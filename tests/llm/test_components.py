@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from echolens.llm.components import components
+from echolens.llm.components import components, extended
 
 
 def plain(edges):
@@ -22,3 +22,13 @@ def plain(edges):
 def test_components(spark, edges):
     got = components(spark.createDataFrame(edges, "a long, b long"))
     assert {r.node: r.label for r in got.collect()} == plain(edges) and got.count() == len(plain(edges))
+
+
+def test_links_in_several_parts(spark):
+    rng = random.Random(5)
+    edges = [(rng.randint(0, 90), rng.randint(0, 90)) for _ in range(70)]
+    labels = None
+    for part in (edges[:20], [], edges[20:50], edges[50:]):
+        labels = extended(labels, spark.createDataFrame(part, "a long, b long"))
+    got = labels.collect()
+    assert {r.node: r.label for r in got} == plain(edges) and len(got) == len(plain(edges))
