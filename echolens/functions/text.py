@@ -8,10 +8,12 @@ composed from them: ``clean_messages`` (ASCII form for classification) and ``pre
 import unicodedata
 from dataclasses import dataclass, field
 from functools import lru_cache
+from string import ascii_lowercase
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from echolens.functions import emoji as E
 from echolens.functions import lexicon as L
 from echolens.functions.match import NOT_SPACE, SPACE, WORD, first_label
 
@@ -26,6 +28,13 @@ EMOJI_BLOCKS = (r"[\x{1F600}-\x{1F64F}\x{1F300}-\x{1F5FF}\x{1F680}-\x{1F6FF}"
 NAMED_SYMBOLS = [(0x2600, 0x27BF), (0x1F300, 0x1F5FF), (0x1F600, 0x1F64F), (0x1F680, 0x1F6FF),
                  (0x1F900, 0x1F9FF), (0x1FA70, 0x1FAFF)]
 SYMBOL_CLASS = "[" + "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in NAMED_SYMBOLS) + "]"
+KEYCAP = r"[0-9#*]\x{FE0F}?\x{20E3}"
+FLAG = r"[\x{1F1E6}-\x{1F1FF}]{2}"
+TONE = r"[\x{1F3FB}-\x{1F3FF}]"
+MODIFIERS = r"[\x{FE0F}\x{1F3FB}-\x{1F3FF}]"
+# a symbol with its modifiers and tags, and what is joined to it
+UNIT = rf"{SYMBOL_CLASS}{MODIFIERS}*+[\x{{E0020}}-\x{{E007F}}]*+"
+SEQUENCE = rf"{UNIT}(?:\x{{200D}}{UNIT})*+"
 
 # Symbols whose customary emoji name differs from the Unicode character name.
 EMOJI_NAMES = {
@@ -59,6 +68,41 @@ ASCII_LETTERS = {
     "×": "x", "\u00a0": " ", "\u202f": " ", "\u2009": " ", "\u3000": " ",
 }
 
+# Greek and Cyrillic letters in Latin spelling, lower case; accented letters follow
+# from decomposition, capitals from the lower case.
+GREEK = {
+    "α": "a", "β": "b", "γ": "g", "δ": "d", "ε": "e", "ζ": "z", "η": "e", "θ": "th", "ι": "i",
+    "κ": "k", "λ": "l", "μ": "m", "ν": "n", "ξ": "x", "ο": "o", "π": "p", "ρ": "r", "ς": "s",
+    "σ": "s", "τ": "t", "υ": "u", "φ": "ph", "χ": "kh", "ψ": "ps", "ω": "o",
+}
+CYRILLIC = {
+    "а": "a", "б": "b", "в": "v", "г": "g", "д": "d", "е": "e", "ж": "zh", "з": "z", "и": "i",
+    "й": "i", "к": "k", "л": "l", "м": "m", "н": "n", "о": "o", "п": "p", "р": "r", "с": "s",
+    "т": "t", "у": "u", "ф": "f", "х": "kh", "ц": "ts", "ч": "ch", "ш": "sh", "щ": "shch",
+    "ъ": "'", "ы": "y", "ь": "'", "э": "e", "ю": "iu", "я": "ia", "ё": "io", "ђ": "dj",
+    "є": "ie", "ѕ": "dz", "і": "i", "ї": "yi", "ј": "j", "љ": "lj", "њ": "nj", "ћ": "tsh",
+    "ў": "u", "џ": "dzh", "ґ": "g", "ѣ": "e", "ѳ": "f", "ѵ": "i", "ғ": "gh", "қ": "k", "ң": "n",
+    "ү": "u", "ұ": "u", "һ": "h", "ә": "a", "ө": "o",
+}
+# Greek and Coptic, Cyrillic with its supplement, Greek with several accents
+OTHER_SCRIPTS = r"[\u0370-\u03FF\u0400-\u052F\u1F00-\u1FFF]"
+
+
+@lru_cache(maxsize=None)
+def script_spellings() -> dict:
+    """Greek or Cyrillic letter -> Latin spelling, one to four letters."""
+    base = {**GREEK, **CYRILLIC}
+    table = {}
+    for cp in [*range(0x370, 0x530), *range(0x1F00, 0x2000)]:
+        letter = chr(cp)
+        low = letter.lower()
+        if low not in base:  # without its accents
+            low = next((c for c in unicodedata.normalize("NFKD", low) if c in base), None)
+        if low is not None and letter not in ASCII_SPECIALS and letter not in ASCII_LETTERS:
+            spelling = base[low]
+            table[letter] = spelling if letter.lower() == letter else spelling.capitalize()
+    return table
+
 
 @lru_cache(maxsize=None)
 def emoji_names() -> dict:
@@ -126,21 +170,42 @@ def unwrap_hashtags(text: Column) -> Column:
     return F.regexp_replace(text, f"#({WORD}+)", "$1")
 
 
+def _literal_map(entries: dict) -> Column:
+    """One string literal that the optimizer folds to a map; a thousand literals would be
+    re-analysed with every further step of the plan."""
+    return F.str_to_map(F.lit(",".join(f"{k}:{v}" for k, v in entries.items())),
+                        F.lit(","), F.lit(":"))
+
+
 def emoji_to_text(text: Column) -> Column:
-    """Replace each symbol by its name between spaces; a text without symbols is passed through.
+    """Replace each emoji by its name between spaces; a text without any is passed through.
 
-    Single code points are covered. Of a joined sequence every part is named; variation
-    selectors, joiners and skin tones are left to ``to_ascii``.
+    The longest sequence is named as a whole: flags, keycaps, symbols with skin tone, and joined
+    sequences of the table. Of another joined sequence every part is named, and joiners, variation
+    selectors and skin tones are left to ``to_ascii``.
     """
-    # one string literal that the optimizer folds to a map; a thousand literals would be
-    # re-analysed with every further step of the plan
-    names = F.str_to_map(F.lit(",".join(f"{k}:{v}" for k, v in emoji_names().items())),
-                         F.lit(","), F.lit(":"))
-    pieces = F.regexp_extract_all(text, F.lit(rf"{SYMBOL_CLASS}|(?:(?!{SYMBOL_CLASS})[\s\S])+"),
-                                  F.lit(0))
-    named = F.transform(pieces, lambda p: F.coalesce(
-        F.concat(F.lit(" "), F.try_element_at(names, p), F.lit(" ")), p))
-    return F.when(text.rlike(SYMBOL_CLASS), F.array_join(named, "")).otherwise(text)
+    names = _literal_map({**emoji_names(), **E.sequence_names()})
+    tones = _literal_map(E.TONES)
+    start = f"{KEYCAP}|{FLAG}|{SYMBOL_CLASS}"
+    pieces = F.regexp_extract_all(
+        text, F.lit(rf"{KEYCAP}|{FLAG}|{SEQUENCE}|(?:(?!{start})[\s\S])++"), F.lit(0))
+
+    def spell(piece):
+        name = F.try_element_at(names, F.regexp_replace(piece, MODIFIERS, ""))
+        tone = F.transform(F.array_distinct(F.regexp_extract_all(piece, F.lit(TONE), F.lit(0))),
+                           lambda t: F.try_element_at(tones, t))
+        whole = F.concat(F.lit(" "), F.array_join(F.concat(F.array(name), tone), "_"), F.lit(" "))
+        parts = F.array_join(F.transform(F.split(piece, ""), lambda c: F.coalesce(
+            F.concat(F.lit(" "), F.try_element_at(names, c), F.lit(" ")), c)), "")
+        code = F.concat(F.lit(" flag_"), F.translate(piece, E.REGIONAL, ascii_lowercase),
+                        F.lit(" "))
+        return (F.when(piece.rlike(f"^{KEYCAP}"),
+                       F.concat(F.lit(" keycap_"), F.substring(piece, 1, 1), F.lit(" ")))
+                 .when(name.isNotNull(), whole)
+                 .when(piece.rlike(f"^{FLAG}"), code).otherwise(parts))
+
+    named = F.transform(pieces, lambda p: F.when(p.rlike(f"^(?:{start})"), spell(p)).otherwise(p))
+    return F.when(text.rlike(start), F.array_join(named, "")).otherwise(text)
 
 
 def strip_emojis(text: Column) -> Column:
@@ -148,14 +213,18 @@ def strip_emojis(text: Column) -> Column:
 
 
 def to_ascii(text: Column) -> Column:
-    """Latin letters and typographic signs in ASCII; what has no ASCII form is dropped.
+    """Latin, Greek and Cyrillic letters and typographic signs in ASCII; the rest is dropped.
 
-    Other scripts are dropped too, not transliterated. Only the runs of non-ASCII characters
-    are translated, which is several times faster than translating every character.
+    Only the runs of non-ASCII characters are translated, which is several times faster than
+    translating every character; letters of other scripts are looked up in runs that hold some.
     """
     letters = ascii_letters()
+    scripts = _literal_map(script_spellings())
 
     def spell(run):
+        run = F.when(run.rlike(OTHER_SCRIPTS), F.array_join(F.transform(
+            F.split(run, ""), lambda c: F.coalesce(F.try_element_at(scripts, c), c)), "")
+        ).otherwise(run)
         out = F.translate(run, "".join(letters), "".join(letters.values()))
         for sign, spelling in ASCII_SPECIALS.items():
             out = F.replace(out, F.lit(sign), F.lit(spelling))

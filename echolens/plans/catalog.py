@@ -14,7 +14,7 @@ from echolens.plans import classify
 from echolens.sources import files
 from echolens.sources.replies import defective_replies
 from echolens.sources.shared import shared_folder, write_and_read
-from echolens.sources.tables import feedback, feedback_from_events, table
+from echolens.sources.tables import feedback, feedback_from_events, table, world_messages
 from echolens.streaming import streams
 
 QUERIES = {}
@@ -164,6 +164,23 @@ _over_texts("preprocess_text", T.preprocess_text)
 _over_texts("detect_language_words", T.detect_language)
 
 
+@query
+def emoji_sequences(spark, folder):
+    return world_messages(spark, folder).select(
+        "msg_id", T.emoji_to_text(F.col("text")).alias("out"))
+
+
+@query
+def transliterate(spark, folder):
+    return world_messages(spark, folder).select(
+        "msg_id", T.to_ascii(F.col("text")).alias("out"))
+
+
+@query
+def clean_world_messages(spark, folder):
+    return T.clean_messages(world_messages(spark, folder)).select("msg_id", "text_cleaned")
+
+
 @query
 def strip_urls_dotted(spark, folder):
     return all_texts(spark, folder).select(

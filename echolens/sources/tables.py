@@ -23,6 +23,18 @@ FEEDBACK_TEMPLATES = [
     "Annonce : nouvelle offre fibre, promo tarif réduit",
 ]
 
+# Message texts with emoji sequences and other scripts, chosen by event number.
+WORLD_TEMPLATES = [
+    "Vive la 🇫🇷 et 🇧🇪, pas 🇿🇼 ni 🇫",
+    "Option 1️⃣ ou #⃣, puis 10 fois *️⃣",
+    "Technicienne 👩🏽‍🔧 passée, 🤷🏿‍♂️ rien de neuf 👍🏽👍",
+    "Famille 👨‍👩‍👧‍👦 sans wifi, ❤️‍🔥 puis 💔 🏴󠁧󠁢󠁳󠁣󠁴󠁿 🏳️‍🌈",
+    "Inconnu 📱‍🐛, ton seul 🏽, ☎️!",
+    "Не работает интернет, объясните, пожалуйста! Щука, Ёж, ЖУК",
+    "Δεν λειτουργεί το δίκτυο, Ψυχή Θεός ᾄδω ΐ Ω",
+    "Ціна їжі: ґанок, Љубљана, қала — 漢字 µ",
+]
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -46,3 +58,14 @@ def feedback_from_events(events: DataFrame) -> DataFrame:
 
 def feedback(spark: SparkSession, folder: str) -> DataFrame:
     return feedback_from_events(table(spark, folder, "events"))
+
+
+def world_messages(spark: SparkSession, folder: str) -> DataFrame:
+    """Messages ``(msg_id, text)`` with emoji sequences and other scripts, one per event."""
+    template = F.element_at(F.array(*[F.lit(t) for t in WORLD_TEMPLATES]),
+                            (F.col("event_id") % len(WORLD_TEMPLATES) + 1).cast("int"))
+    return table(spark, folder, "events").select(
+        F.col("event_id").alias("msg_id"),
+        F.when(F.col("event_id") % 97 != 0, F.concat(template, F.lit(" "), "event_type",
+                                                     F.lit(" 👤"), F.col("user_id").cast("string")))
+         .alias("text"))

@@ -2,7 +2,7 @@
 by hand in SQL."""
 
 from echolens.functions import lexicon as L
-from echolens.sources.tables import FEEDBACK_TEMPLATES
+from echolens.sources.tables import FEEDBACK_TEMPLATES, WORLD_TEMPLATES
 
 W = r"[\p{L}\p{N}_]"
 NW = r"[^\p{L}\p{N}_]"
@@ -55,6 +55,12 @@ texts AS (SELECT 'f' AS kind, msg_id AS id, text FROM feedback
   UNION ALL SELECT 'd', doc_id, text FROM documents
   UNION ALL SELECT 'p', page_id, html FROM pages)"""
 
+WORLD = ("wt(tid, tmpl) AS (VALUES " + ", ".join(
+    f"({i}, {q(t)})" for i, t in enumerate(WORLD_TEMPLATES)) + """),
+world AS (SELECT event_id AS msg_id, CASE WHEN event_id % 97 <> 0
+    THEN tmpl || ' ' || event_type || ' 👤' || user_id END AS text
+  FROM events JOIN wt ON event_id % 8 = tid)""")
+
 
 def with_(*ctes, body):
     return "WITH " + ",\n".join(ctes) + "\n" + body
@@ -87,15 +93,39 @@ def strip_special(c):
 
 
 def emoji(c):
-    from echolens.functions.text import emoji_names
-    names = emoji_names()
-    return (f"array_to_string(list_transform(string_split({c}, ''), lambda ch: coalesce("
-            f"' ' || map({arr(names)}, {arr(names.values())})[ch] || ' ', ch)), '')")
+    """Keycaps by replacement, then sequences by a list of matches around the text between them."""
+    from echolens.functions.emoji import REGIONAL, TONES, sequence_names
+    from echolens.functions.text import NAMED_SYMBOLS, emoji_names
+    single = emoji_names()
+    names = {**single, **sequence_names()}
+    symbols = "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in NAMED_SYMBOLS)
+    unit = rf"[{symbols}][\x{{FE0F}}\x{{1F3FB}}-\x{{1F3FF}}]*[\x{{E0020}}-\x{{E007F}}]*"
+    pieces = (rf"[\x{{1F1E6}}-\x{{1F1FF}}][\x{{1F1E6}}-\x{{1F1FF}}]|{unit}(?:\x{{200D}}{unit})*"
+              rf"|[^{symbols}\x{{1F1E6}}-\x{{1F1FF}}]+|[\x{{1F1E6}}-\x{{1F1FF}}]")
+    look = lambda table, k: f"map({arr(table)}, {arr(table.values())})[{k}]"
+    key = r"regexp_replace(p, '[\x{FE0F}\x{1F3FB}-\x{1F3FF}]', '', 'g')"
+    tones = " || ".join(f"CASE WHEN contains(p, '{t}') THEN '_{n}' ELSE '' END"
+                        for t, n in TONES.items())
+    parts = (f"array_to_string(list_transform(string_split(p, ''), lambda ch: coalesce("
+             f"' ' || {look(single, 'ch')} || ' ', ch)), '')")
+    keycaps = rf"regexp_replace({c}, '([0-9#*])\x{{FE0F}}?\x{{20E3}}', ' keycap_\1 ', 'g')"
+    return (f"array_to_string(list_transform(regexp_extract_all({keycaps}, '{pieces}'), "
+            f"lambda p: CASE WHEN {look(names, key)} IS NOT NULL "
+            f"THEN ' ' || {look(names, key)} || {tones} || ' ' "
+            f"WHEN regexp_full_match(p, '[{REGIONAL}][{REGIONAL}]') "
+            f"THEN ' flag_' || translate(p, '{REGIONAL}', 'abcdefghijklmnopqrstuvwxyz') || ' ' "
+            f"ELSE {parts} END), '')")
 
 
 def ascii_(c):
-    from echolens.functions.text import ASCII_SPECIALS, ascii_letters
-    m = ascii_letters()
+    """One replacement per letter of several characters, one translation for the others."""
+    from echolens.functions.text import ASCII_SPECIALS, ascii_letters, script_spellings
+    m = dict(ascii_letters())
+    for a, b in script_spellings().items():
+        if len(b) == 1:
+            m[a] = b
+        else:
+            c = f"replace({c}, {q(a)}, {q(b)})"
     c = f"translate({c}, {q(''.join(m))}, {q(''.join(m.values()))})"
     for a, b in ASCII_SPECIALS.items():
         c = f"replace({c}, {q(a)}, {q(b)})"

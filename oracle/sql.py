@@ -3,7 +3,7 @@
 from echolens.plans.catalog import RAW_LABELS
 from echolens.functions import lexicon as L
 from echolens.operators.batches import PROMPT
-from oracle.base import (ALL_TEXTS, FEEDBACK, NS, S, W, any_, arr, ascii_, calibrated, cascade,
+from oracle.base import (ALL_TEXTS, FEEDBACK, NS, S, W, WORLD, any_, arr, ascii_, calibrated, cascade,
                          cleaned, cnt, collapse, consistency, emoji, fallback_basic,
                          fallback_cloud, fallback_local, guard_steps, lst, preprocess, q, rules,
                          scored, strip_mentions, strip_special, strip_urls, strip_urls_dotted,
@@ -89,6 +89,10 @@ over_texts("emoji_to_text", emoji("text"))
 over_texts("strip_emojis", r"regexp_replace(text, '[\x{1F600}-\x{1F64F}\x{1F300}-\x{1F5FF}"
            r"\x{1F680}-\x{1F6FF}\x{1F1E0}-\x{1F1FF}]+', '', 'g')")
 over_texts("to_ascii", ascii_("text"))
+SQL["emoji_sequences"] = with_(WORLD, body=f"SELECT msg_id, {emoji('text')} AS out FROM world")
+SQL["transliterate"] = with_(WORLD, body=f"SELECT msg_id, {ascii_('text')} AS out FROM world")
+SQL["clean_world_messages"] = with_(
+    WORLD, body=f"SELECT msg_id, text_cleaned FROM ({cleaned('world')})")
 over_texts("collapse_ws", collapse("text"))
 over_texts("strip_special", strip_special("text"))
 over_texts("strip_punct", strip_special("text").replace(r"\-.,!?", ",.?!"))

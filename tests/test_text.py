@@ -62,6 +62,33 @@ def test_emoji(spark):
     assert one(spark, T.strip_emojis, "a😀🚀b") == "ab"
 
 
+def test_emoji_sequences(spark):
+    names = {"🇫🇷": "France", "🇿🇼": "flag_zw", "1️⃣": "keycap_1", "#⃣": "keycap_#", "❤️": "red_heart",
+             "👍🏽": "thumbs_up_medium_skin_tone", "👩‍💻": "woman_technologist",
+             "🧑🏿‍🚀": "astronaut_dark_skin_tone", "🤷🏻‍♂️": "man_shrugging_light_skin_tone",
+             "👨‍👩‍👧‍👦": "family_man_woman_girl_boy", "👩‍❤️‍💋‍👨": "kiss_woman_man",
+             "🏳️‍🌈": "rainbow_flag", "🏴󠁧󠁢󠁳󠁣󠁴󠁿": "Scotland"}
+    for sequence, name in names.items():
+        assert one(spark, T.emoji_to_text, f"a{sequence}b") == f"a {name} b", sequence
+    # a sequence no table knows is named part by part; what is no emoji stays
+    assert one(spark, T.emoji_to_text, "📱‍🐛") == " mobile_phone ‍ bug "
+    assert one(spark, T.emoji_to_text, "🏽 🇫 10 #1 *") == "🏽 🇫 10 #1 *"
+    assert one(spark, T.emoji_to_text, "🇫🇷🇧🇪🇫") == " France  Belgium 🇫"
+    assert one(spark, T.emoji_to_text, "") == "" and one(spark, T.emoji_to_text, None) is None
+    # thousands of joined parts, and a long text between two emojis
+    assert one(spark, T.emoji_to_text, "👤‍" * 20_000).count("bust_in_silhouette") == 20_000
+    assert one(spark, T.emoji_to_text, "👍" + "é" * 200_000 + "👎") == \
+        " thumbs_up " + "é" * 200_000 + " thumbs_down "
+
+
+def test_other_scripts(spark):
+    assert one(spark, T.to_ascii, "Щука, Ёж и объём") == "Shchuka, Iozh i ob'iom"
+    assert one(spark, T.to_ascii, "Θεός ΨΥΧΗ ᾄδω ΐ") == "Theos PsUKhE ado i"
+    letters = [c for c in map(chr, [*range(0x386, 0x3CF), *range(0x400, 0x460)]) if c.isalpha()]
+    rows = spark.createDataFrame([(c,) for c in letters], "text string")
+    assert all(r[0] for r in rows.select(T.to_ascii(F.col("text"))).collect())
+
+
 def test_preprocess_keeps_accents_and_removes_markup(spark):
     assert one(spark, T.preprocess_text, "@Free Ma #fibre bug depuis hier! http://x.y") == \
         "ma fibre bug depuis hier!"
