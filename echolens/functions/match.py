@@ -11,9 +11,16 @@ documents of up to 20,000 words, for classifiers with some 200 terms each:
 
 Regular expressions are kept for word bounds and numbers and stand behind a term test of a part
 they need anyway.
+
+A whole classifier tests each distinct term of its lists once: ``term_index`` walks the text with
+one pattern, a trie of the terms that is asked at every position, and its ``Hits`` take the place
+of the text in the list tests. For 155 terms on long documents that is 2.3 times faster than
+testing term by term; for a dozen terms it is slower.
 """
 
 import re
+from collections import Counter
+from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -43,28 +50,86 @@ def _once(text: Column, test) -> Column:
     return F.get(F.transform(F.array(text), test), F.lit(0))
 
 
-def any_term(text: Column, terms) -> Column:
+@dataclass(frozen=True)
+class Hits:
+    """The terms of an index found in a text: an array column without repeats."""
+    found: Column
+
+
+# alternatives tried one by one before the next character decides between groups of them
+FAN_OUT = 6
+
+
+def _trie_pattern(node: dict) -> str:
+    """Pattern of the longest path from a trie node; at most one alternative fits a character."""
+    chars = sorted(c for c in node if c)
+    ways = [re.escape(c) + _trie_pattern(node[c]) for c in chars]
+    if len(ways) > FAN_OUT:
+        ways = [f"(?=[{''.join(map(re.escape, chars[i:i + FAN_OUT]))}])"
+                f"(?:{'|'.join(ways[i:i + FAN_OUT])})" for i in range(0, len(ways), FAN_OUT)]
+    if not ways:
+        return ""
+    return f"(?:{'|'.join(ways)})" + ("?" if "" in node else "")
+
+
+def term_index(text: Column, *lists) -> Column:
+    """Distinct terms of all ``lists`` that are substrings of ``text``, as an array.
+
+    The pattern is a look-ahead, so matches overlap and no occurrence hides another; of terms that
+    start at one place it yields the longest, and those that begin it are added.
+    """
+    terms = sorted({t for ts in lists for t in ts if t})
+    root = {}
+    for term in terms:
+        node = root
+        for c in term:
+            node = node.setdefault(c, {})
+        node[""] = {}
+    longest = F.array_distinct(F.regexp_extract_all(
+        text, F.lit(f"(?=({_trie_pattern(root)}))"), F.lit(1)))
+    begins = [t for t in terms if any(o != t and o.startswith(t) for o in terms)]
+    if not begins:
+        return longest
+    return F.get(F.transform(F.array(longest), lambda found: F.when(F.size(found) == 0, found)
+                             .otherwise(F.array_union(found, F.filter(
+                                 _constant(begins), lambda b: F.exists(
+                                     found, lambda t: F.startswith(t, b)))))), F.lit(0))
+
+
+def any_term(text: Column | Hits, terms) -> Column:
     """True if some term is a substring of ``text``."""
+    if isinstance(text, Hits):
+        return F.arrays_overlap(text.found, _constant(minimal_terms(terms)))
     terms = _constant(minimal_terms(terms))
     return _once(text, lambda t: F.exists(terms, lambda k: F.contains(t, k)))
 
 
-def count_terms(text: Column, terms) -> Column:
+def count_terms(text: Column | Hits, terms) -> Column:
     """Number of list entries that are substrings; an entry listed twice counts twice."""
+    if isinstance(text, Hits):
+        times = Counter(terms)
+        rounds = [[t for t, n in times.items() if n > i] for i in range(max(times.values()))]
+        sizes = [F.size(F.array_intersect(text.found, _constant(r))) for r in rounds]
+        return sum(sizes[1:], sizes[0])
     terms = _constant(terms)
     return _once(text, lambda t: F.size(F.filter(terms, lambda k: F.contains(t, k))))
 
 
-def any_word(text: Column, words) -> Column:
-    """True if some phrase occurs between word bounds."""
+def any_word(text: Column, words, hits: Hits | None = None) -> Column:
+    """True if some phrase occurs between word bounds; ``hits`` of an index with them save a scan."""
     pattern = f"(?<!{WORD})(?:{'|'.join(re.escape(w) for w in words)})(?!{WORD})"
-    return any_term(text, words) & text.rlike(pattern)
+    return any_term(hits or text, words) & text.rlike(pattern)
+
+
+def duration_terms(pairs) -> list:
+    """What a text with one of the durations holds in any case."""
+    return [f"{p} " for p, _ in pairs]
 
 
-def any_duration(text: Column, pairs) -> Column:
+def any_duration(text: Column, pairs, hits: Hits | None = None) -> Column:
     """True if '<phrase> <number> <unit>' occurs for some (phrase, unit) pair."""
     pattern = "|".join(rf"{re.escape(p)} \p{{Nd}}+ {u}" for p, u in pairs)
-    return any_term(text, [f"{p} " for p, _ in pairs]) & text.rlike(pattern)
+    return any_term(hits or text, duration_terms(pairs)) & text.rlike(pattern)
 
 
 def first_label(rules, default) -> Column:
@@ -76,7 +141,7 @@ def first_label(rules, default) -> Column:
     return out.otherwise(default)
 
 
-def first_term_label(text: Column, rules, default) -> Column:
+def first_term_label(text: Column | Hits, rules, default) -> Column:
     """First label one of whose terms occurs; ``rules`` is a list of (label, terms)."""
     return first_label([(label, any_term(text, terms)) for label, terms in rules], default)
 

@@ -32,6 +32,8 @@ KEYCAP = r"[0-9#*]\x{FE0F}?\x{20E3}"
 FLAG = r"[\x{1F1E6}-\x{1F1FF}]{2}"
 TONE = r"[\x{1F3FB}-\x{1F3FF}]"
 MODIFIERS = r"[\x{FE0F}\x{1F3FB}-\x{1F3FF}]"
+# what every emoji holds a character of
+EMOJI_SIGN = rf"[\x{{20E3}}\x{{1F1E6}}-\x{{1F1FF}}{SYMBOL_CLASS[1:-1]}]"
 # a symbol with its modifiers and tags, and what is joined to it
 UNIT = rf"{SYMBOL_CLASS}{MODIFIERS}*+[\x{{E0020}}-\x{{E007F}}]*+"
 SEQUENCE = rf"{UNIT}(?:\x{{200D}}{UNIT})*+"
@@ -205,7 +207,7 @@ def emoji_to_text(text: Column) -> Column:
                  .when(piece.rlike(f"^{FLAG}"), code).otherwise(parts))
 
     named = F.transform(pieces, lambda p: F.when(p.rlike(f"^(?:{start})"), spell(p)).otherwise(p))
-    return F.when(text.rlike(start), F.array_join(named, "")).otherwise(text)
+    return F.when(text.rlike(EMOJI_SIGN), F.array_join(named, "")).otherwise(text)
 
 
 def strip_emojis(text: Column) -> Column:

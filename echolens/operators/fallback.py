@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from echolens.functions import lexicon as L
-from echolens.functions.match import (any_term, count_terms, first_label, first_term_label,
-                                      largest, round_half_even)
+from echolens.functions.match import (Hits, any_term, count_terms, first_label, first_term_label,
+                                      largest, round_half_even, term_index)
 from echolens.functions.text import lower_text
 
 
@@ -36,16 +36,22 @@ def fallback_local(df: DataFrame, text="text") -> DataFrame:
               .drop("_text"))
 
 
+CLOUD_LISTS = [L.CLOUD_POSITIVE, L.CLOUD_NEGATIVE, L.CLOUD_URGENT, L.CLOUD_CLAIM, *(
+    terms for rules in (L.CLOUD_CATEGORIES, L.CLOUD_TOPICS, L.CLOUD_INCIDENTS)
+    for _, terms in rules)]
+
+
 def fallback_cloud(df: DataFrame, text="text") -> DataFrame:
     """Count-based lists; confidence grows with the evidence, 0.5 to 0.95."""
-    t, sent, cat, claim = (F.col(c) for c in ("_text", "sentiment", "categorie", "is_claim"))
+    sent, cat, claim = (F.col(c) for c in ("sentiment", "categorie", "is_claim"))
+    t = Hits(F.col("_hits"))
     pos, neg, base = F.col("_pos"), F.col("_neg"), F.col("_base")
     categories = [(label, count_terms(t, terms)) for label, terms in L.CLOUD_CATEGORIES]
     graded = lambda n: F.least(F.lit(0.75) + n * F.lit(0.05), F.lit(0.95))
     by_category = first_label([("service_client", cat == "service"),
                                ("support_technique", cat == "support"),
                                ("promotion", cat == "promotion")], cat)
-    return (df.withColumn("_text", lower_text(F.col(text)))
+    return (df.withColumn("_hits", term_index(lower_text(F.col(text)), *CLOUD_LISTS))
               .withColumns({"_pos": count_terms(t, L.CLOUD_POSITIVE),
                             "_neg": count_terms(t, L.CLOUD_NEGATIVE),
                             "categorie": largest(categories, "autre"),
@@ -70,7 +76,7 @@ def fallback_cloud(df: DataFrame, text="text") -> DataFrame:
                       first_term_label(t, L.CLOUD_INCIDENTS, "non_specifie"))})
               .withColumn("score_confiance", round_half_even(
                   F.greatest(F.lit(0.5), F.least(F.lit(0.95), base)), 2))
-              .drop("_text", "_pos", "_neg", "_urgent", "_claim", "_base"))
+              .drop("_hits", "_pos", "_neg", "_urgent", "_claim", "_base"))
 
 
 def fallback_basic(df: DataFrame, text="text") -> DataFrame:

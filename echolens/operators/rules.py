@@ -8,19 +8,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from echolens.functions import lexicon as L
-from echolens.functions.match import (any_duration, any_term, any_word, count_terms, first_label,
-                                      largest)
+from echolens.functions.match import (Hits, any_duration, any_term, any_word, count_terms,
+                                      duration_terms, first_label, largest, term_index)
 from echolens.functions.text import lower_text
 
 
-def claim_flag(text: Column) -> Column:
-    return any_term(text, L.CLAIM_TERMS).cast("int")
+# every list of the tier; its terms are looked for together
+RULE_LISTS = [L.CLAIM_TERMS, L.URGENCY_HIGH_TERMS, duration_terms(L.URGENCY_HIGH_DURATIONS),
+              L.URGENCY_MEDIUM_TERMS, L.TOPIC_FIBRE_TERMS, L.TOPIC_MOBILE_TERMS,
+              L.TOPIC_INVOICE_TERMS, *(words for _, words in L.INCIDENT_WORDS)]
 
 
-def urgency_label(text: Column) -> Column:
-    high = (any_term(text, L.URGENCY_HIGH_TERMS)
-            | any_duration(text, L.URGENCY_HIGH_DURATIONS))
-    return first_label([("haute", high), ("moyenne", any_term(text, L.URGENCY_MEDIUM_TERMS))],
+def claim_flag(hits: Hits) -> Column:
+    return any_term(hits, L.CLAIM_TERMS).cast("int")
+
+
+def urgency_label(text: Column, hits: Hits) -> Column:
+    high = (any_term(hits, L.URGENCY_HIGH_TERMS)
+            | any_duration(text, L.URGENCY_HIGH_DURATIONS, hits))
+    return first_label([("haute", high), ("moyenne", any_term(hits, L.URGENCY_MEDIUM_TERMS))],
                        "basse")
 
 
@@ -30,26 +36,27 @@ def topic_label(fibre: Column, mobile: Column, invoice: Column) -> Column:
                         ("mobile", mobile > invoice), ("facture", invoice > 0)], "autre")
 
 
-def incident_label(text: Column) -> Column:
-    return first_label([(label, any_word(text, words)) for label, words in L.INCIDENT_WORDS],
+def incident_label(text: Column, hits: Hits) -> Column:
+    return first_label([(label, any_word(text, words, hits)) for label, words in L.INCIDENT_WORDS],
                        "aucun")
 
 
 def classify_rules(df: DataFrame, text="text", extended=True) -> DataFrame:
     """Add ``is_claim, urgence, topics`` and, when extended, ``incident`` with claim as oui/non."""
-    t = F.col("_text")
-    counts = {"_fibre": count_terms(t, L.TOPIC_FIBRE_TERMS),
-              "_mobile": count_terms(t, L.TOPIC_MOBILE_TERMS),
-              "_invoice": count_terms(t, L.TOPIC_INVOICE_TERMS)}
-    claim = claim_flag(t)
+    t, hits = F.col("_text"), Hits(F.col("_hits"))
+    counts = {"_fibre": count_terms(hits, L.TOPIC_FIBRE_TERMS),
+              "_mobile": count_terms(hits, L.TOPIC_MOBILE_TERMS),
+              "_invoice": count_terms(hits, L.TOPIC_INVOICE_TERMS)}
+    claim = claim_flag(hits)
     out = (df.withColumn("_text", lower_text(F.col(text)))
+             .withColumn("_hits", term_index(t, *RULE_LISTS))
              .withColumns({"is_claim": F.when(claim == 1, "oui").otherwise("non")
                            if extended else claim,
-                           "urgence": urgency_label(t), **counts,
-                           **({"incident": incident_label(t)} if extended else {})})
+                           "urgence": urgency_label(t, hits), **counts,
+                           **({"incident": incident_label(t, hits)} if extended else {})})
              .withColumn("topics", topic_label(F.col("_fibre"), F.col("_mobile"),
                                                F.col("_invoice"))))
-    return out.drop("_text", "_fibre", "_mobile", "_invoice")
+    return out.drop("_text", "_hits", "_fibre", "_mobile", "_invoice")
 
 
 def rule_statistics(df: DataFrame) -> DataFrame:

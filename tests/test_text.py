@@ -5,8 +5,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from echolens.functions import text as T
-from echolens.functions.match import any_term, count_terms, largest, minimal_terms, \
-    round_half_even
+from echolens.functions.match import Hits, any_term, count_terms, largest, minimal_terms, \
+    round_half_even, term_index
 from echolens.operators.quality import clean_dataset, clean_flagged, cleaning_stats, \
     validate_text
 
@@ -152,3 +152,25 @@ def test_clean_dataset_and_stats(spark, rows):
     s = cleaning_stats(clean_flagged(df)).first()
     assert (s.total_original, s.empty_texts, s.duplicates_removed, s.total_cleaned, s.removed) == \
         (7, 2, 1, 2, 5)
+
+
+@settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(terms=st.lists(st.text("ab é.-", min_size=1, max_size=4), min_size=1, max_size=12),
+       texts=st.lists(st.text("ab é.-c", max_size=30), min_size=1, max_size=8))
+def test_term_index(spark, terms, texts):
+    """Overlapping, repeated and nested terms: the index finds what single tests find."""
+    t, hits = F.col("text"), Hits(F.col("hits"))
+    rows = (spark.createDataFrame([(x,) for x in texts], "text string")
+            .withColumn("hits", term_index(t, terms, ["zz"]))
+            .select("text", "hits", any_term(hits, terms), any_term(t, terms),
+                    count_terms(hits, terms), count_terms(t, terms)).collect())
+    for text, found, *tests in rows:
+        expected = {x for x in terms if x in text}
+        assert sorted(found) == sorted(expected)
+        assert tests == [bool(expected)] * 2 + [sum(x in text for x in terms)] * 2
+
+
+def test_term_index_of_nothing(spark):
+    index = lambda t: term_index(t, ["a", "ab"])
+    assert one(spark, index, "") == [] and one(spark, index, None) is None
+    assert sorted(one(spark, index, "ab" * 100_000)) == ["a", "ab"]
