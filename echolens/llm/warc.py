@@ -3,14 +3,15 @@
 Archives. Every page becomes a record, a gzip member of its own. Of records with equal payloads, compared by SHA-1 and
 length, the one with the largest page id is the response; the others are revisits without
 payload that name it. Records are written by Spark's text writer, which reaches any store Spark reaches; one NUL
-byte, padding that gzip readers skip, ends a member. A file holds at most ``RECORDS_PER_FILE`` records.
+byte, padding that gzip readers skip, ends a member. A file holds at most ``RECORDS_PER_FILE`` records and may be of any
+size, as no file is ever loaded whole. Tasks open archives through Arrow's file systems (local and mounted paths, HDFS, S3, GCS).
 
-Index. Archives are scanned for (key, file, offset, length). The key is the URL with its host reversed, so
+Index. Archives are read in pieces of ``PIECE`` bytes for (key, file, offset, length). The key is the URL with its host reversed, so
 captures of a site are neighbours. Captures are sorted by key, by ranges, and every ``BLOCK`` of them is one compressed
 block; the sparse directory holds the first key of each block.
 
 Lookup. A binary search in the directory names the blocks that can hold a key; only these are unpacked,
-and what they say is read from the archives by offset and length. The directory is searched in slices of ``SLICE`` entries,
+and what they say is read from the archives by offset and length; ranges that touch are read at once. The directory is searched in slices of ``SLICE`` entries,
 so what goes to the tasks at once is bounded whatever the number of captures.
 
 One record per input row. A null html is an empty payload; a null url is the key ``-``. A null page id comes before
@@ -21,9 +22,11 @@ import base64
 import hashlib
 import zlib
 from bisect import bisect_left, bisect_right
+from itertools import groupby
 from urllib.parse import quote, urlsplit
 
 import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +36,9 @@ from echolens.sources.shared import shared_folder
 RECORDS_PER_FILE = 4000
 BLOCK = 1000
 SLICE = 200_000
+PIECE = 1 << 18
+READ_AT_ONCE = 8 << 20
+BYTES_PER_TASK = 32 << 20
 PADDING = "\0"
 DATE = "2024-01-01T00:00:00Z"  # pages carry no time of capture
 
@@ -91,14 +97,18 @@ def record(page_id, url, payload: bytes, digest: str, response_id) -> bytes:
     return packer.compress(whole) + packer.flush()
 
 
+def _headers(head: bytes) -> dict:
+    lines = head.decode("utf-8").split("\r\n")
+    if not lines[0].startswith("WARC/"):
+        raise ValueError("no WARC record here")
+    return {k.lower(): v for k, _, v in (x.partition(": ") for x in lines[1:])}
+
+
 def parse(member: bytes) -> dict:
     """Headers of a record, lower-cased, with its HTTP payload size and, for responses, payload."""
     whole = zlib.decompress(member, 31)
     head, _, rest = whole.partition(b"\r\n\r\n")
-    lines = head.decode("utf-8").split("\r\n")
-    if not lines[0].startswith("WARC/"):
-        raise ValueError("no WARC record here")
-    found = {k.lower(): v for k, _, v in (x.partition(": ") for x in lines[1:])}
+    found = _headers(head)
     http, _, payload = rest[:int(found["content-length"])].partition(b"\r\n\r\n")
     for x in http.decode("latin-1").split("\r\n")[1:]:
         name, _, value = x.partition(": ")
@@ -107,22 +117,48 @@ def parse(member: bytes) -> dict:
     return found
 
 
-def members(content: bytes):
-    """``(offset, length)`` of the gzip members of an archive."""
-    at, step = 0, 1 << 16
-    while at < len(content):
-        if content[at] == 0:
-            at += 1
+def members(stream):
+    """``(offset, length, headers)`` of the gzip members of an archive, which is read piece by piece."""
+    held, at = b"", 0  # what was read and not used, and its offset
+    while True:
+        record = held.lstrip(PADDING.encode())
+        at += len(held) - len(record)
+        held = record or stream.read(PIECE)
+        if not held:
+            return
+        if not record:
             continue
-        reader, end = zlib.decompressobj(31), at
+        reader, begin, head = zlib.decompressobj(31), at, b""
         while not reader.eof:
-            piece = content[end:end + step]
-            if not piece:
+            held = held or stream.read(PIECE)
+            if not held:
                 raise ValueError("an archive ends within a record")
-            reader.decompress(piece)
-            end += len(piece) - len(reader.unused_data)
-        yield at, end - at
-        at = end
+            text = reader.decompress(held)
+            if b"\r\n\r\n" not in head:
+                head += text
+            at += len(held) - len(reader.unused_data)
+            held = reader.unused_data
+        yield begin, at - begin, _headers(head.partition(b"\r\n\r\n")[0])
+
+
+def _place(path: str):
+    """File system and name of a path as Spark spells it."""
+    if path.startswith("file:"):
+        return pa.fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
+    return pa.fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
+
+
+def read_ranges(file, ranges):
+    """Bytes of sorted ``(offset, length)``; those that touch, but for padding, are one read."""
+    run = []
+    for offset, length in [*ranges, (None, 0)]:
+        if run and (offset is None or not 0 <= offset - sum(run[-1]) <= len(PADDING)
+                    or offset + length - run[0][0] > READ_AT_ONCE):
+            start = run[0][0]
+            whole = file.read_at(sum(run[-1]) - start, start)
+            yield from (whole[o - start:o - start + n] for o, n in run)
+            run = []
+        run.append((offset, length))
 
 
 def write_archives(pages: DataFrame, folder: str) -> None:
@@ -152,21 +188,23 @@ def write_archives(pages: DataFrame, folder: str) -> None:
      .write.option("lineSep", PADDING).option("maxRecordsPerFile", RECORDS_PER_FILE).text(folder))
 
 
-def _archives(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.format("binaryFile").load(folder).select("path", "content")
-
-
 def build_index(spark: SparkSession, folder: str) -> DataFrame:
     """``(block, first_key, captures, data)``: compressed blocks of the sorted captures of all archives."""
     found = pa.schema([("key", pa.string()), ("path", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
 
     def scan(batches):
         for batch in batches:
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                places = list(members(content))
-                yield batch_of(found, [
-                    [surt(parse(content[o:o + n]).get("warc-target-uri")) for o, n in places],
-                    [path] * len(places), *zip(*places)] if places else [[], [], [], []])
+            for path in batch.column(0).to_pylist():
+                fs, name = _place(path)
+                rows = []
+                with fs.open_input_stream(name) as stream:
+                    for offset, length, headers in members(stream):
+                        rows.append((surt(headers.get("warc-target-uri")), path, offset, length))
+                        if len(rows) == RECORDS_PER_FILE:
+                            yield batch_of(found, list(zip(*rows)))
+                            rows = []
+                if rows:
+                    yield batch_of(found, list(zip(*rows)))
 
     packed = pa.schema([("first_key", pa.string()), ("captures", pa.int64()), ("data", pa.binary())])
 
@@ -183,7 +221,9 @@ def build_index(spark: SparkSession, folder: str) -> DataFrame:
         if held:
             yield block(held)
 
-    captures = written(_archives(spark, folder).mapInArrow(scan, "key string, path string, offset long, length long"),
+    # contents are not selected, so Spark lists the files and deals them by size
+    files = spark.read.format("binaryFile").load(folder).select("path")
+    captures = written(files.mapInArrow(scan, "key string, path string, offset long, length long"),
                        "captures")
     order = ["key", "path", "offset"]  # unique, so one URL with very many captures spans many blocks
     return written(captures.repartitionByRange(*order).sortWithinPartitions(*order)
@@ -241,34 +281,46 @@ def lookup(blocks: DataFrame, urls: DataFrame) -> DataFrame:
     return blocks.join(named, "block", "left_semi").select("data").mapInArrow(unpack, out).join(keys, "key", "left_semi")
 
 
-def read_records(spark: SparkSession, folder: str, captures: DataFrame) -> DataFrame:
+def read_records(spark: SparkSession, captures: DataFrame) -> DataFrame:
     """``(page_id, payload_bytes, payload_digest, record_type, refers_to, payload)`` of captures, by range reads.
 
-    A file's captures come together as one list of at most ``RECORDS_PER_FILE`` ranges. The payload of a
-    revisit is null. A response whose payload has another digest than its header says is an error.
+    Captures are dealt by file and stretch of the file, some ``BYTES_PER_TASK`` to a task, and read in order of
+    offset. The payload of a revisit is null. A response whose payload has another digest than its header says
+    is an error.
     """
     out = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()),
                      ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())])
 
+    def row(member):
+        x = parse(member)
+        digest = x["warc-payload-digest"].removeprefix("sha1:")
+        response = x["warc-type"] == "response"
+        if response and base32_sha1(x["payload"]) != digest:
+            raise ValueError(f"record {x['warc-record-id']} is damaged")
+        return (_page(x["warc-record-id"]), int(x["http-content-length"]), digest, x["warc-type"],
+                None if response else _page(x["warc-refers-to"]), x["payload"] if response else None)
+
     def fetch(batches):
         for batch in batches:
-            for content, ranges in zip(batch.column(0), batch.column(1).to_pylist()):
-                held = memoryview(content.as_buffer())
-                rows = []
-                for r in ranges:
-                    x = parse(held[r["offset"]:r["offset"] + r["length"]])
-                    digest = x["warc-payload-digest"].removeprefix("sha1:")
-                    response = x["warc-type"] == "response"
-                    if response and base32_sha1(x["payload"]) != digest:
-                        raise ValueError(f"record {x['warc-record-id']} is damaged")
-                    rows.append((_page(x["warc-record-id"]), int(x["http-content-length"]), digest, x["warc-type"],
-                                 None if response else _page(x["warc-refers-to"]),
-                                 x["payload"] if response else None))
-                yield batch_of(out, list(zip(*rows)))
-
-    ranges = (captures.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("offset", "length"))).alias("ranges")))
-    # the same join at every size, so that the disk it takes follows the archives
-    return (_archives(spark, folder).join(ranges.hint("merge"), "path").select("content", "ranges")
+            wanted = zip(*(c.to_pylist() for c in batch.columns))
+            for path, ranges in groupby(wanted, key=lambda r: r[0]):
+                fs, name = _place(path)
+                with fs.open_input_file(name) as file:
+                    rows, size = [], 0
+                    for member in read_ranges(file, (r[1:] for r in ranges)):
+                        rows.append(row(member))
+                        size += len(rows[-1][5] or b"")
+                        if size > READ_AT_ONCE:
+                            yield batch_of(out, list(zip(*rows)))
+                            rows, size = [], 0
+                    if rows:
+                        yield batch_of(out, list(zip(*rows)))
+
+    captures = written(captures.select("path", "offset", "length"), "wanted")
+    size = captures.agg(F.sum("length")).first()[0] or 0
+    tasks = max(spark.sparkContext.defaultParallelism, -(-size // BYTES_PER_TASK))
+    return (captures.repartition(tasks, "path", F.floor(F.col("offset") / (BYTES_PER_TASK // 8)))
+            .sortWithinPartitions("path", "offset")
             .mapInArrow(fetch, "page_id long, payload_bytes long, payload_digest string, record_type string, "
                                "refers_to long, payload binary"))
 
@@ -280,4 +332,4 @@ def archive_and_read(pages: DataFrame) -> DataFrame:
     write_archives(pages, folder)
     blocks = build_index(spark, folder)
     captures = lookup(blocks, pages.select(F.col("url").cast("string").alias("url")))
-    return read_records(spark, folder, captures)
+    return read_records(spark, captures)

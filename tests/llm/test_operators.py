@@ -165,7 +165,7 @@ def test_lookup_with_small_blocks_and_slices(spark, monkeypatch, tmp_path):
     warc.write_archives(pages, folder)
     blocks = warc.build_index(spark, folder)
     wanted = spark.createDataFrame([("http://h3.org/p",), ("http://h9.org/p",), ("http://h0.org/p",)], "url string")
-    found = warc.read_records(spark, folder, warc.lookup(blocks, wanted)).collect()
+    found = warc.read_records(spark, warc.lookup(blocks, wanted)).collect()
     assert sorted(r.page_id for r in found) == [i for i in range(60) if i % 7 in (0, 3)]
 
 
