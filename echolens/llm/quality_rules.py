@@ -11,10 +11,9 @@ Both thresholds are read off exact histograms of held-out scores: the trusted do
 id, and each half that passes the base rules is scored by the counts of the other. The word score's threshold is the
 ``LOSS`` quantile, the mean score's lies ``MARGIN`` below it.
 
-The classifier is fitted on a bounded sample of the labelled rows, the ``TRUSTED`` trusted documents with the lowest hashes of
-their ids: these ids go to every task, and only their documents' packed bins are written, so no text or profile is
-shuffled. Corpus counts cover all documents; each task sends one packed partial sum, and these are added in two steps.
-What reaches the driver is one table of ``BINS + WORD_BINS`` numbers.
+The classifier is fitted on all trusted documents, whose packed bins are written and counted by halves. The ids meet
+the documents in a shuffled semi-join, for which each text travels once, since ids grow with the labels. Corpus counts cover all documents; each task sends one packed partial sum, and these are added in two
+steps. What reaches the driver is one table of ``BINS + WORD_BINS`` numbers.
 
 Rows: one per input row. A null text has no words, a text without words scores 0; both fail the base rules. A document with
 several label rows is trusted if all of them call it good and not toxic; a null ``toxic`` counts as not toxic, a null
@@ -39,7 +38,6 @@ WORD_BINS_LOG2 = 20  # so that rare words hardly share one with common words
 WORD_BINS = 1 << WORD_BINS_LOG2
 TAIL_PERCENT = 1
 SMOOTHING = 0.5
-TRUSTED = 50_000     # most trusted documents that the classifier is fitted on
 LOSS = 0.005         # the word threshold is this quantile of the held-out scores, the other MARGIN below it
 MARGIN = 0.05
 STEPS = 1024         # histogram steps per unit of score
@@ -225,24 +223,26 @@ def measure(docs: DataFrame, ratio: np.ndarray, word_ratio: np.ndarray, id_col:
                            + ", score double, word_score double")
 
 
-def trusted_ids(labels: DataFrame, most: int) -> DataFrame:
-    """``_id`` of trusted documents, of more than ``most`` those with the lowest hashes."""
+def trusted_ids(labels: DataFrame, most: int | None = None) -> DataFrame:
+    """``_id`` of all trusted documents, or of more than ``most`` those with the lowest hashes."""
     good = (F.coalesce(F.col("quality"), F.lit(0)) == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0)
     trusted = (labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("_id"))
                .agg(F.bool_and(good).alias("good")).where("good").select("_id", F.xxhash64("_id").alias("_hash")))
+    if most is None:
+        return trusted.select("_id")
     n = trusted.count()
     if n > 2 * most:  # so that little more than ``most`` rows are sorted, however many there are
         trusted = trusted.where(F.col("_hash") < int((1 << 64) * 1.2 * most / n) - (1 << 63))
     return trusted.orderBy("_hash", "_id").limit(most).select("_id")
 
 
-def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-        most: int = TRUSTED) -> tuple[np.ndarray, float, np.ndarray, float]:
+def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id",
+        text_col: str = "text") -> tuple[np.ndarray, float, np.ndarray, float]:
     """Log ratios per bin and the threshold, of the mean score and of the word score; what reaches the driver has a
     fixed size."""
     docs = _plain(df, id_col, text_col)
-    ids = written(trusted_ids(labels, most), "ids")  # at most ``most`` numbers
-    good = written(profiles(docs.join(F.broadcast(ids), "_id", "left_semi"))
+    ids = trusted_ids(labels).hint("shuffle_hash")  # not broadcast, at any size
+    good = written(profiles(docs.join(ids, "_id", "left_semi"))
                    .select("failed", "found", F.pmod(F.xxhash64("_id"), F.lit(2)).alias("half")), "trusted")
     raw = _table(corpus_counts(docs))
     halves = [corpus_counts(good.where(F.col("half") == k).select("failed", "found"), _bins_of_profiles) for k in (0, 1)]

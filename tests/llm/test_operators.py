@@ -491,6 +491,14 @@ def test_trusted_sample(spark):
     assert quality_rules.trusted_ids(labels.where("false"), 10).count() == 0
 
 
+def test_quality_rules_fit_on_all_trusted(spark):
+    ids = spark.range(50_100)  # all documents are trusted, so the target's counts are those of the corpus
+    docs = ids.select(F.col("id").alias("doc_id"), F.concat(F.lit("w"), F.col("id") % 7, F.lit(" x")).alias("text"))
+    labels = ids.select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    ratio, _, word_ratio, _ = quality_rules.fit(docs, labels)
+    assert not ratio.any() and not word_ratio.any()
+
+
 def brute_windows(rows, n=50):
     first, out = {}, []
     data = [(-(1 << 63) if i is None else i, (t or "").encode(), i) for i, t in rows]
