@@ -62,6 +62,17 @@ def test_line_ends_of_two_bytes(spark, tmp_path):
     assert files.read_messages_csv(spark, str(tmp_path / "e"), SCHEMA).count() == 0
 
 
+def test_encoding_of_a_text_in_several_files(spark, tmp_path):
+    for lang, contents in {"fr": [b"plain", "été".encode("latin-1")], "en": [b"plain", b"too"],
+                           "de": ["ü".encode(), "€ ü".encode("cp1252")]}.items():
+        (tmp_path / f"lang={lang}").mkdir()
+        for k, content in enumerate(contents):
+            (tmp_path / f"lang={lang}" / f"part-{k}.csv").write_bytes(content)
+    found = {r.path.rsplit("=", 1)[1]: r.encoding
+             for r in files.detect_encoding(spark, str(tmp_path), by_folder=True).collect()}
+    assert found == {"fr": "ISO-8859-1", "en": "UTF-8", "de": "windows-1252"}
+
+
 def test_encodings(spark, tmp_path):
     (tmp_path / "utf8.csv").write_bytes("msg_id,author,text\n1,a,été\n".encode())
     (tmp_path / "bom.csv").write_bytes("msg_id,author,text\n1,a,été\n".encode("utf-8-sig"))
