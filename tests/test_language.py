@@ -5,6 +5,8 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from echolens.operators import language
@@ -65,3 +67,20 @@ def test_long_text_under_a_filter(spark, model):
     assert language.detect_language(df, model).where("language = 'fr'").count() == 1
     long = spark.createDataFrame([("fr", "panne " * 60_000)], "lang string, text string")
     assert language.fit_language_model(long).count() == 1
+
+
+def test_pieces_of_a_batch(monkeypatch):
+    """Trigrams are counted over whole batches in pieces of bounded size, languages in bounded number."""
+    monkeypatch.setattr(language, "PIECE", 12)
+    monkeypatch.setattr(language, "MOST_LANGUAGES", 2)
+    texts = [" a ", "", " bc de ", " f ", "", f" {'long ' * 9}", " g "]
+    got = {}
+    for some, found, starts in language._trigrams(pa.array(texts)):
+        got |= dict(zip(some.tolist(), [p.tolist() for p in np.split(found, starts[1:])]))
+    assert got == {i: bins(t) for i, t in enumerate(texts) if t}
+    langs, total = ["x", "y", "x", "y", "z", "z", "x"], Counter()
+    batch = pa.RecordBatch.from_arrays([pa.array(langs), pa.array(texts)], names=["lang", "padded"])
+    for out in language._counted([batch]):
+        for r in out.to_pylist():
+            total[r["lang"], r["bin"]] += r["n"]
+    assert total == Counter((lang, b) for lang, t in zip(langs, texts) for b in bins(t))
