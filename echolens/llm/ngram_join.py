@@ -41,7 +41,8 @@ from echolens.llm.words import Texts, mix, parts, shingles
 BITS = 24
 FREQUENT = 24           # a counter up to this never makes a shingle frequent
 SLICES = 64
-FLUSH = 1 << 21
+FLUSH = 1 << 19
+HELD = 1 << 15          # sets counted at a time, so that no count exceeds 16 bits
 FAN_IN = 128            # pieces of the sketch summed at a time
 SINGLES_BELOW = 5       # size classes 2**0..2**4 index frequent tokens one by one
 PART_TOKENS = 8         # tokens of a set per part, at the lower end of its size class
@@ -147,29 +148,36 @@ def _measure(docs: DataFrame, n: int) -> DataFrame:
     out = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("f", pa.int64()), ("hist", pa.binary()),
                      ("lo", pa.int64()), ("hi", pa.int64()), ("slice", pa.int32()), ("counts", pa.binary())])
 
+    def pieces(total):
+        for k, piece in enumerate(np.split(total, SLICES)):
+            if piece.any():
+                yield batch_of(out, [*[[None]] * 6, [k], [pack(piece)]])
+
     def add(held, total):
-        places, counts = np.unique(np.concatenate(held).astype(np.uint32), return_counts=True)
-        total[places] += counts.astype(np.uint32)
+        """Counts to the 16-bit counters, which are sent and begun anew before one runs over."""
+        places, counts = np.unique(np.concatenate(held), return_counts=True)
+        if len(counts) and int(total[places].max()) + int(counts.max()) > 0xFFFF:
+            yield from pieces(total)
+            total[:] = 0
+        total[places] += counts.astype(np.uint16)
 
     def run(batches):
-        total, held, size = np.zeros(1 << BITS, np.uint32), [], 0
+        total, held, size = np.zeros(1 << BITS, np.uint16), [], 0
         for part in parts(batches):
             sets = _sets(part, n)
-            for s in sets:
-                held.append(s >> np.uint64(64 - BITS))
+            for s in sets:  # a part has at most 4096 sets, and a counter gets one of a shingle
+                held.append((s >> np.uint64(64 - BITS)).astype(np.uint32))
                 size += len(s)
-            if size > FLUSH:
-                add(held, total)
+            if size > FLUSH or len(held) > HELD:
+                yield from add(held, total)
                 held, size = [], 0
             empty, bits = [None] * len(sets), [parity(s) for s in sets]
             yield batch_of(out, [part.column(0), [len(s) for s in sets], [fingerprint(s) if len(s) else None for s in sets],
                                  [histogram(s) if len(s) else None for s in sets],
                                  [b[0] for b in bits], [b[1] for b in bits], empty, empty])
         if held:
-            add(held, total)
-        for k, piece in enumerate(np.split(total, SLICES)):
-            if piece.any():
-                yield batch_of(out, [*[[None]] * 6, [k], [pack(piece)]])
+            yield from add(held, total)
+        yield from pieces(total)
 
     return docs.mapInArrow(run, "id long, n long, f long, hist binary, lo long, hi long, slice int, counts binary")
 

@@ -215,6 +215,12 @@ def test_ngram_join_when_all_shingles_are_frequent(spark, monkeypatch):
     same(ngram_join.classes(df, 3, 90, 100).collect(), brute_classes(rows, 3, 90, 100))
 
 
+def test_sketch_counters_that_run_over(spark):
+    docs = spark.range(0, 70_000, 1, 1).select("id", F.lit("one two three").cast("binary").alias("text"))
+    rows = ngram_join._measure(docs, 3).where("slice is not null").collect()
+    assert sum(int(ngram_join.unpack(bytes(r.counts)).sum()) for r in rows) == 70_000 and len(rows) > 1
+
+
 def test_components(spark):
     chain = spark.range(200).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     assert {r.label for r in components(chain).collect()} == {0}
@@ -348,6 +354,22 @@ def test_passages(spark, odd, empty):
         0: "x\nx\nx", 1: rows[1][1], 2: "", 3: "own\nown too", 4: "y\n\nz", 5: "new\nlast"}
 
 
+def test_passages_by_chunks(spark):
+    lines = [f"line {i} of the passage" for i in range(40)]
+    docs = line_dedup.with_units(line_dedup._keyed(spark.createDataFrame(
+        [(1, "\n".join(["alpha", "beta", *lines])), (2, "\n".join(["gamma", *lines, "delta"])), (3, "alone"), (4, "")],
+        "doc_id long, text string"), "doc_id", "text"), "text").select("_key", "_units")
+    chunks = line_dedup.chunk_removals(docs)
+    found = sorted((r.a, r.b) for r in chunks.where("_key.id = 2").collect())
+    assert chunks.where("_key.id != 2").count() == 0 and found and all(b - a >= 2 for a, b in found)
+    assert sum(b - a for a, b in found) >= 30  # only what lies beside the first and last boundary is left to windows
+    spans = line_dedup._chunked(docs).where("_key.id = 1").first()._spans
+    assert [(s.a, s.b) for s in spans][0][0] == 0 and all(x.b == y.a for x, y in zip(spans, spans[1:])) and spans[-1].b == 42
+    windows = line_dedup.window_removals(docs, chunks).where("_key.id = 2").select("a", "b").collect()
+    units = {u for a, b in [*found, *windows] for u in range(a, b)}
+    assert units == set(range(1, 41)) and not any(a <= x and y <= b for x, y in windows for a, b in found)
+
+
 def test_passages_with_clashing_columns(spark, odd):
     names = ["_key", "_places", "_units", "_gone", "_left", "_removed_lines", "_removed_chunks", "row", "id", "removed_lines"]
     plain_docs = odd.select("doc_id", "text")
