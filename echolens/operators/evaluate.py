@@ -73,12 +73,15 @@ def classified_targets(df: DataFrame, label="label", prediction="prediction", po
 def pr_roc_points(df: DataFrame, score="score", label="label", ranges=100) -> DataFrame:
     """Precision, recall and false-positive rate at each distinct score as threshold.
 
-    Rows are counted per score first. Running sums are taken within ranges of scores in 0..1 and over the
-    ranges, so no task sorts all scores. Rates without rows to divide by are null.
+    Rows are counted per score first, and the counts are written: a condition on the score, asked of the rows,
+    would bring all that the score is computed from into one filter, many times over, and each use of the counts
+    would compute it again. Running sums are taken within ranges of scores in 0..1 and over the ranges, so no task
+    sorts all scores. Rates without rows to divide by are null.
     """
-    counts = (df.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("threshold")).agg(
-        F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("q"))
-        .withColumn("range", F.floor(F.col("threshold") * ranges)))
+    counts = write_and_read(df.groupBy(F.col(score).alias("threshold")).agg(
+        F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("q")), "scores")
+    counts = (counts.where(F.col("threshold").isNotNull())
+              .withColumn("range", F.floor(F.col("threshold") * ranges)))
     above = Window.orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.partitionBy(F.lit(1))
     sums = (counts.groupBy("range").agg(F.sum("p").alias("rp"), F.sum("q").alias("rq"))
