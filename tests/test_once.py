@@ -21,3 +21,19 @@ def test_curve_computes_scores_once(spark):
     got = evaluate.pr_roc_points(rows)
     assert "regexp" not in plan(got)
     assert sorted((r.threshold, r.tp, r.fp) for r in got.collect()) == [(0.0, 2, 1), (0.25, 1, 1), (0.5, 1, 0)]
+
+
+def test_spellings_are_looked_up_in_place(spark):
+    names = {k: v for k, v in {**T.emoji_names(), **E.sequence_names()}.items() if k != "⏰"}  # in no block of signs
+    spellings = {**T.script_spellings(), **T.ascii_letters(), **T.ASCII_SPECIALS}
+    signs = spark.createDataFrame([(k, True, v) for k, v in names.items()]
+                                  + [(k, False, v) for k, v in spellings.items()]
+                                  + [("漢", False, ""), ("\U0001D400", False, "")], "t string, sign boolean, spelled string")
+    out = signs.select("sign", "spelled", T.emoji_to_text(F.concat(F.lit("1#"), "t", F.lit("z"))).alias("named"),
+                       T.to_ascii(F.concat(F.lit("x"), "t", F.lit("y"))).alias("ascii"))
+    assert "keys: [" not in plan(out)
+    for r in out.collect():
+        if r.sign:
+            assert r.named == f"1# {r.spelled} z"
+        else:
+            assert r.ascii == f"x{r.spelled}y"
