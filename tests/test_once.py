@@ -37,3 +37,15 @@ def test_spellings_are_looked_up_in_place(spark):
             assert r.named == f"1# {r.spelled} z"
         else:
             assert r.ascii == f"x{r.spelled}y"
+
+
+def test_words_of_a_language_are_counted_once(spark):
+    texts = ["le les lesa la", "the of le", "Der und, die!", "los el-que", "été 12", "", None, "lele le", "ça y est"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    out = df.select("i", "text", T.detect_language(F.col("text")).alias("found"))
+    assert plan(out).count("regexp") <= len(L.STOPWORD_PROFILES)
+    for r in out.collect():
+        words = re.findall(r"[^\W\d_]+", (r.text or "").lower())
+        counts = {k: sum(w in v for w in words) for k, v in L.STOPWORD_PROFILES.items()}
+        best = max(counts.values())
+        assert r.found == (next(k for k, n in counts.items() if n == best) if best else "unknown")
