@@ -49,3 +49,16 @@ def test_words_of_a_language_are_counted_once(spark):
         counts = {k: sum(w in v for w in words) for k, v in L.STOPWORD_PROFILES.items()}
         best = max(counts.values())
         assert r.found == (next(k for k, n in counts.items() if n == best) if best else "unknown")
+
+
+def test_rule_sets_share_one_walk(spark):
+    texts = ["panne facture URGENT", "merci", "fibre lente, pas urgent mais bug", "", None]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    one = many = df
+    one = one.withColumn("_hits", rules.lexicon_hits(F.col("text")))
+    for rule_set in L.RULE_SETS:
+        many = rules.classify_by_lexicon(many, rule_set)
+        one = rules.classify_by_lexicon(one, rule_set, hits=Hits(F.col("_hits")))
+    assert plan(one).count("regexp_extract_all") == 1 and "contains(" not in plan(one).lower()
+    key = lambda r: tuple(map(str, r))
+    assert sorted(map(key, one.drop("_hits").collect())) == sorted(map(key, many.collect()))
