@@ -128,14 +128,21 @@ def train_text_baseline(train: DataFrame, test: DataFrame, label: str, id_col: s
                         max_features=5000) -> DataFrame:
     """Fit on ``train`` and return ``(id, label, prediction)`` for ``test`` as strings.
 
-    The fit passes over its input many times, so it is written to the shared folder first. The
+    Each stage that is fitted passes over its input, the regression many times. Words are therefore written
+    to the shared folder once, and so are the term counts, instead of being found again in every pass. The
     model is saved there too and loaded again: a freshly fitted one drags its training summary,
     and with it the session, into the scoring tasks.
     """
     known = F.col(text).isNotNull() & F.col(label).isNotNull()
-    train = write_and_read(train.where(known).select(id_col, text, label), "train")
-    path = shared_folder(train.sparkSession, "model")
-    text_baseline(label, text, max_features).fit(train).write().save(path)
+    indexer, tokenizer, *counters, idf, regression = text_baseline(label, text, max_features).getStages()
+    words = write_and_read(tokenizer.transform(train.where(known).select(id_col, text, label))
+                           .select(label, tokenizer.getOutputCol()), "train")
+    counted = Pipeline(stages=[indexer, *counters]).fit(words)
+    counts = write_and_read(counted.transform(words).select("_label", idf.getInputCol()), "counts")
+    fitted = Pipeline(stages=[idf, regression]).fit(counts)
+    path = shared_folder(words.sparkSession, "model")
+    labels, *terms = counted.stages
+    PipelineModel([labels, tokenizer, *terms, *fitted.stages]).write().save(path)
     model = PipelineModel.load(path)
     names = F.array(*[F.lit(x) for x in model.stages[0].labels])
     scored = model.transform(test.where(known).select(id_col, text, label))

@@ -62,3 +62,13 @@ def test_rule_sets_share_one_walk(spark):
     assert plan(one).count("regexp_extract_all") == 1 and "contains(" not in plan(one).lower()
     key = lambda r: tuple(map(str, r))
     assert sorted(map(key, one.drop("_hits").collect())) == sorted(map(key, many.collect()))
+
+
+def test_training_words_and_counts_are_written(spark, monkeypatch):
+    seen, write = {}, scoring.write_and_read
+    monkeypatch.setattr(scoring, "write_and_read", lambda df, name: seen.update({name: df.columns}) or write(df, name))
+    rows = spark.createDataFrame([(i, "good words here" if i % 2 else "bad news there", i % 2) for i in range(40)]
+                                 + [(40, None, 1), (41, "good", None)], "id int, text string, label int")
+    got = scoring.train_text_baseline(rows, rows, "label", "id").collect()
+    assert seen["train"][0] == "label" and len(seen["train"]) == 2 and seen["counts"] == ["_label", "_tf"]
+    assert len(got) == 40 and all(r.label == r.prediction for r in got)
