@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from echolens.llm.tables import TwoAgeCache, batch_of
+from echolens.llm.tables import TwoAgeCache, batch_of, in_batches
 
 # The pre-tokenisation pattern that byte-level vocabularies of this family define; a fixed value. Letters
 # come first, which changes no match and saves attempts.
@@ -74,6 +74,7 @@ class ByteBpe:
         self.bytes_of = ({i: b for b, i in vocabulary.items()}
                          | {i: s.encode("utf-8") for s, i in self.special.items()})
         self.decimal = {i: str(i) for i in self.bytes_of}
+        self.one = {i: i for i in self.bytes_of}  # the one object of each id, for the cache to hold
         self.lookahead = lookahead(merges)
         self.pattern = regex.compile(PATTERN)
         self.marks = (regex.compile("|".join(map(regex.escape, sorted(
@@ -120,7 +121,7 @@ class ByteBpe:
             yield self.merge(held)
 
     def _word(self, word: str) -> tuple[int, ...]:
-        return tuple(self.merge(word.encode("utf-8")))
+        return tuple(map(self.one.__getitem__, self.merge(word.encode("utf-8"))))
 
     def _long_word(self, text: str, start: int, end: int):
         return self.transduce(text[i:min(i + WINDOW, end)].encode("utf-8")
@@ -203,8 +204,8 @@ def encode(df: DataFrame, vocabulary_file: str, id_col: str = "doc_id",
                 list(chain.from_iterable(bpe.encode(t))) if t else []
                 for t in batch.column(1).to_pylist()]])
 
-    return (df.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
-            .mapInArrow(run, f"`{id_col}` long, ids array<int>"))
+    return in_batches(df.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")),
+                      run, f"`{id_col}` long, ids array<int>")
 
 
 def decode(df: DataFrame, vocabulary_file: str, id_col: str = "doc_id",
@@ -218,8 +219,8 @@ def decode(df: DataFrame, vocabulary_file: str, id_col: str = "doc_id",
             yield batch_of(out, [batch.column(0), [
                 "".join(bpe.decode([ids or []])) for ids in batch.column(1).to_pylist()]])
 
-    return (df.select(F.col(id_col).cast("long"), F.col(ids_col))
-            .mapInArrow(run, f"`{id_col}` long, text string"))
+    return in_batches(df.select(F.col(id_col).cast("long"), F.col(ids_col)),
+                      run, f"`{id_col}` long, text string")
 
 
 def round_trip(df: DataFrame, vocabulary_file: str, id_col: str = "doc_id",
@@ -235,5 +236,5 @@ def round_trip(df: DataFrame, vocabulary_file: str, id_col: str = "doc_id",
             done = [bpe.digest(t or "") for t in batch.column(1).to_pylist()]
             yield batch_of(out, [batch.column(0), *([d[k] for d in done] for k in range(3))])
 
-    return (df.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
-            .mapInArrow(run, f"`{id_col}` long, n_tokens long, ids_sha256 string, decoded_sha256 string"))
+    return in_batches(df.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")),
+                      run, f"`{id_col}` long, n_tokens long, ids_sha256 string, decoded_sha256 string")

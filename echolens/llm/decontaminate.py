@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from echolens.llm.tables import batch_of, written
+from echolens.llm.tables import batch_of, in_batches, written
 from echolens.llm.words import Texts, mix, parts, shingles, windows
 
 N = 5
@@ -136,7 +136,7 @@ def contaminated(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
                     ids = part.column(0).to_pylist()
                     yield batch_of(out, [[ids[f[0]] for f in found],
                                          *([f[k] for f in found] for k in (1, 2, 3))])
-        return docs.mapInArrow(run, ddl)
+        return in_batches(docs, run, ddl)
 
     blocks = _blocks(items, item_col, item_text)
     found = search(next(blocks, []))
@@ -164,5 +164,5 @@ def drop_contaminated(df: DataFrame, items: DataFrame, text_col: str = "text",
         return run
 
     for block in _blocks(items, item_col, item_text):
-        df = df.mapInArrow(keep(block), df.schema)
+        df = in_batches(df, keep(block), df.schema)
     return df

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from echolens.llm.components import extended
-from echolens.llm.tables import batch_of, written
+from echolens.llm.tables import batch_of, in_batches, written
 from echolens.llm.words import Texts, mix, parts, shingles
 
 BITS = 24
@@ -179,7 +179,7 @@ def _measure(docs: DataFrame, n: int) -> DataFrame:
             yield from add(held, total)
         yield from pieces(total)
 
-    return docs.mapInArrow(run, "id long, n long, f long, hist binary, lo long, hi long, slice int, counts binary")
+    return in_batches(docs, run, "id long, n long, f long, hist binary, lo long, hi long, slice int, counts binary")
 
 
 def _frequent(sketch: DataFrame, total: int) -> np.ndarray:
@@ -230,7 +230,7 @@ def _index(docs: DataFrame, n: int, num: int, den: int, frequent: np.ndarray) ->
             sigs, owners, sizes, reach = (np.concatenate(x) for x in zip(*rows))
             yield batch_of(out, [sigs.view(np.int64), owners, sizes, reach.astype(np.int32)])
 
-    return docs.mapInArrow(run, "sig long, f long, n long, w int")
+    return in_batches(docs, run, "sig long, f long, n long, w int")
 
 
 class _Verifier:
@@ -256,7 +256,7 @@ class _Verifier:
         sized = (pairs.join(side("a"), "a").join(side("b"), "b")
                  .where(f"n_a * {den} >= n_b * {num} and n_b * {den} >= n_a * {num}")
                  .select("a", "b", "n_a", "n_b", "h_a", "h_b"))
-        return sized.mapInArrow(run, "a long, b long")
+        return in_batches(sized, run, "a long, b long")
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """The pairs ``(a, b)`` that link, by exact overlap of the two sets."""
@@ -277,7 +277,7 @@ class _Verifier:
                 yield batch_of(out, [[k[0] for k in kept], [k[1] for k in kept]])
 
         # not written: both sides of the join read the one shuffle by f
-        sets = texts.mapInArrow(tokens, "f long, tokens binary").dropDuplicates(["f"])
+        sets = in_batches(texts, tokens, "f long, tokens binary").dropDuplicates(["f"])
         side = lambda x: sets.select(F.col("f").alias(x), F.col("tokens").alias(f"t_{x}"))
 
         def count(batches):
@@ -290,8 +290,8 @@ class _Verifier:
                         kept.append((a, b))
                 yield batch_of(pa.schema([("a", pa.int64()), ("b", pa.int64())]), [[k[0] for k in kept], [k[1] for k in kept]])
 
-        return written(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "t_a", "t_b")
-                       .mapInArrow(count, "a long, b long"), "links")
+        both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "t_a", "t_b")
+        return written(in_batches(both, count, "a long, b long"), "links")
 
 
 def reachable(index: DataFrame, num: int, den: int) -> DataFrame:

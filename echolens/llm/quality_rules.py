@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from echolens.llm.tables import batch_of, tree_sum, written
+from echolens.llm.tables import batch_of, in_batches, tree_sum, written
 from echolens.llm.words import Texts, mix, parts, windows
 
 BINS_LOG2 = 14
@@ -152,7 +152,7 @@ def profiles(docs: DataFrame) -> DataFrame:
             words = [texts.words(i) for i in range(len(texts))]
             yield batch_of(out, [[fails(w) for w in words], [pack(all_bins(w)) for w in words], part.column(0)])
 
-    return docs.mapInArrow(run, "failed boolean, found binary, _id long")
+    return in_batches(docs, run, "failed boolean, found binary, _id long")
 
 
 def mean_score(found: np.ndarray, ratio: np.ndarray) -> float:
@@ -178,7 +178,7 @@ def profile_scores(rows: DataFrame, ratios: np.ndarray) -> DataFrame:
             yield batch_of(out, [[mean_score(x[:k], ratios[:BINS]) for x, k in zip(found, at)],
                                  [word_score(x[k:] - BINS, ratios[BINS:]) for x, k in zip(found, at)]])
 
-    return rows.mapInArrow(run, "mean double, word double")
+    return in_batches(rows, run, "mean double, word double")
 
 
 def _table(total: np.ndarray) -> np.ndarray:
@@ -219,7 +219,7 @@ def measure(docs: DataFrame, ratio: np.ndarray, word_ratio: np.ndarray, id_col:
                                  _sums(_SYMBOL, texts), [duplicate_lines(t) for t in raw],
                                  [repeated_words(w) for w in words], scores, lowest])
 
-    return docs.mapInArrow(run, f"`{id_col}` long, " + ", ".join(f"{b} long" for b in BASE)
+    return in_batches(docs, run, f"`{id_col}` long, " + ", ".join(f"{b} long" for b in BASE)
                            + ", score double, word_score double")
 
 
@@ -290,4 +290,4 @@ def keep_good(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
                                 and word_score(word_bins(w), word_ratio) >= word_threshold)
             yield batch.filter(pa.array(mask, pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return in_batches(df, run, df.schema)
