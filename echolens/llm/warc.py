@@ -26,11 +26,11 @@ from itertools import groupby
 from urllib.parse import quote, urlsplit
 
 import pyarrow as pa
-import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from echolens.llm.tables import batch_of, written
+from echolens.sources.shared import place as _place
 from echolens.sources.shared import shared_folder
 
 RECORDS_PER_FILE = 4000
@@ -141,13 +141,6 @@ def members(stream):
         yield begin, at - begin, _headers(head.partition(b"\r\n\r\n")[0])
 
 
-def _place(path: str):
-    """File system and name of a path as Spark spells it."""
-    if path.startswith("file:"):
-        return pa.fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
-    return pa.fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
-
-
 def read_ranges(file, ranges):
     """Bytes of sorted ``(offset, length)``; those that touch, but for padding, are one read."""
     run = []

@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import pytest
@@ -116,6 +117,19 @@ def test_file_checks_and_manifest(spark, tmp_path):
     assert hashes["b.csv"] == "d41d8cd98f00b204e9800998ecf8427e"
 
 
+def test_hashes_of_files_longer_than_the_source_reads(spark, tmp_path):
+    contents = {"a +%é.csv": b"x" * 5000, "b.csv": b"", "c.csv": b"y" * 100, "d.csv": bytes(range(256)) * 9}
+    for name, content in contents.items():
+        (tmp_path / name).write_bytes(content)
+    spark.conf.set(files.LONGEST_CONTENT, "100")
+    try:
+        found = files.file_hashes(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset(files.LONGEST_CONTENT)
+    assert ({r.path.rsplit("/", 1)[1]: r.md5 for r in found}
+            == {name: hashlib.md5(content).hexdigest() for name, content in contents.items()})
+
+
 def test_report_json(spark, tmp_path):
     report = spark.range(1).select(F.lit(3).alias("n"), F.create_map(F.lit("a"), F.lit(1))
                                    .alias("m"))
