@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import pyarrow.fs
 import pytest
 from pyspark.sql import functions as F
 
@@ -130,6 +131,42 @@ def test_hashes_of_files_longer_than_the_source_reads(spark, tmp_path):
             == {name: hashlib.md5(content).hexdigest() for name, content in contents.items()})
 
 
+def test_longer_files_are_never_one_value(spark, tmp_path):
+    contents = {"long.csv": b"x" * (files.PIECE + 1), "piece.csv": b"z" * files.PIECE, "short.csv": b"y", "empty.csv": b""}
+    for name, content in contents.items():
+        (tmp_path / name).write_bytes(content)
+    hashed = files.file_hashes(spark, str(tmp_path))
+    spark.conf.set(files.LONGEST_CONTENT, files.PIECE)  # from now on the source refuses longer values
+    try:
+        found = hashed.collect()
+    finally:
+        spark.conf.unset(files.LONGEST_CONTENT)
+    assert ({r.path.rsplit("/", 1)[1]: r.md5 for r in found}
+            == {name: hashlib.md5(content).hexdigest() for name, content in contents.items()})
+
+
+def test_hashes_in_a_store_that_only_spark_reads(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "PIECE", 100)
+    contents = {"a +%é.csv": b"x" * 5000, "b.csv": b"", "c.csv": b"y" * 100}
+    for name, content in contents.items():
+        (tmp_path / name).write_bytes(content)
+    link = "fs.viewfs.mounttable.hashes.link./in"
+    spark.conf.set(link, f"file://{tmp_path}")
+    try:
+        found = files.file_hashes(spark, "viewfs://hashes/in").collect()
+    finally:
+        spark.conf.unset(link)
+    assert ({r.path.rsplit("/", 1)[1]: r.md5 for r in found}
+            == {name: hashlib.md5(content).hexdigest() for name, content in contents.items()})
+
+
+def test_odd_names_in_a_store(tmp_path, monkeypatch):
+    (tmp_path / "a b%20?#+é.csv").write_bytes(b"odd")
+    monkeypatch.setattr(files, "place", lambda uri: pyarrow.fs.FileSystem.from_uri(uri.replace("store://bucket", "file://")))
+    with files._opened(f"store://bucket{tmp_path}/a b%20?#+é.csv") as file:
+        assert file.read() == b"odd"
+
+
 def test_report_json(spark, tmp_path):
     report = spark.range(1).select(F.lit(3).alias("n"), F.create_map(F.lit("a"), F.lit(1))
                                    .alias("m"))
